@@ -25,11 +25,11 @@ def pick_best_truth(pairs: DataFrame, columns: Sequence[str], carry: Sequence[st
     """
     keep = [c for c in columns if c not in ("image_id", "det_id")]
     extra = "".join(f", r_{c} as gt_{c}" for c in carry)
-    best = pairs.groupBy("image_id", "det_id").agg(
-        *[F.expr(f"first({c}) as {c}") for c in keep],
-        F.expr(f"max_by(struct(r_gt_id as gt_id, iou{extra}), case when r_gt_id is not null then struct(iou, -r_gt_id) end) as _b"),
-    )
-    return best.selectExpr("image_id", "det_id", *keep, "_b.*")
+    # The whole payload sits in one aggregate, so every consumer asks for the same exchange and shares it.
+    best = pairs.groupBy("image_id", "det_id").agg(F.expr(
+        f"max_by(struct({', '.join(keep)}, r_gt_id as gt_id, iou{extra}), struct(coalesce(iou, -1D), -coalesce(r_gt_id, 0L))) as _b"
+    ))
+    return best.selectExpr("image_id", "det_id", "_b.*")
 
 
 def best_truth(det: DataFrame, gt: DataFrame, keys: Sequence[str], min_iou: float, strict: bool = False) -> DataFrame:

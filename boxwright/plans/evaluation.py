@@ -13,6 +13,7 @@ from boxwright.operators.scans import blocked_scan
 from boxwright.plans import sqltext as S
 from boxwright.plans.bridge import CLASSES, table, v_det, v_gt
 from boxwright.plans.registry import query
+from boxwright.session import materialize
 
 
 def r6(*columns: str) -> list[str]:
@@ -90,7 +91,7 @@ def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cumulative(spark: SparkSession, d: str) -> DataFrame:
-    return E.cumulative_counts(E.confidence_histogram(match_table(spark, d)))
+    return E.cumulative_counts(materialize(E.confidence_histogram(match_table(spark, d))))
 
 
 @query("agg_05_average_precision", f"WITH {S.match_ctes()}, {S.ap_ctes()} SELECT cls, level, round(ap, 6) AS ap FROM ap")
@@ -134,7 +135,7 @@ def two_part_metrics(spark: SparkSession, d: str) -> DataFrame:
     truths = E.class_truths(v_gt(spark, d))
     box = E.summarize(E.average_precision(cumulative(spark, d), truths)).selectExpr("cls", "ap50_95 as b")
     shrunk = M.match_predictions(inner(v_det(spark, d)), inner(v_gt(spark, d)))
-    part = E.average_precision(E.cumulative_counts(E.confidence_histogram(shrunk)), truths)
+    part = E.average_precision(E.cumulative_counts(materialize(E.confidence_histogram(shrunk))), truths)
     part = E.summarize(part).selectExpr("cls", "ap50_95 as p")
     return box.join(part, "cls").selectExpr("cls", "round(b, 6) as box_map", "round(p, 6) as part_map", "round(b + p, 6) as fitness")
 

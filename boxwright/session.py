@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def tune(builder: SparkSession.Builder) -> SparkSession.Builder:
@@ -31,12 +34,21 @@ def local_session(cores: int | str = 8, app: str = "boxwright") -> SparkSession:
     return spark
 
 
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
-    """Shared folder named by the cluster; a fallback is used only where none is set."""
+def shared_folder(spark: SparkSession) -> str:
+    """Shared folder the cluster names; a temporary one only in local mode, where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
-        spark.sparkContext.setCheckpointDir(folder)
-    elif fallback and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(fallback)
-        folder = fallback
-    return folder or spark.sparkContext.getCheckpointDir()
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    return tempfile.mkdtemp(prefix="boxwright-")
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a compact intermediate once and read it back, so later branches do not recompute its inputs.
+
+    The files outlive executors, and the reader knows their size, so joins on them are planned well.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

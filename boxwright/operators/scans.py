@@ -70,3 +70,44 @@ def salted_top_k(df: DataFrame, part: Sequence[str], order: str, k: int, salt: s
         .selectExpr("*", f"row_number() over (partition by {keys} order by {order}) as {rank}")
         .where(f"{rank} <= {k}")
     )
+
+
+def rolling_history(df: DataFrame, part: Sequence[str], order: Sequence[str], block: str, item: str, n: int, name: str = "history") -> DataFrame:
+    """The last ``n`` items up to each row, oldest first, windowed inside (key, block).
+
+    The tail of the n - 1 previous non-empty blocks always covers what a block's first rows still need.
+    """
+    keys, sort = ", ".join(part), ", ".join(order)
+    back = ", ".join(f"{c} desc" for c in order)
+    base = df.selectExpr("*", f"{block} as _block", f"{item} as _item")
+    inner = base.selectExpr("*", f"collect_list(_item) over (partition by {keys}, _block order by {sort} rows between {n - 1} preceding and current row) as _h")
+    tail = base.selectExpr(*part, "_block", *[c for c in order if c not in part], "_item", f"row_number() over (partition by {keys}, _block order by {back}) as _r").where(f"_r < {n}")
+    tails = tail.groupBy(*part, "_block").agg(F.expr("array_sort(collect_list(struct(-_r as k, _item as v))) as t")).selectExpr(
+        *part, "_block", f"flatten(collect_list(t.v) over (partition by {keys} order by _block rows between {n - 1} preceding and 1 preceding)) as _c"
+    )
+    joined = inner.join(tails, [*part, "_block"], "left").selectExpr(*df.columns, f"if(size(_h) >= {n}, _h, concat(coalesce(_c, slice(_h, 1, 0)), _h)) as _a")
+    return joined.selectExpr(*df.columns, f"slice(_a, greatest(size(_a) - {n} + 1, 1), {n}) as {name}")
+
+
+def ordered_map(df: DataFrame, keys: Sequence[str], order: Sequence[str], start, step, schema: str) -> DataFrame:
+    """Sequential recurrence per key over ordered rows, streamed: only the current state is held in memory.
+
+    ``start(key)`` makes a state; ``step(state, row)`` returns output tuples. A recurrence is sequential by
+    nature, so parallelism comes from the number of keys; rows of a key never pile up in memory.
+    """
+    import pandas as pd
+
+    columns = [c.strip().split(" ")[0] for c in schema.split(",")]
+
+    def run(batches):
+        current, state = None, None
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                key = tuple(getattr(row, k) for k in keys)
+                if key != current:
+                    current, state = key, start(key)
+                out.extend(step(state, row))
+            yield pd.DataFrame(out, columns=columns)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)

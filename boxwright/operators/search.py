@@ -39,3 +39,57 @@ def pca(vectors: DataFrame, k: int) -> DataFrame:
     model = PCA(k=k, inputCol="features", outputCol="pc").fit(prepared)
     out = model.transform(prepared).select("vec_id", vector_to_array("pc").alias("pc"))
     return out.selectExpr("vec_id", *[f"pc[{i}] as pc{i + 1}" for i in range(k)])
+
+
+def scored(vectors: DataFrame, queries: DataFrame, metric: str = "cosine") -> DataFrame:
+    """Score every vector against a short list of queries (qid, q), broadcast because the caller bounds it."""
+    score = dot("v", "q") if metric == "cosine" else distance("v", "q")
+    prepared = vectors.selectExpr("*", f"{unit('embedding') if metric == 'cosine' else 'embedding'} as v")
+    return prepared.join(F.broadcast(queries)).selectExpr(*[c for c in vectors.columns if c != "embedding"], *[c for c in queries.columns if c != "q"], f"{score} as score")
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 30, floor: float = 0.1, metric: str = "cosine", where: str | None = None) -> DataFrame:
+    """First k vectors per query, best first. ``where`` filters before scoring (it may name query columns)."""
+    from boxwright.operators.scans import salted_top_k
+
+    out = scored(vectors, queries, metric)
+    if where:
+        out = out.where(where)
+    order = "score desc, vec_id" if metric == "cosine" else "score, vec_id"
+    if metric == "cosine":
+        out = out.where(f"score >= {floor}D")
+    return salted_top_k(out, ["qid"], order, k, "pmod(xxhash64(vec_id), 256)")
+
+
+def mean_query(queries: DataFrame) -> DataFrame:
+    """Several query vectors as one: their mean, dimension by dimension."""
+    flat = queries.selectExpr("posexplode(q) as (i, v)").groupBy("i").agg(F.expr("avg(v) as v"))
+    return flat.agg(F.expr("transform(array_sort(collect_list(struct(i, v))), s -> s.v) as q")).selectExpr("0L as qid", "q")
+
+
+def similarity_counts(vectors: DataFrame, max_dist: float, top_k: int, pivots: int = 16) -> DataFrame:
+    """For each vector, how many others lie closer than ``max_dist`` (at most top_k), and the nearest one.
+
+    Exact. Copies collapse to one vector with a weight. Each vector belongs to the cell of its nearest pivot; a
+    partner within m of it has that pivot at most 2m further than its own nearest, so partners are sent only to
+    such cells, and only qualifying pairs leave the join. The pivot list has a fixed length.
+    """
+    rows = vectors.selectExpr("vec_id", "cast(embedding as array<double>) as v")
+    unique = rows.groupBy("v").agg(F.expr("min(vec_id) as rep"), F.expr("count(*) as n"))
+    chosen = F.broadcast(unique.orderBy(F.expr("xxhash64(rep)")).limit(pivots).agg(F.expr("collect_list(v) as ps")))
+    placed = unique.join(chosen).selectExpr("rep", "n", "v", f"transform(ps, p -> {distance('v', 'p')}) as d").selectExpr(
+        "*", "array_min(d) as m"
+    )
+    left = placed.selectExpr("rep", "v", "cast(array_position(d, m) - 1 as int) as cell")
+    right = placed.selectExpr(
+        "rep as r_rep", "n as r_n", "v as r_v",
+        f"explode(filter(sequence(0, size(d) - 1), i -> d[i] <= m + {2 * max_dist + 1e-9}D)) as cell",
+    )
+    pairs = left.join(right, F.expr(f"rep <> r_rep and {distance('v', 'r_v')} < {max_dist}D").__and__(left["cell"] == right["cell"])).selectExpr(
+        "rep", "r_rep", "r_n", f"{distance('v', 'r_v')} as dist"
+    )
+    found = pairs.groupBy("rep").agg(F.expr("sum(r_n) as near"), F.expr("min(struct(dist, r_rep)) as best"))
+    members = rows.join(unique, "v").select("vec_id", "rep", "n")
+    return members.join(found, "rep", "left").selectExpr(
+        "vec_id", f"least(coalesce(near, 0) + n - 1, {top_k}) as n_similar", "if(n > 1, 0D, best.dist) as nearest_dist"
+    )

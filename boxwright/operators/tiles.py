@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from boxwright.operators.nms import rotated_nms
+from boxwright.operators.overlap import touch_join
 
 
 def _starts(length: str, size: int, step: int) -> str:
@@ -49,56 +47,37 @@ def pyramid_plan(images: DataFrame, layers: int, overlap: float = 512 / 1500) ->
     return images.selectExpr(*images.columns, f"explode(concat({', '.join(parts)})) as c").selectExpr(*images.columns, "c.*")
 
 
-def _half_plane(points: str, axis: str, bound: str, above: bool) -> str:
-    """Clip a polygon (array of x, y structs) by one axis-parallel line."""
-    other = "y" if axis == "x" else "x"
-    sign = ">=" if above else "<="
-
-    def meet(a: str, b: str) -> str:
-        t = f"(({bound}) - {a}.{axis}) / ({b}.{axis} - {a}.{axis})"
-        moved = f"{a}.{other} + ({b}.{other} - {a}.{other}) * {t}"
-        return f"struct(cast({bound} as double) as x, {moved} as y)" if axis == "x" else f"struct({moved} as x, cast({bound} as double) as y)"
-
-    following = f"if(size({points}) = 0, {points}, concat(slice({points}, 2, size({points})), slice({points}, 1, 1)))"
-    a_in, b_in = f"a.{axis} {sign} {bound}", f"b.{axis} {sign} {bound}"
-    return (
-        f"flatten(zip_with({points}, {following}, (a, b) -> case when {a_in} and {b_in} then array(b) when {a_in} then array({meet('a', 'b')})"
-        f" when {b_in} then array({meet('a', 'b')}, b) else slice(array(b), 1, 0) end))"
-    )
-
-
 def polygon_area(points: str) -> str:
     """Shoelace area of an array of x, y structs."""
     following = f"if(size({points}) = 0, {points}, concat(slice({points}, 2, size({points})), slice({points}, 1, 1)))"
     return f"abs(aggregate(zip_with({points}, {following}, (a, b) -> a.x * b.y - b.x * a.y), 0D, (s, v) -> s + v)) / 2"
 
 
-def clip_to_tile(df: DataFrame, points: str = "polygon", tile: str = "t") -> DataFrame:
-    """Add ``clipped``: the polygon cut to columns {tile}x1.. of the row, one half-plane after another."""
-    rest = [c for c in df.columns]
-    step = df.selectExpr(*rest, f"{_half_plane(points, 'x', f'{tile}x1', True)} as _p")
-    for axis, bound, above in (("x", f"{tile}x2", False), ("y", f"{tile}y1", True), ("y", f"{tile}y2", False)):
-        step = step.selectExpr(*rest, f"{_half_plane('_p', axis, bound, above)} as _p")
-    return step.selectExpr(*rest, "_p as clipped")
+def clip_to_tile(points: str = "polygon", tile: str = "r_t") -> str:
+    """Polygon cut to the columns {tile}x1.. of its row: one fold over the four half-planes n.p >= c."""
+    planes = (
+        f"array(struct(1D as nx, 0D as ny, cast({tile}x1 as double) as c), struct(-1D as nx, 0D as ny, cast(-{tile}x2 as double) as c),"
+        f" struct(0D as nx, 1D as ny, cast({tile}y1 as double) as c), struct(0D as nx, -1D as ny, cast(-{tile}y2 as double) as c))"
+    )
+    measured = "transform(pts, p -> struct(p.x as x, p.y as y, h.nx * p.x + h.ny * p.y - h.c as d))"
+    meet = "struct(a.x + (b.x - a.x) * (a.d / (a.d - b.d)) as x, a.y + (b.y - a.y) * (a.d / (a.d - b.d)) as y)"
+    edges = f"transform({measured}, (p, i) -> struct(p as a, struct(pts[(i + 1) % size(pts)].x as x, pts[(i + 1) % size(pts)].y as y, h.nx * pts[(i + 1) % size(pts)].x + h.ny * pts[(i + 1) % size(pts)].y - h.c as d) as b))"
+    pieces = (
+        f"case when e.a.d >= 0 and e.b.d >= 0 then array(struct(e.b.x as x, e.b.y as y)) when e.a.d >= 0 then array({meet.replace('a.', 'e.a.').replace('b.', 'e.b.')})"
+        f" when e.b.d >= 0 then array({meet.replace('a.', 'e.a.').replace('b.', 'e.b.')}, struct(e.b.x as x, e.b.y as y)) else slice(array(struct(e.b.x as x, e.b.y as y)), 1, 0) end"
+    )
+    return f"aggregate({planes}, transform({points}, p -> struct(cast(p.x as double) as x, cast(p.y as double) as y)), (pts, h) -> flatten(transform({edges}, e -> {pieces})))"
 
 
 def tiles_with_objects(tiles: DataFrame, objects: DataFrame, min_share: float = 0.7) -> DataFrame:
-    """Objects of each tile: at least ``min_share`` of the polygon lies in it.
-
-    Objects meet only tiles of their image whose cell range touches their hull (grid keyed by the smallest tile
-    step), then the exact clip decides.
-    """
-    cell = 512
-    hull = objects.selectExpr(
-        "*", "array_min(polygon.x) as hx1", "array_min(polygon.y) as hy1", "array_max(polygon.x) as hx2", "array_max(polygon.y) as hy2"
-    ).selectExpr("*", f"cast(floor((hx1 + hx2) / {2 * cell}) as int) as gx", f"cast(floor((hy1 + hy2) / {2 * cell}) as int) as gy")
-    # A tile that holds 0.7 > 1/2 of a convex outline need not hold its centre, so tiles reach one cell further.
-    placed = tiles.selectExpr("*", f"explode(sequence(cast(floor(tx1 / {cell}D) as int) - 1, cast(floor(tx2 / {cell}D) as int) + 1)) as gx").selectExpr(
-        "*", f"explode(sequence(cast(floor(ty1 / {cell}D) as int) - 1, cast(floor(ty2 / {cell}D) as int) + 1)) as gy"
-    )
-    met = hull.join(placed, ["image_id", "gx", "gy"]).where("least(hx2, tx2) > greatest(hx1, tx1) and least(hy2, ty2) > greatest(hy1, ty1)")
-    cut = clip_to_tile(met.drop("gx", "gy", "hx1", "hy1", "hx2", "hy2"))
-    return cut.selectExpr("*", f"{polygon_area('clipped')} / greatest({polygon_area('polygon')}, 1e-6D) as share").where(f"share >= {min_share}D").drop("clipped")
+    """Objects of each tile: at least ``min_share`` of the polygon lies in it. Hulls meet tiles on a grid, the exact clip decides."""
+    hull = objects.selectExpr("*", *[f"array_{f}(polygon.{a}) as {a}{i}" for i, f in ((1, "min"), (2, "max")) for a in ("x", "y")])
+    boxes = tiles.selectExpr("*", *[f"cast(t{c} as double) as {c}" for c in ("x1", "y1", "x2", "y2")])
+    met = touch_join(hull, boxes, ["image_id"], cell=512.0)
+    cut = met.selectExpr("*", f"{clip_to_tile()} as clipped")
+    rest = [c for c in objects.columns if c != "image_id"]
+    names = [f"r_{c} as {c}" for c in tiles.columns if c != "image_id"]
+    return cut.selectExpr("image_id", *rest, *names, f"{polygon_area('clipped')} / greatest({polygon_area('polygon')}, 1e-6D) as share").where(f"share >= {min_share}D")
 
 
 def merge_tiles(det: DataFrame, iou: float = 0.3) -> DataFrame:
@@ -110,5 +89,3 @@ def merge_tiles(det: DataFrame, iou: float = 0.3) -> DataFrame:
     )
     return rotated_nms(moved, iou, max_det=2**31 - 1)
 
-
-_ = (math, F)

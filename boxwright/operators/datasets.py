@@ -40,13 +40,14 @@ def weighted_split(files: DataFrame, key: str, weights=(0.9, 0.1, 0.0), seed: in
     )
 
 
-def ranked_quota(df: DataFrame, part: str, key: str, quota: str, seed: int = 0, buckets: int = 1000) -> DataFrame:
-    """Mark the first ``quota(n)`` rows of each group in hash order, exactly, without ranking whole groups.
+def ranked_quota(df: DataFrame, part: str, key: str, quota: str, seed: int = 0, buckets: int = 1000, order: str | None = None) -> DataFrame:
+    """Mark the first ``quota(n)`` rows of each group in hash order (or in ``order``, a number in [0, 1)), exactly,
+    without ranking whole groups.
 
-    Rows fall into hash-ordered buckets; the counts of the buckets locate the one the quota ends in, and only
+    Rows fall into ordered buckets; the counts of the buckets locate the one the quota ends in, and only
     that bucket is ranked.
     """
-    hashed = df.selectExpr("*", f"{draw(key, seed)} as _u").selectExpr("*", f"cast(floor(_u * {buckets}) as int) as _b")
+    hashed = df.selectExpr("*", f"{order or draw(key, seed)} as _u").selectExpr("*", f"cast(floor(_u * {buckets}) as int) as _b")
     counts = hashed.groupBy(part, "_b").agg(F.expr("count(*) as _n"))
     spans = counts.selectExpr(
         part, "_b", "sum(_n) over (partition by {0} order by _b) - _n as _before".format(part), "_n as _size",

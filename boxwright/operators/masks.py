@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,19 +89,15 @@ def run_length_text(runs: DataFrame, keys: list[str], total: int) -> DataFrame:
     return counted.select("*", encode("counts").alias("rle"))
 
 
-def overlap_index(runs: DataFrame, masks: DataFrame, height: int) -> DataFrame:
-    """Per image position, the mask drawn last when larger masks are drawn first: highest rank wins.
+def overlap_index(runs: DataFrame, areas: DataFrame, height: int) -> DataFrame:
+    """Which mask shows at each position when larger masks are drawn first: the smallest area, then the highest id.
 
-    Ranks (area descending, id) are taken per image with the ordinal position by area; boundaries of runs cut
-    each column into pieces, so pixels are never expanded.
+    Run boundaries cut a column into pieces (a column has at most ``height`` of them), so pixels are never expanded.
     """
-    ranked = masks.selectExpr("image_id", "mask_id", "row_number() over (partition by image_id order by area desc, mask_id) as idx")
-    spans = runs.join(ranked, ["image_id", "mask_id"]).selectExpr("image_id", f"start div {height} as col", "start as s", "start + len as e", "idx")
-    cuts = spans.selectExpr("image_id", "col", "explode(array(s, e)) as p").distinct().selectExpr(
+    spans = runs.join(areas, ["image_id", "mask_id"]).selectExpr("image_id", f"start div {height} as col", "start as s", "start + len as e", "area", "mask_id")
+    distinct = spans.groupBy("image_id", "col", "s", "e").agg(F.expr("max(struct(-area as k, mask_id)) as top"))
+    cuts = distinct.selectExpr("image_id", "col", "explode(array(s, e)) as p").distinct().selectExpr(
         "image_id", "col", "p as s0", "lead(p) over (partition by image_id, col order by p) as e0"
     ).where("e0 is not null")
-    pieces = cuts.join(spans, ["image_id", "col"]).where("s <= s0 and e >= e0")
-    return pieces.groupBy("image_id", "col", "s0", "e0").agg(F.expr("max(idx) as idx"))
-
-
-_ = Iterator
+    pieces = cuts.join(distinct, ["image_id", "col"]).where("s <= s0 and e >= e0")
+    return pieces.groupBy("image_id", "col", "s0", "e0").agg(F.expr("max(top) as t")).selectExpr("image_id", "col", "s0", "e0", "t.mask_id as mask_id")

@@ -74,10 +74,12 @@ def tiles_with_objects(tiles: DataFrame, objects: DataFrame, min_share: float =
     hull = objects.selectExpr("*", *[f"array_{f}(polygon.{a}) as {a}{i}" for i, f in ((1, "min"), (2, "max")) for a in ("x", "y")])
     boxes = tiles.selectExpr("*", *[f"cast(t{c} as double) as {c}" for c in ("x1", "y1", "x2", "y2")])
     met = touch_join(hull, boxes, ["image_id"], cell=512.0)
-    cut = met.selectExpr("*", f"{clip_to_tile()} as clipped")
+    # A hull inside the tile needs no clip; the clip result is bound once, so it is folded once per row.
+    whole = "x1 >= r_tx1 and y1 >= r_ty1 and x2 <= r_tx2 and y2 <= r_ty2"
+    part = f"transform(array({clip_to_tile()}), c -> {polygon_area('c')})[0] / greatest({polygon_area('polygon')}, 1e-6D)"
     rest = [c for c in objects.columns if c != "image_id"]
     names = [f"r_{c} as {c}" for c in tiles.columns if c != "image_id"]
-    return cut.selectExpr("image_id", *rest, *names, f"{polygon_area('clipped')} / greatest({polygon_area('polygon')}, 1e-6D) as share").where(f"share >= {min_share}D")
+    return met.selectExpr("image_id", *rest, *names, f"if({whole}, 1D, {part}) as share").where(f"share >= {min_share}D")
 
 
 def merge_tiles(det: DataFrame, iou: float = 0.3) -> DataFrame:

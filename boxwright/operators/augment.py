@@ -121,13 +121,17 @@ def stitch_parts(parts: DataFrame) -> DataFrame:
     parts: object_id, part_no, xs, ys. An object has a handful of parts; objects are what is distributed.
     """
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("part_no")
-        rings = [np.stack([np.asarray(x, float), np.asarray(y, float)], axis=1) for x, y in zip(frame["xs"], frame["ys"])]
-        outline = stitch(rings)
-        return pd.DataFrame({"object_id": [frame["object_id"].iloc[0]], "xs": [outline[:, 0].tolist()], "ys": [outline[:, 1].tolist()]})
+    grouped = parts.groupBy("object_id").agg(F.expr("array_sort(collect_list(struct(part_no, xs, ys))) as p")).selectExpr("object_id", "p.xs as xs", "p.ys as ys")
 
-    return parts.groupBy("object_id").applyInPandas(one, "object_id bigint, xs array<double>, ys array<double>")
+    def run(batches):
+        for batch in batches:
+            outlines = [
+                stitch([np.stack([np.asarray(x, float), np.asarray(y, float)], axis=1) for x, y in zip(xs, ys)])
+                for xs, ys in zip(batch["xs"], batch["ys"])
+            ]
+            yield pd.DataFrame({"object_id": batch["object_id"], "xs": [o[:, 0] for o in outlines], "ys": [o[:, 1] for o in outlines]})
+
+    return grouped.mapInPandas(run, "object_id bigint, xs array<double>, ys array<double>")
 
 
 def stitch(rings: list[np.ndarray]) -> np.ndarray:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,8 +77,6 @@ def run_length_text(runs: DataFrame, keys: list[str], total: int) -> DataFrame:
 
     A mask has at most ``total`` positions, which bounds the collected runs.
     """
-    import pandas as pd
-
     lists = runs.groupBy(*keys).agg(F.expr("array_sort(collect_list(struct(start, len))) as r"))
     gaps = "transform(r, (x, i) -> array(if(i = 0, x.start, x.start - r[i - 1].start - r[i - 1].len), x.len))"
     counted = lists.selectExpr(*keys, f"concat(flatten({gaps}), filter(array({total} - element_at(r, -1).start - element_at(r, -1).len), v -> v > 0)) as counts")

@@ -89,10 +89,10 @@ def rolling_history(df: DataFrame, part: Sequence[str], order: Sequence[str], bl
     return joined.selectExpr(*df.columns, f"slice(_a, greatest(size(_a) - {n} + 1, 1), {n}) as {name}")
 
 
-def ordered_map(df: DataFrame, keys: Sequence[str], order: Sequence[str], start, step, schema: str) -> DataFrame:
+def ordered_map(df: DataFrame, keys: Sequence[str], order: Sequence[str], start, step, schema: str, finish=None) -> DataFrame:
     """Sequential recurrence per key over ordered rows, streamed: only the current state is held in memory.
 
-    ``start(key)`` makes a state; ``step(state, row)`` returns output tuples. A recurrence is sequential by
+    ``start(key)`` makes a state; ``step(state, row)`` and ``finish(state)`` return output tuples. A recurrence is sequential by
     nature, so parallelism comes from the number of keys; rows of a key never pile up in memory.
     """
     import pandas as pd
@@ -106,8 +106,12 @@ def ordered_map(df: DataFrame, keys: Sequence[str], order: Sequence[str], start,
             for row in batch.itertuples(index=False):
                 key = tuple(getattr(row, k) for k in keys)
                 if key != current:
+                    if finish and current is not None:
+                        out.extend(finish(state))
                     current, state = key, start(key)
                 out.extend(step(state, row))
             yield pd.DataFrame(out, columns=columns)
+        if finish and current is not None:
+            yield pd.DataFrame(finish(state), columns=columns)
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)

@@ -149,13 +149,13 @@ def scoring_plugin(spark: SparkSession, d: str) -> DataFrame:
     return plugins.score(v_image(spark, d).select("image_id", "width", "height"), plugins.stub_scorer).select("image_id", "slot", "cls", "conf")
 
 
-@query("udf_02_embedding_plugin", "SELECT doc_id, round(n_chars / (n_chars + 100.0E0), 6) AS e0, round(1 - n_chars / (n_chars + 100.0E0), 6) AS e1 FROM documents")
+@query("udf_02_embedding_plugin", "SELECT doc_id, round(CAST(CAST(n_chars / (n_chars + 100.0E0) AS FLOAT) AS DOUBLE), 6) AS e0, round(CAST(CAST(1 - n_chars / (n_chars + 100.0E0) AS FLOAT) AS DOUBLE), 6) AS e1 FROM documents")
 def embedding_plugin(spark: SparkSession, d: str) -> DataFrame:
     rows = plugins.embed(table(spark, d, "documents").select("doc_id", "n_chars"), "n_chars", plugins.stub_embedder)
-    return rows.selectExpr("doc_id", "round(embedding[0], 6) as e0", "round(embedding[1], 6) as e1")
+    return rows.selectExpr("doc_id", "round(cast(embedding[0] as double), 6) as e0", "round(cast(embedding[1] as double), 6) as e1")
 
 
-@query("src_18_embedding_table", "SELECT doc_id, round(n_chars / (n_chars + 100.0E0), 6) AS e0 FROM documents")
+@query("src_18_embedding_table", "SELECT doc_id, round(CAST(CAST(n_chars / (n_chars + 100.0E0) AS FLOAT) AS DOUBLE), 6) AS e0 FROM documents")
 def embedding_table(spark: SparkSession, d: str) -> DataFrame:
     """Vectors built once per (dataset, model) into a partitioned table and read back."""
     from boxwright.session import shared_folder
@@ -163,7 +163,7 @@ def embedding_table(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").select("doc_id", "n_chars")
     path = f"{shared_folder(spark)}/embeddings"
     out = plugins.embedding_table(rows, "n_chars", plugins.stub_embedder, path, dataset="documents", model="stub")
-    return out.selectExpr("doc_id", "round(embedding[0], 6) as e0")
+    return out.selectExpr("doc_id", "round(cast(embedding[0] as double), 6) as e0")
 
 
 @query("udf_04_aggregators", "SELECT cls, count(*) AS n, round(avg(conf), 6) AS mean_conf FROM v_det GROUP BY cls")

@@ -319,3 +319,13 @@ def label_export(spark: SparkSession, d: str) -> DataFrame:
     """Text lines of the export; the writer keeps one line per row and partitions by image bucket."""
     return v_det(spark, d).selectExpr("image_id", "det_id", f"{box_line('640', '480', conf=True)} as line")
 
+
+
+@query("prj_08_image_headers", """
+SELECT CAST(doc_id AS VARCHAR) AS path, 'png' AS format, CAST(n_chars % 5000 AS BIGINT) AS width, CAST(doc_id % 4000 AS BIGINT) AS height,
+       CASE WHEN least(n_chars % 5000, doc_id % 4000) < 10 THEN 'small' END AS reason FROM documents""")
+def image_headers(spark: SparkSession, d: str) -> DataFrame:
+    """Header bytes written from table sizes, read back by the byte scanner."""
+    head = "concat('89504E470D0A1A0A0000000D49484452', lpad(hex(n_chars % 5000), 8, '0'), lpad(hex(doc_id % 4000), 8, '0'))"
+    files = table(spark, d, "documents").selectExpr("cast(doc_id as string) as path", f"unhex({head}) as content")
+    return media.check_images(files)

@@ -212,19 +212,23 @@ def optimal_assignment(spark: SparkSession, d: str) -> DataFrame:
     pairs = iou_join(det, v_gt(spark, d), ["image_id", "cls"], 0.5)
     best = salted_top_k(pairs, ["image_id", "det_id"], "iou desc, r_gt_id", N.MAX_DET, "pmod(r_gt_id, 16)")
 
-    def assign(frame: pd.DataFrame) -> pd.DataFrame:
-        rows, dets = np.unique(frame["det_id"], return_inverse=True)
-        cols, gts = np.unique(frame["r_gt_id"], return_inverse=True)
-        cost = np.ones((len(rows), len(cols)))
-        cost[dets, gts] = 1.0 - frame["iou"].to_numpy()
-        chosen = solve(cost, 0.9999)
-        return pd.DataFrame({
-            "image_id": frame["image_id"].iloc[0], "det_id": [rows[i] for i, _ in chosen],
-            "gt_id": [cols[j] for _, j in chosen], "iou": [1.0 - cost[i, j] for i, j in chosen],
-        })
-
-    slim = best.select("image_id", "cls", "det_id", "r_gt_id", "iou")
-    return slim.groupBy("image_id", "cls").applyInPandas(assign, "image_id bigint, det_id bigint, gt_id bigint, iou double")
+    grouped = best.groupBy("image_id", "cls").agg(F.expr("collect_list(det_id) as d"), F.expr("collect_list(r_gt_id) as g"), F.expr("collect_list(iou) as s"))
+
+    def assign(batches):
+        for batch in batches:
+            out = []
+            for image, d_ids, g_ids, scores in zip(batch["image_id"], batch["d"], batch["g"], batch["s"]):
+                rows, dets = np.unique(d_ids, return_inverse=True)
+                cols, gts = np.unique(g_ids, return_inverse=True)
+                if len(rows) == len(cols) == len(d_ids):  # every pair stands alone
+                    out.extend((image, d, g, s) for d, g, s in zip(d_ids, g_ids, scores))
+                    continue
+                cost = np.ones((len(rows), len(cols)))
+                cost[dets, gts] = 1.0 - scores
+                out.extend((image, rows[i], cols[j], 1.0 - cost[i, j]) for i, j in solve(cost, 0.9999))
+            yield pd.DataFrame(out, columns=["image_id", "det_id", "gt_id", "iou"])
+
+    return grouped.mapInPandas(assign, "image_id bigint, det_id bigint, gt_id bigint, iou double")
 
 
 @query("jon_13_prompt_selection", f"""

@@ -38,14 +38,14 @@ def embed(rows: DataFrame, column: str, model: Callable[[pd.Series], pd.Series])
     return rows.select("*", vector(column).alias("embedding"))
 
 
-def embedding_table(rows: DataFrame, column: str, model, path: str, dataset: str, model_name: str | None = None, force: bool = False, **names) -> DataFrame:
+def embedding_table(rows: DataFrame, column: str, encoder, path: str, dataset: str, model: str, force: bool = False) -> DataFrame:
     """Build the vectors of one (dataset, model) once, reuse them afterwards; ``force`` rebuilds that partition."""
-    spark, name = rows.sparkSession, model_name or names["model"]
-    part = f"{path}/dataset={dataset}/model={name}"
+    spark = rows.sparkSession
+    part = f"{path}/dataset={dataset}/model={model}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(part)
     done = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(f"{part}/_SUCCESS"))
     if force or not done:
-        embed(rows, column, model).drop(column).write.mode("overwrite").parquet(part)
+        embed(rows, column, encoder).drop(column).write.mode("overwrite").parquet(part)
     return spark.read.parquet(part)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from boxwright.functions import geometry as G
 
-CELL = 128.0
+CELL = 256.0
 
 
 def centre_cell(df: DataFrame, cell: float = CELL) -> DataFrame:

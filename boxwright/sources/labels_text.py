@@ -31,12 +31,13 @@ def parse_lines(lines: DataFrame, pose: bool = False) -> DataFrame:
     One line with more than six tokens turns every line of its file into a polygon (unless the task is pose);
     the flag is aggregated per file and joined back, so a hot file is not one window.
     """
-    tokens = lines.where("trim(line) <> ''").selectExpr("path", r"transform(split(trim(line), '\\s+'), t -> cast(t as double)) as v")
+    tokens = lines.where("trim(line) <> ''").selectExpr("path", r"split(trim(line), '\\s+') as t")
     if pose:
         flagged = tokens.selectExpr("*", "false as is_polygon")
     else:
-        flags = tokens.groupBy("path").agg(F.expr("max(size(v)) > 6 as is_polygon"))
+        flags = tokens.groupBy("path").agg(F.expr("max(size(t)) > 6 as is_polygon"))
         flagged = tokens.join(flags, "path")
+    flagged = flagged.selectExpr("path", "transform(t, s -> cast(s as double)) as v", "is_polygon")
     points = "transform(sequence(1, size(v) - 2, 2), i -> struct(v[i] as x, v[i + 1] as y))"
     shaped = flagged.selectExpr(
         "path", "v", "is_polygon", "cast(v[0] as int) as cls", f"if(is_polygon, {points}, null) as polygon"

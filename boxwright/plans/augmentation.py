@@ -11,6 +11,8 @@ from boxwright.plans import sqltext as S
 from boxwright.plans.bridge import table, v_det, v_gt, v_image
 from boxwright.plans.projections import rounded
 from boxwright.plans.registry import query
+from boxwright.session import shared_folder
+from boxwright.sinks.exports import manifest_key
 from boxwright.streaming import plugins
 
 BOX = ("x1", "y1", "x2", "y2")
@@ -157,12 +159,14 @@ def embedding_plugin(spark: SparkSession, d: str) -> DataFrame:
 
 @query("src_18_embedding_table", "SELECT doc_id, round(CAST(CAST(n_chars / (n_chars + 100.0E0) AS FLOAT) AS DOUBLE), 6) AS e0 FROM documents")
 def embedding_table(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors built once per (dataset, model) into a partitioned table and read back."""
-    from boxwright.session import shared_folder
+    """Vectors built once per (dataset, model) into a partitioned table and read back.
 
+    The dataset name carries the manifest key of its files, so changed content is never answered from an old table.
+    """
     rows = table(spark, d, "documents").select("doc_id", "n_chars")
+    key = manifest_key(rows.selectExpr("cast(doc_id as string) as path", "n_chars as length")).first().key
     path = f"{shared_folder(spark)}/embeddings"
-    out = plugins.embedding_table(rows, "n_chars", plugins.stub_embedder, path, dataset="documents", model="stub")
+    out = plugins.embedding_table(rows, "n_chars", plugins.stub_embedder, path, dataset=f"documents-{key[:16]}", model="stub")
     return out.selectExpr("doc_id", "round(cast(embedding[0] as double), 6) as e0")
 
 

@@ -31,23 +31,23 @@ def parse_lines(lines: DataFrame, pose: bool = False) -> DataFrame:
     One line with more than six tokens turns every line of its file into a polygon (unless the task is pose);
     the flag is aggregated per file and joined back, so a hot file is not one window.
     """
-    tokens = lines.where("trim(line) <> ''").selectExpr("path", r"split(trim(line), '\\s+') as t")
+    split = r"split(trim(line), '\\s+')"
+    filled = lines.where("trim(line) <> ''")
+    # Numbers are parsed below the join, so later expressions read an attribute instead of parsing again.
+    tokens = filled.selectExpr("path", f"transform({split}, s -> cast(s as double)) as v")
     if pose:
         flagged = tokens.selectExpr("*", "false as is_polygon")
     else:
-        flags = tokens.groupBy("path").agg(F.expr("max(size(t)) > 6 as is_polygon"))
+        flags = filled.groupBy("path").agg(F.expr(f"max(size({split})) > 6 as is_polygon"))
         flagged = tokens.join(flags, "path")
-    flagged = flagged.selectExpr("path", "transform(t, s -> cast(s as double)) as v", "is_polygon")
-    points = "transform(sequence(1, size(v) - 2, 2), i -> struct(v[i] as x, v[i + 1] as y))"
     shaped = flagged.selectExpr(
-        "path", "v", "is_polygon", "cast(v[0] as int) as cls", f"if(is_polygon, {points}, null) as polygon"
-    ).selectExpr(
-        "*", "array_min(polygon.x) as _x1", "array_max(polygon.x) as _x2", "array_min(polygon.y) as _y1", "array_max(polygon.y) as _y2"
+        "path", "v", "is_polygon",
+        "if(is_polygon, filter(v, (c, i) -> i % 2 = 1), null) as _xs", "if(is_polygon, filter(v, (c, i) -> i > 0 and i % 2 = 0), null) as _ys",
     )
     return shaped.selectExpr(
-        "path", "v", "is_polygon", "cls", "polygon",
-        "if(is_polygon, (_x1 + _x2) / 2, v[1]) as x", "if(is_polygon, (_y1 + _y2) / 2, v[2]) as y",
-        "if(is_polygon, _x2 - _x1, v[3]) as w", "if(is_polygon, _y2 - _y1, v[4]) as h",
+        "path", "v", "is_polygon", "cast(v[0] as int) as cls", "zip_with(_xs, _ys, (a, b) -> struct(a as x, b as y)) as polygon",
+        "if(is_polygon, (array_min(_xs) + array_max(_xs)) / 2, v[1]) as x", "if(is_polygon, (array_min(_ys) + array_max(_ys)) / 2, v[2]) as y",
+        "if(is_polygon, array_max(_xs) - array_min(_xs), v[3]) as w", "if(is_polygon, array_max(_ys) - array_min(_ys), v[4]) as h",
     )
 
 

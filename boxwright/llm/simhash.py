@@ -37,8 +37,8 @@ def shingle_hashes(width: int = 3) -> F.Column:
         i -> xxhash64(array_join(slice(_words, i, {width}), ' ')))""")
 
 
-def with_fingerprint(docs: DataFrame, width: int = 3, column: str = "text") -> DataFrame:
-    """Documents with ``fp``, the signed 64-bit fingerprint."""
+def with_fingerprint(docs: DataFrame, width: int = 3, column: str = "text", distinct: bool = False) -> DataFrame:
+    """Documents with ``fp``, the signed 64-bit fingerprint, of all shingles or of the distinct ones."""
 
     @F.pandas_udf("long")
     def majority(hashes: pd.Series) -> pd.Series:
@@ -51,7 +51,7 @@ def with_fingerprint(docs: DataFrame, width: int = 3, column: str = "text") -> D
         return pd.Series(out.view(np.int64))
 
     rest = docs.drop("fp", "_words")
-    hashes = shingle_hashes(width)
+    hashes = F.array_distinct(shingle_hashes(width)) if distinct else shingle_hashes(width)
     return rest.withColumn("_words", words(lower_ascii(F.col(column)))).withColumn("_hashes", hashes).withColumn("fp", majority("_hashes")).drop("_words", "_hashes")
 
 
@@ -116,6 +116,41 @@ def with_components(printed: DataFrame, radius: int = 3) -> DataFrame:
     return printed.join(by_print, "fp")
 
 
+def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (u, v) whose sets (id, hashes) have a Jaccard similarity of ``threshold`` or more."""
+    one, two = (sets.select(F.col("id").alias(k), F.col("hashes").alias(f"_{k}"), F.size("hashes").alias(f"_n{k}")) for k in "uv")
+    sizes = F.least("_nu", "_nv") >= threshold * F.greatest("_nu", "_nv")
+    common = F.size(F.array_intersect("_u", "_v"))
+    near = common >= threshold * (F.col("_nu") + F.col("_nv") - common)
+    return pairs.join(one, "u").join(two, "v").where(sizes).where(near).select("u", "v")
+
+
+def deduplicate(docs: DataFrame, radius: int = 5, width: int = 5, threshold: float = 0.8, column: str = "text") -> DataFrame:
+    """One document of every group of near copies, that of the smallest doc_id; rows keep their columns.
+
+    Fingerprints of the distinct single words propose links (few word edits move them little); a link counts if the texts'
+    sets of ``width``-word shingles have a similarity of ``threshold`` or more. Texts are compared with the first text of their
+    own fingerprint and, between linked fingerprints, first texts with each other, so groups of copies cost one link a text.
+    """
+    rows = docs.withColumns({"_id": F.xxhash64(F.coalesce(F.col(column), F.lit("")), F.length(column)), "_row": F.monotonically_increasing_id()})
+    rows = materialize(with_fingerprint(rows, 1, column, distinct=True))
+    texts = rows.groupBy("_id").agg(F.min("fp").alias("fp"))
+    firsts = materialize(texts.groupBy("fp").agg(F.min("_id").alias("first")))
+    across = links(firsts.select("fp"), radius)
+    for end in "uv":
+        across = across.join(firsts.select(F.col("fp").alias(end), F.col("first").alias(f"_{end}")), end)
+    inside = texts.join(firsts, "fp").where("_id <> first").select(F.col("first").alias("u"), F.col("_id").alias("v"))
+    proposed = materialize(inside.union(across.select(F.col("_u").alias("u"), F.col("_v").alias("v"))))
+    ends = proposed.select(F.col("u").alias("_id")).union(proposed.select(F.col("v").alias("_id"))).distinct()
+    some = rows.select("_id", column).join(ends, "_id").groupBy("_id").agg(F.first(column).alias(column))
+    shingles = F.array_distinct(shingle_hashes(width))
+    sets = materialize(some.withColumn("_words", words(lower_ascii(F.col(column)))).select(F.col("_id").alias("id"), shingles.alias("hashes")))
+    roots = components(similar(proposed, sets, threshold)).select(F.col("node").alias("_id"), "root")
+    groups = rows.select("doc_id", "_row", "_id").join(roots, "_id", "left").select(F.coalesce("root", "_id").alias("root"), "doc_id", "_row")
+    stay = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("x")).select(F.col("x._row").alias("_row"))
+    return rows.join(stay, "_row", "left_semi").select(*docs.columns)
+
+
 def hex_of(fp: F.Column) -> F.Column:
     """16 lower-case hex digits of the unsigned value."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -21,10 +21,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PIECE = 4096  # bytes compressed at once
-DICTIONARY = 96 * 1024  # bytes of a dictionary
-PER_TEXT = 1024  # bytes a labelled text gives to its dictionary
-LEVEL = 1
+PIECE = 2048  # bytes compressed at once
+DICTIONARY = 32 * 1024  # bytes of a dictionary
+PER_TEXT = 512  # bytes a labelled text gives to its dictionary
+LEVEL = 3
 
 
 @dataclass(frozen=True)
@@ -68,19 +68,33 @@ def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50)
     w = np.zeros(z.shape[1])
     penalty = np.eye(len(w)) * ridge
     penalty[0, 0] = 1e-6
+
+    def loss(v: np.ndarray) -> float:
+        margin = z @ v
+        return float(np.logaddexp(0, margin).sum() - y @ margin + v @ penalty @ v / 2)
+
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         step = np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + penalty, z.T @ (y - p) - penalty @ w)
+        before = loss(w)
+        while loss(w + step) > before and np.abs(step).max() > 1e-10:
+            step = step / 2
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
     return w, centre, spread
 
 
-def fit(labelled: DataFrame, max_rows: int = 3_000) -> Model | None:
-    """Model of ``labelled`` rows (doc_id, text, quality), at most ``max_rows`` of either class and 64 KiB of each text."""
-    rows = labelled.where("text is not null and text <> ''").select("doc_id", F.substring("text", 1, 65536).alias("text"), "quality")
-    taken = {q: rows.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).toPandas()["text"].tolist() for q in (1, 0)}
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 3_000) -> Model | None:
+    """Model of the texts of ``docs`` that ``labels`` (doc_id, quality) name: at most ``max_rows`` labels of either class and
+    16,384 characters of each text. The labels are chosen first, so only their texts move."""
+    marks_of = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    rank = F.xxhash64("doc_id")
+    chosen = [marks_of.where(F.col("quality") == q).orderBy(rank, "doc_id").limit(max_rows) for q in (1, 0)]
+    texts = docs.where("text is not null and text <> ''").select("doc_id", F.substring("text", 1, 16384).alias("text"))
+    rows = texts.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").toPandas().sort_values(["doc_id", "text"])
+    rows = rows.iloc[np.argsort((rows["doc_id"].to_numpy() * 2654435761) % (1 << 32), kind="stable")]
+    taken = {q: rows.loc[rows["quality"] == q, "text"].tolist() for q in (1, 0)}
     if min(map(len, taken.values())) < 4:
         return None
     dictionaries, held, marks = {}, [], []
@@ -100,9 +114,9 @@ def fit(labelled: DataFrame, max_rows: int = 3_000) -> Model | None:
     x, y = features(np.array([sizes_of(t, coders) for t in held])), np.array(marks)
     w, centre, spread = calibrate(x, y)
     # the classes were drawn to equal sizes; move the intercept to their true odds
-    n = dict(labelled.where("quality in (0, 1)").groupBy("quality").count().collect())
+    n = dict(marks_of.groupBy("quality").count().collect())
     w[0] += np.log(n[1] / n[0]) - np.log(y.sum() / (len(y) - y.sum()))
-    return Model(dictionaries[1], dictionaries[0], tuple(w), tuple(centre), tuple(spread))
+    return Model(dictionaries[1], dictionaries[0], tuple(w.tolist()), tuple(centre.tolist()), tuple(spread.tolist()))
 
 
 def score_texts(docs: DataFrame, model: Model | None, column: str = "text") -> DataFrame:

@@ -8,7 +8,8 @@ the base patterns miss is added under the kind of the pattern's seeds.
 
 Only DataFrame operations are used; regular expressions are written so that no match can recurse or backtrack over long
 runs. The graph is summed to distinct (pattern, instance) rows before it is joined. Accepted patterns are compared as a
-literal list: a pattern needs ``min_share`` of the occurrences of all seeds, and an occurrence has two patterns, so
+literal list: a pattern must be specific (half of the places of its word hold an identifier, which is counted over all
+texts, so that common words are no pattern) and needs ``min_share`` of the occurrences of all seeds, and an occurrence has two patterns, so
 there are at most 2 / min_share of them.
 
 Defined results: null and empty texts have no spans; repeated rows have the same spans; equal spans come once per kind; an
@@ -22,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxwright.llm.text import body
+from boxwright.llm.text import GAP, body
 from boxwright.session import materialize
 
 KINDS = ("email", "ip", "card", "phone")
@@ -116,15 +117,27 @@ def scored_patterns(seen: DataFrame, rounds: int = 3, prior: float = 4.0) -> Dat
         scores = materialize(scores.join(by_instance, "instance", "left").select("instance", "k", F.when(F.col("k") >= 0, 1.0).otherwise(F.coalesce("found", F.lit(0.0))).alias("score")))
     final = edges.join(scores.select("instance", "score"), "instance").groupBy("pattern").agg(
         (F.sum("score") / (F.count("*") + prior)).alias("confidence"), F.sum(F.when(F.col("k") >= 0, F.col("n")).otherwise(0)).alias("support"),
+        F.sum("n").alias("places"),
         F.count(F.when(F.col("k") >= 0, 1)).alias("seeds"), *[F.sum(F.when(F.col("k") == k, F.col("n")).otherwise(0)).alias(f"k{k}") for k in range(len(KINDS))],
     )
     most = F.greatest(*[F.col(f"k{k}") for k in range(len(KINDS))])
     kind = F.coalesce(*[F.when(F.col(f"k{k}") == most, k) for k in range(len(KINDS))])
-    return final.select("pattern", kind.alias("k"), "support", "seeds", "confidence")
+    return final.select("pattern", kind.alias("k"), "support", "places", "seeds", "confidence")
+
+
+def specific(docs: DataFrame, patterns: list[tuple[str, int, int]], column: str, least: float) -> dict[str, int]:
+    """Patterns {pattern: kind} of which at least the share ``least`` of all places, those of any other word included, hold an
+    identifier. ``patterns`` has (pattern, kind, identifiers found there); the words are counted over all texts."""
+    if not patterns:
+        return {}
+    known = F.create_map(*[F.lit(v) for w in sorted({p[1:] for p, _, _ in patterns}) for v in (w, True)])
+    cut = F.filter(F.split(F.lower(body(F.col(column))), GAP), lambda w: known[w])
+    totals = dict(docs.select(F.explode(cut).alias("w")).groupBy("w").count().collect())
+    return {p: k for p, k, n in patterns if n >= least * totals.get(p[1:], 0)}
 
 
 def find(
-    docs: DataFrame, column: str = "text", keep: Sequence[str] | None = None, confidence: float = 0.75, min_share: float = 0.002, min_seeds: int = 8,
+    docs: DataFrame, column: str = "text", keep: Sequence[str] | None = None, confidence: float = 0.75, min_share: float = 0.002, min_seeds: int = 8, least: float = 0.5,
 ) -> DataFrame:
     """Documents with ``base`` and ``spans``, arrays of struct(s, k, e, m); spans hold the base and what patterns add.
 
@@ -136,7 +149,7 @@ def find(
     patterns = materialize(scored_patterns(placed.select("_seen")))
     total = placed.select(F.expr("size(filter(_seen, x -> x.k >= 0))").alias("n")).agg(F.sum("n")).first()[0] or 0
     good = patterns.where((F.col("confidence") >= confidence) & (F.col("seeds") >= min_seeds) & (F.col("support") >= min_share * total))
-    accepted = sorted((r["pattern"], r["k"]) for r in good.collect())
+    accepted = sorted(specific(rest, [(r["pattern"], r["k"], r["places"]) for r in good.collect()], column, least).items())
     if not accepted:
         return placed.select(*names, "base", F.col("base").alias("spans"))
     kinds = F.create_map(*[F.lit(v) for p in accepted for v in p])

@@ -27,10 +27,11 @@ from pyspark.sql import functions as F
 from boxwright.llm.text import lower_ascii, words
 from boxwright.session import materialize
 
-DEPTH = 4
+DEPTH = 6
 END = 0x100  # the end symbol
 PAD = 0x00  # before the first byte
-STEP = 1 << 20  # symbols counted at once
+STEP = 1 << 22  # symbols counted at once
+SCORED = 1 << 21  # symbols scored at once
 
 
 def windows(raw: bytes) -> np.ndarray:
@@ -84,7 +85,7 @@ class Tree:
     back: list[np.ndarray]  # log10 of the weight given to the suffix, per context
 
 
-def grow(counts: DataFrame, min_share: float = 1 / 65536, min_bits: float = 64.0) -> Tree:
+def grow(counts: DataFrame, min_share: float = 2.0**-18, min_bits: float = 64.0) -> Tree:
     """Tree of summed windows. Only contexts above the share reach the driver."""
     counts = materialize(counts)
     total = counts.agg(F.sum("n")).first()[0] or 0
@@ -171,21 +172,26 @@ def log_probabilities(tree: Tree, codes: np.ndarray) -> np.ndarray:
 
 
 def text_scores(tree: Tree, texts: list[str]) -> np.ndarray:
-    """log10 probability of every text. Distinct codes are looked up once."""
-    codes = [windows(t.encode("utf-8", "surrogatepass")) for t in texts]
-    out = np.zeros(len(texts))
-    at = 0
-    while at < len(texts):
-        upto, size = at, 0
-        while upto < len(texts) and (size == 0 or size + len(codes[upto]) <= 4 * STEP):
-            size += len(codes[upto])
-            upto += 1
-        names, inverse = np.unique(np.concatenate(codes[at:upto]), return_inverse=True)
-        logs = log_probabilities(tree, names)[inverse]
-        edges = np.concatenate(([0], np.cumsum([len(c) for c in codes[at:upto]])))
-        out[at:upto] = np.add.reduceat(logs, edges[:-1])
-        at = upto
-    return out
+    """log10 probability of every text. Texts are taken a few megabytes at a time, and distinct codes looked up once."""
+    out: list[np.ndarray] = []
+    held: list[np.ndarray] = []
+
+    def give() -> None:
+        names, inverse = np.unique(np.concatenate(held), return_inverse=True)
+        starts = np.concatenate(([0], np.cumsum([len(c) for c in held])[:-1]))
+        out.append(np.add.reduceat(log_probabilities(tree, names)[inverse], starts))
+        held.clear()
+
+    size = 0
+    for text in texts:
+        held.append(windows(text.encode("utf-8", "surrogatepass")))
+        size += len(held[-1])
+        if size >= SCORED:
+            give()
+            size = 0
+    if held:
+        give()
+    return np.concatenate(out) if out else np.zeros(0)
 
 
 def word_counts(docs: DataFrame, column: str = "text") -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from boxwright.llm.text import lower_ascii, words
 from boxwright.session import materialize
 
-DEPTH = 6
+DEPTH = 5
 END = 0x100  # the end symbol
 PAD = 0x00  # before the first byte
 STEP = 1 << 22  # symbols counted at once
@@ -85,7 +85,7 @@ class Tree:
     back: list[np.ndarray]  # log10 of the weight given to the suffix, per context
 
 
-def grow(counts: DataFrame, min_share: float = 2.0**-18, min_bits: float = 64.0) -> Tree:
+def grow(counts: DataFrame, min_share: float = 2.0**-16, min_bits: float = 64.0) -> Tree:
     """Tree of summed windows. Only contexts above the share reach the driver."""
     counts = materialize(counts)
     total = counts.agg(F.sum("n")).first()[0] or 0

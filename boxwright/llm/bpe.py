@@ -1,22 +1,28 @@
-"""Byte-level BPE by higher-order functions.
+"""Byte-level BPE: ranked merges folded over the byte arrays of distinct words.
 
-A text is cut into words by the tokenizer's pattern. The corpus' distinct words are encoded once each: a word is an array
-of bytes (two hex digits a piece) over which ``aggregate`` folds the lowest-ranked merge, leftmost first, with ranks read
-from a literal map. The map is an array of small maps addressed by crc32, so that a look-up does not scan it. Decoding
-looks the ids' binary pieces up in a literal array and concatenates them.
+A text is cut into words by the tokenizer's pattern; a word is an array of bytes over which the lowest-ranked merge,
+leftmost first, is folded until no pair has a rank. Decoding concatenates the binary pieces of the ids.
 
-The most frequent ``dictionary`` words (a bound on the literal, not on the result) are encoded beforehand and looked up in
-place; every other word is folded in place by the same expression. Nothing is shuffled but the counts of distinct words.
+``encode`` folds every distinct word of a task's batches once, in a pandas UDF over the text alone, with a bounded memory of
+words; nothing is shuffled. ``encode_native`` does the same by Spark's higher-order functions: ranks come from a literal map
+(an array of small maps addressed by crc32), ``aggregate`` folds the merges, the most frequent words (a bound on the literal,
+not on the result) are encoded beforehand and looked up, every other word is folded in place. Both give the same ids; the
+README has the figures that made the query use the first.
 
 Defined results: null and empty texts have no tokens; repeated rows are encoded alike; an empty table gives an empty result;
-further columns pass through, clashing names are replaced. A fold costs the square of a word's bytes in copied pieces.
+further columns pass through, clashing names are replaced. Long words merge by a heap in n log n steps; the native fold costs
+the square of a word's bytes in copied pieces.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import zlib
+from collections.abc import Iterator
 
+import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +35,86 @@ WORD_BUCKETS = 65536
 NONE = 2147483647
 
 
+def fold_merges(word: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+    """Pieces of a word: the adjacent pair of lowest rank is joined, leftmost first, until none has a rank."""
+    if len(word) > 48:
+        return _fold_long(word, ranks)
+    pieces = [word[i : i + 1] for i in range(len(word))]
+    while len(pieces) > 1:
+        found = [(r, i) for i in range(len(pieces) - 1) if (r := ranks.get(pieces[i] + pieces[i + 1])) is not None]
+        if not found:
+            break
+        i = min(found)[1]
+        pieces[i : i + 2] = [pieces[i] + pieces[i + 1]]
+    return pieces
+
+
+def _fold_long(word: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+    """The same over a heap of pairs: (rank, start, middle, end), dropped when a neighbour has changed."""
+    end = list(range(1, len(word) + 1))  # end of the piece that starts here; 0 where none starts
+    before = list(range(-1, len(word) - 1))
+    heap: list[tuple[int, int, int, int]] = []
+
+    def offer(start: int) -> None:
+        middle = end[start]
+        if middle < len(word) and (r := ranks.get(word[start : end[middle]])) is not None:
+            heapq.heappush(heap, (r, start, middle, end[middle]))
+
+    for i in range(len(word)):
+        offer(i)
+    while heap:
+        _, start, middle, stop = heapq.heappop(heap)
+        if end[start] != middle or end[middle] != stop:
+            continue
+        end[start], end[middle] = stop, 0
+        if stop < len(word):
+            before[stop] = start
+        offer(start)
+        if before[start] >= 0:
+            offer(before[start])
+    out, at = [], 0
+    while at < len(word):
+        out.append(word[at : end[at]])
+        at = end[at]
+    return out
+
+
+def encode(docs: DataFrame, ranks: bytes, pattern: str, remembered: int = 400_000, column: str = "text") -> DataFrame:
+    """Documents with ``n_tokens``, ``ids`` (little-endian unsigned 32-bit) and ``decoded`` (the bytes of the ids).
+
+    ``remembered`` bounds the words a task keeps encoded; beyond it they are encoded anew.
+    """
+    cut = regex_pattern(pattern)
+
+    @F.pandas_udf("n_tokens long, ids binary, decoded binary")
+    def code(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        table = parse_ranks(ranks)
+        packed = {piece: rank.to_bytes(4, "little") for piece, rank in table.items()}
+        pieces = {rank: piece for piece, rank in packed.items()}
+        finder, known = regex.compile(cut), {}
+        for texts in batches:
+            out = []
+            for text in texts:
+                words = finder.findall(text or "")
+                if len(known) > remembered:
+                    known.clear()
+                for w in set(words).difference(known):
+                    raw = w.encode("utf-8")
+                    whole = packed.get(raw)
+                    known[w] = whole if whole is not None else b"".join([packed[p] for p in fold_merges(raw, table)])
+                ids = b"".join([known[w] for w in words])
+                out.append((len(ids) // 4, ids, b"".join([pieces[ids[i : i + 4]] for i in range(0, len(ids), 4)])))
+            yield pd.DataFrame(out, columns=["n_tokens", "ids", "decoded"])
+
+    rest = docs.drop("n_tokens", "ids", "decoded", "_coded")
+    return rest.withColumn("_coded", code(F.col(column))).select(*rest.columns, "_coded.*")
+
+
+def regex_pattern(pattern: str) -> str:
+    """The pattern with white space by Unicode property."""
+    return pattern.replace(r"[^\s\p{L}\p{N}]", r"[^\p{White_Space}\p{L}\p{N}]").replace(r"(?!\S)", r"(?!\P{White_Space})").replace(r"\s", r"\p{White_Space}")
+
+
 def java_pattern(pattern: str) -> str:
     """The pattern for Java's engine: white space and classes by Unicode property."""
     return pattern.replace(r"[^\s\p{L}\p{N}]", r"[^\p{IsWhite_Space}\p{L}\p{N}]").replace(r"(?!\S)", r"(?![^\p{IsWhite_Space}])").replace(r"\s", r"\p{IsWhite_Space}")
@@ -110,7 +196,7 @@ def distinct_words(docs: DataFrame, pattern: str, column: str = "text") -> DataF
     return docs.select(F.explode(cut).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def encode(docs: DataFrame, ranks: bytes, pattern: str, dictionary: int = 131_072, longest: int = 64, column: str = "text") -> DataFrame:
+def encode_native(docs: DataFrame, ranks: bytes, pattern: str, dictionary: int = 131_072, longest: int = 64, column: str = "text") -> DataFrame:
     """Documents with ``n_tokens``, ``ids_hex`` (little-endian ids) and ``decoded_hex`` (bytes decoded from the ids).
 
     ``dictionary`` and ``longest`` bound the literal of frequent words: at most dictionary * longest characters.

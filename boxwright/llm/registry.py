@@ -85,7 +85,7 @@ def op7(spark: SparkSession, d: str) -> DataFrame:
 def op8(spark: SparkSession, d: str) -> DataFrame:
     ranks = attribution.rank_file(spark, public_tokenizers.path(RANKS))
     coded = bpe.encode(table(spark, d, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
-    return coded.select("doc_id", "n_tokens", F.sha2(F.unhex("ids_hex"), 256).alias("ids_sha256"), F.sha2(F.unhex("decoded_hex"), 256).alias("decoded_sha256"))
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @query("op9_simhash")

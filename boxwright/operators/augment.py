@@ -89,8 +89,10 @@ def copy_paste(objects: DataFrame, width: str, share: float, limit: float = 0.3)
 
 
 def text_prompts(objects: DataFrame, num_classes: int, negatives: int, max_samples: int) -> DataFrame:
-    """Sampled class list of each image: its own classes in order, then hash-ordered negatives; class lists are short."""
-    own = objects.groupBy("image_id").agg(F.expr(f"slice(array_sort(collect_set(cls)), 1, {max_samples}) as pos"))
+    """Sampled class list of each image: a hash-ordered sample of its own classes, in order, then hash-ordered negatives; class lists are short."""
+    drawn = "transform(array_sort(transform(own, c -> struct((image_id * 17 + c * 6007) % 1013 as k, c as c))), s -> s.c)"
+    sampled = f"array_sort(slice({drawn}, 1, {max_samples})) as pos"
+    own = objects.groupBy("image_id").agg(F.expr(f"collect_set(cls) as own")).selectExpr("image_id", sampled)
     rest = f"array_except(sequence(0, {num_classes - 1}), pos)"
     ordered = f"transform(array_sort(transform({rest}, c -> struct((image_id * 31 + c * 7919) % 1009 as k, c as c))), s -> s.c)"
     return own.selectExpr("image_id", "pos", f"slice({ordered}, 1, greatest(least({min(num_classes, max_samples)} - size(pos), {negatives}), 0)) as neg").selectExpr(

@@ -95,10 +95,9 @@ def grid_histogram(df: DataFrame, x: str, y: str, bins: int = 50) -> DataFrame:
     return df.crossJoin(span).groupBy(F.expr(f"{cell(x, 'x')} as bx"), F.expr(f"{cell(y, 'y')} as by")).agg(F.expr("count(*) as n"))
 
 
-def keypoint_shape(rows: DataFrame, column: str = "values", key: str = "id", limit: int = 50) -> DataFrame:
-    """Infer [points, dims] from a few samples of flat keypoint lists; null when they disagree or do not fit."""
-    sample = rows.orderBy(key).limit(limit)
-    return sample.agg(
+def keypoint_shape(rows: DataFrame, column: str = "values") -> DataFrame:
+    """Infer [points, dims] from all flat keypoint lists; null when they disagree or do not fit."""
+    return rows.agg(
         F.expr(f"if(count(distinct size({column})) = 1, max(size({column})), null) as len"),
         F.expr(f"bool_and(forall(transform({column}, (v, i) -> if(i % 3 = 2, v, 0D)), v -> v in (0, 1, 2))) as flags"),
     ).selectExpr(

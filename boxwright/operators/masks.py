@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,18 +57,16 @@ def pixel_runs(pixels: DataFrame, keys: list[str]) -> DataFrame:
     return heads.groupBy(*keys, "_h").agg(F.expr("min(start) as start"), F.expr("sum(len) as len")).drop("_h")
 
 
-def counts_text(counts: list[int]) -> str:
-    """Compressed run-length text: five-bit groups, values from the fourth on stored as differences."""
-    out = []
-    for i, value in enumerate(counts):
-        x = value - counts[i - 2] if i > 2 else value
-        more = True
-        while more:
-            bits = x & 0x1F
-            x >>= 5
-            more = x != -1 if bits & 0x10 else x != 0
-            out.append(chr((bits | 0x20 if more else bits) + 48))
-    return "".join(out)
+def counts_text(counts: str = "counts") -> str:
+    """SQL text of compressed counts. From the fourth on a count is written as its difference to the second before it.
+
+    A signed value takes the fewest five-bit groups of two's complement that hold it, lowest first; all but the last are
+    marked with 32, and 48 makes them printable.
+    """
+    steps = f"transform({counts}, (c, i) -> if(i > 2, c - {counts}[i - 2], c))"
+    groups = "ceil((1 + if(d in (0, -1), 0, length(bin(if(d < 0, -d - 1, d))))) / 5D)"
+    digits = "transform(sequence(1, cast(n as int)), g -> chr(48 + (shiftright(d, 5 * (g - 1)) & 31) + if(g < n, 32, 0)))"
+    return f"array_join(flatten(transform({steps}, d -> transform(array({groups}), n -> array_join({digits}, '')))), '')"
 
 
 def run_length_text(runs: DataFrame, keys: list[str], total: int) -> DataFrame:
@@ -81,11 +78,7 @@ def run_length_text(runs: DataFrame, keys: list[str], total: int) -> DataFrame:
     gaps = "transform(r, (x, i) -> array(if(i = 0, x.start, x.start - r[i - 1].start - r[i - 1].len), x.len))"
     counted = lists.selectExpr(*keys, f"concat(flatten({gaps}), filter(array({total} - element_at(r, -1).start - element_at(r, -1).len), v -> v > 0)) as counts")
 
-    @F.pandas_udf("string")
-    def encode(column: pd.Series) -> pd.Series:
-        return column.map(lambda c: counts_text([int(v) for v in c]))
-
-    return counted.select("*", encode("counts").alias("rle"))
+    return counted.selectExpr("*", f"{counts_text()} as rle")
 
 
 def overlap_index(runs: DataFrame, areas: DataFrame, height: int) -> DataFrame:

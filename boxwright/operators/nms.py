@@ -12,35 +12,36 @@ from boxwright.functions import geometry as G
 from boxwright.operators.overlap import distinct_boxes, iou_join, keyed_join, prefixed
 from boxwright.operators.scans import salted_top_k
 
-MAX_NMS = 30_000  # candidates that enter suppression per image
-MAX_DET = 300  # detections kept per image
+UNCAPPED = 2**31 - 1
 SALTS = 512
 
 
-def top_candidates(det: DataFrame, k: int = MAX_NMS, group: str = "image_id", rank: str = "rank") -> DataFrame:
-    """First k rows per image by confidence, ties by id; a hot image is ranked in salted parts first."""
-    return salted_top_k(det, [group], "conf desc, det_id", k, f"pmod(xxhash64(det_id), {SALTS})", rank)
+def top_candidates(det: DataFrame, k: int | None = None, group: str = "image_id", rank: str = "rank") -> DataFrame:
+    """First k rows per image (all by default) by confidence, ties by id; a hot image is ranked in salted parts first."""
+    return salted_top_k(det, [group], "conf desc, det_id", UNCAPPED if k is None else k, f"pmod(xxhash64(det_id), {SALTS})", rank)
 
 
 def greedy_nms(
     det: DataFrame, iou: float, keys: Sequence[str] = ("image_id", "cls"),
-    max_nms: int = MAX_NMS, max_det: int = MAX_DET,
+    max_nms: int | None = None, max_det: int | None = None,
 ) -> DataFrame:
     """Keep a box unless a kept box of its group overlaps it by more than ``iou`` (equal is kept).
 
-    The candidate cap bounds each group's array, and no more than max_det boxes of a group can survive the
-    final cut, so the fold stops growing there.
+    Nothing is capped by default; with max_det the fold stops growing there, since no more boxes of a group can
+    survive the final cut.
     """
     box = "struct(rank, det_id, conf, cls, x1, y1, x2, y2)"
     groups = top_candidates(det, max_nms).groupBy(*keys).agg(F.expr(f"array_sort(collect_list({box})) as boxes"))
+    full = "" if max_det is None else f"size(kept) >= {max_det} or "
     fold = f"""aggregate(slice(boxes, 2, size(boxes)), slice(boxes, 1, 1), (kept, b) ->
-        if(size(kept) >= {max_det} or exists(kept, k -> {G.iou_above(iou, "b.", "k.")}), kept, concat(kept, array(b))))"""
+        if({full}exists(kept, k -> {G.iou_above(iou, "b.", "k.")}), kept, concat(kept, array(b))))"""
     kept = groups.selectExpr("image_id", f"explode({fold}) as b").selectExpr("image_id", "b.*")
     final = f"row_number() over (partition by image_id order by rank) as rank"
-    return kept.selectExpr(*[c for c in kept.columns if c != "rank"], final).where(f"rank <= {max_det}")
+    ranked = kept.selectExpr(*[c for c in kept.columns if c != "rank"], final)
+    return ranked if max_det is None else ranked.where(f"rank <= {max_det}")
 
 
-def fast_nms(det: DataFrame, iou: float, keys: Sequence[str] = ("image_id", "cls"), max_det: int = MAX_DET) -> DataFrame:
+def fast_nms(det: DataFrame, iou: float, keys: Sequence[str] = ("image_id", "cls"), max_det: int | None = None) -> DataFrame:
     """Drop a box when any higher-ranked box, dropped or not, overlaps it by ``iou`` or more (anti-join).
 
     det_id must ascend with descending confidence. Copies collapse to their highest rank before the join.
@@ -82,7 +83,7 @@ def rotated_join(
     return joined.drop("_gx", "_gy", "va", "vb", "vc")
 
 
-def rotated_nms(det: DataFrame, iou: float, keys: Sequence[str] = ("image_id", "cls"), max_det: int = MAX_DET) -> DataFrame:
+def rotated_nms(det: DataFrame, iou: float, keys: Sequence[str] = ("image_id", "cls"), max_det: int | None = None) -> DataFrame:
     """Fast rule with rotated-box similarity; copies collapse to their highest rank first."""
     higher = det.groupBy(*keys, "cx", "cy", "w", "h", "r").agg(F.expr("min(det_id) as det_id"))
     kept = rotated_join(det, higher, keys, iou, "left_anti", extra="r_det_id < det_id")

@@ -89,5 +89,5 @@ def merge_tiles(det: DataFrame, iou: float = 0.3) -> DataFrame:
         r"cx + cast(regexp_extract(tile_name, '(\\d+)___(\\d+)', 1) as double) as cx",
         r"cy + cast(regexp_extract(tile_name, '(\\d+)___(\\d+)', 2) as double) as cy",
     )
-    return rotated_nms(moved, iou, max_det=2**31 - 1)
+    return rotated_nms(moved, iou)
 

@@ -170,11 +170,11 @@ def storage_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("agg_21_keypoint_shape", """
-WITH s AS (SELECT det_id, x1 FROM v_det ORDER BY det_id LIMIT 50), v AS (SELECT det_id, i, CASE WHEN i % 3 = 2 THEN (det_id + i) % 3 ELSE x1 + i END AS v FROM s, (SELECT unnest(range(51)) AS i)),
-l AS (SELECT det_id, count(*) AS n, bool_and(i % 3 <> 2 OR v IN (0, 1, 2)) AS flags FROM v GROUP BY det_id)
+WITH s AS (SELECT det_id, x1 FROM v_det), v AS (SELECT det_id, i, CASE WHEN i % 3 = 2 THEN (det_id + i) % 3 ELSE x1 + i END AS v FROM s, (SELECT unnest(range(51)) AS i)),
+l AS (SELECT det_id, max(i) + 1 AS n, bool_and(i % 3 <> 2 OR v IN (0, 1, 2)) AS flags FROM v GROUP BY det_id)
 SELECT CAST(max(n) // 3 AS INT) AS points, CAST(CASE WHEN bool_and(flags) THEN 3 END AS INT) AS dims FROM l HAVING count(DISTINCT n) = 1""")
 def keypoint_shape(spark: SparkSession, d: str) -> DataFrame:
-    """Shape from sampled flat keypoint lists (51 numbers, every third a visibility flag)."""
+    """Shape from all flat keypoint lists (51 numbers, every third a visibility flag)."""
     rows = v_det(spark, d).selectExpr("det_id as id", "transform(sequence(0, 50), i -> if(i % 3 = 2, cast((det_id + i) % 3 as double), x1 + i)) as values")
     return D.keypoint_shape(rows)
 

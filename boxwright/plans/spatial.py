@@ -205,14 +205,10 @@ def keypoint_similarity(spark: SparkSession, d: str) -> DataFrame:
 def optimal_assignment(spark: SparkSession, d: str) -> DataFrame:
     """One-to-one pairs with the largest total overlap per image and class.
 
-    The per-image detection cap bounds one side; a detection never needs more candidates than there are
-    detections, which bounds the other.
+    All detections and all candidates of a group take part.
     """
-    det = N.top_candidates(v_det(spark, d), N.MAX_DET).drop("rank")
-    pairs = iou_join(det, v_gt(spark, d), ["image_id", "cls"], 0.5)
-    best = salted_top_k(pairs, ["image_id", "det_id"], "iou desc, r_gt_id", N.MAX_DET, "pmod(r_gt_id, 16)")
-
-    grouped = best.groupBy("image_id", "cls").agg(F.expr("collect_list(det_id) as d"), F.expr("collect_list(r_gt_id) as g"), F.expr("collect_list(iou) as s"))
+    pairs = iou_join(v_det(spark, d), v_gt(spark, d), ["image_id", "cls"], 0.5)
+    grouped = pairs.groupBy("image_id", "cls").agg(F.expr("collect_list(det_id) as d"), F.expr("collect_list(r_gt_id) as g"), F.expr("collect_list(iou) as s"))
 
     def assign(batches):
         for batch in batches:

@@ -32,13 +32,14 @@ def parse_lines(lines: DataFrame, pose: bool = False) -> DataFrame:
     the flag is aggregated per file and joined back, so a hot file is not one window.
     """
     split = r"split(trim(line), '\\s+')"
-    filled = lines.where("trim(line) <> ''")
+    # A generated row is split once: the filter on blank lines stays above it instead of repeating the line's expression.
+    filled = lines.selectExpr("path", f"explode(array({split})) as t").where("t[0] <> '' or size(t) > 1")
     # Numbers are parsed below the join, so later expressions read an attribute instead of parsing again.
-    tokens = filled.selectExpr("path", f"transform({split}, s -> cast(s as double)) as v")
+    tokens = filled.selectExpr("path", "transform(t, s -> cast(s as double)) as v")
     if pose:
         flagged = tokens.selectExpr("*", "false as is_polygon")
     else:
-        flags = filled.groupBy("path").agg(F.expr(f"max(size({split})) > 6 as is_polygon"))
+        flags = filled.groupBy("path").agg(F.expr("max(size(t)) > 6 as is_polygon"))
         flagged = tokens.join(flags, "path")
     shaped = flagged.selectExpr(
         "path", "v", "is_polygon",

@@ -249,7 +249,35 @@ def test_keypoint_shape(spark):
 def test_run_length(spark):
     pixels = spark.createDataFrame([(1, 0), (1, 1), (1, 3)], "id bigint, pos bigint")
     out = masks.run_length_text(masks.pixel_runs(pixels, ["id"]), ["id"], 4).first()
-    assert list(out.counts) == [0, 2, 1, 1] and masks.counts_text([0, 2, 1, 1]) == out.rle
+    assert list(out.counts) == [0, 2, 1, 1] and read_counts(out.rle) == [0, 2, 1, 1]
+    many = [0, 15, 16, 17, 700, 3, 1_000_000, 3, 31, 40_000, 0, 5]
+    text = spark.createDataFrame([(many,)], "counts array<bigint>").selectExpr(f"{masks.counts_text()} as rle").first().rle
+    assert read_counts(text) == many
+
+
+def read_counts(text):
+    """Counts of a compressed text."""
+    out, value, shift = [], 0, 0
+    for c in text:
+        group = ord(c) - 48
+        value |= (group & 31) << shift
+        shift += 5
+        if group < 32:
+            value -= (1 << shift) if group & 16 else 0
+            out.append(value + (out[-2] if len(out) > 2 else 0))
+            value, shift = 0, 0
+    return out
+
+
+def test_suppression_keeps_all_separate_boxes(spark):
+    """2,000 boxes that do not touch all stay, under every rule."""
+    from boxwright.operators import nms
+
+    rows = [(1, i, 0, 0.5, 30.0 * (i % 50), 30.0 * (i // 50)) for i in range(2000)]
+    det = spark.createDataFrame(rows, "image_id long, det_id long, cls int, conf double, x1 double, y1 double").selectExpr("*", "x1 + 20 as x2", "y1 + 20 as y2")
+    assert nms.greedy_nms(det, 0.5).count() == nms.fast_nms(det, 0.5).count() == 2000
+    turned = det.selectExpr("image_id", "det_id", "cls", "conf", "x1 + 10 as cx", "y1 + 10 as cy", "20D as w", "20D as h", "0.1D as r")
+    assert nms.rotated_nms(turned, 0.5).count() == 2000
 
 
 def test_assignment_against_brute_force():

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxwright.functions import geometry as G
-from boxwright.operators.overlap import distinct_boxes, iou_join, keyed_join, prefixed
+from boxwright.operators.overlap import centre_cell, distinct_boxes, iou_join, keyed_join, prefixed, reach_cells, touch_join
 from boxwright.operators.scans import salted_top_k
+from boxwright.session import materialize
 
 UNCAPPED = 2**31 - 1
 SALTS = 512
@@ -21,24 +23,44 @@ def top_candidates(det: DataFrame, k: int | None = None, group: str = "image_id"
     return salted_top_k(det, [group], "conf desc, det_id", UNCAPPED if k is None else k, f"pmod(xxhash64(det_id), {SALTS})", rank)
 
 
+def suppression_links(det: DataFrame, iou: float, keys: Sequence[str]) -> DataFrame:
+    """Pairs (image_id, hi, lo): box ``hi`` comes before ``lo`` and overlaps it by more than ``iou``."""
+    # At a small limit the reach of a box outgrows its image, so every touching pair is tested instead.
+    before = f"(r_conf > conf or r_conf = conf and r_det_id < det_id) and {G.iou_above(iou, '', 'r_')}"
+    if iou < 0.1:
+        pairs = touch_join(det, det, keys, extra=before)
+    else:
+        pairs = keyed_join(centre_cell(det), reach_cells(prefixed(det, keys), iou, "r_"), [*keys, "_gx", "_gy"], before, "inner")
+    return pairs.selectExpr("image_id", "r_det_id as hi", "det_id as lo")
+
+
 def greedy_nms(
     det: DataFrame, iou: float, keys: Sequence[str] = ("image_id", "cls"),
     max_nms: int | None = None, max_det: int | None = None,
 ) -> DataFrame:
     """Keep a box unless a kept box of its group overlaps it by more than ``iou`` (equal is kept).
 
-    Nothing is capped by default; with max_det the fold stops growing there, since no more boxes of a group can
-    survive the final cut.
+    ``det_id`` is unique inside an image, and image_id is among the keys. Nothing is capped by default. Of exact copies only
+    the first can stay. The rest is decided in rounds over the pairs that overlap: a box that none before it overlaps any more
+    stays, and what it overlaps goes, until no pair is left. Rounds follow the longest chain of overlapping boxes; each is a
+    few joins over the remaining pairs, written to the shared folder, so a group is never held in one task.
     """
-    box = "struct(rank, det_id, conf, cls, x1, y1, x2, y2)"
-    groups = top_candidates(det, max_nms).groupBy(*keys).agg(F.expr(f"array_sort(collect_list({box})) as boxes"))
-    full = "" if max_det is None else f"size(kept) >= {max_det} or "
-    fold = f"""aggregate(slice(boxes, 2, size(boxes)), slice(boxes, 1, 1), (kept, b) ->
-        if({full}exists(kept, k -> {G.iou_above(iou, "b.", "k.")}), kept, concat(kept, array(b))))"""
-    kept = groups.selectExpr("image_id", f"explode({fold}) as b").selectExpr("image_id", "b.*")
-    final = f"row_number() over (partition by image_id order by rank) as rank"
-    ranked = kept.selectExpr(*[c for c in kept.columns if c != "rank"], final)
-    return ranked if max_det is None else ranked.where(f"rank <= {max_det}")
+    det = det if max_nms is None else top_candidates(det, max_nms).drop("rank")
+    solid = f"{G.area()} > 0"
+    first = F.expr("min(struct(-conf as c, det_id as d)) as _first")
+    distinct = materialize(det.where(solid).groupBy(*keys, *G.CORNERS).agg(first).selectExpr(*keys, *G.CORNERS, "-_first.c as conf", "_first.d as det_id"))
+    links = materialize(suppression_links(distinct, iou, keys))
+    out: list[DataFrame] = []
+    while not links.isEmpty():
+        later = links.selectExpr("image_id", "lo as hi")
+        gone = materialize(links.join(later, ["image_id", "hi"], "left_anti").select("image_id", "lo").distinct())
+        out.append(gone)
+        links = materialize(links.join(gone, ["image_id", "lo"], "left_anti").join(gone.selectExpr("image_id", "lo as hi"), ["image_id", "hi"], "left_anti"))
+    stay = distinct.select("image_id", "det_id")
+    if out:
+        stay = stay.join(reduce(DataFrame.union, out).withColumnRenamed("lo", "det_id"), ["image_id", "det_id"], "left_anti")
+    kept = det.where(solid).join(stay, ["image_id", "det_id"], "left_semi").select(*det.columns).union(det.where(f"not coalesce({solid}, false)"))
+    return top_candidates(kept, max_det) if max_det is not None else kept.selectExpr("*", "row_number() over (partition by image_id order by conf desc, det_id) as rank")
 
 
 def fast_nms(det: DataFrame, iou: float, keys: Sequence[str] = ("image_id", "cls"), max_det: int | None = None) -> DataFrame:

@@ -31,6 +31,13 @@ def label_lines(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def chunked(rows: DataFrame, key: str, id_col: str, size: int = 64, salts: int = 64) -> DataFrame:
+    """Add ``chunk``: at most ``size`` rows of a key share one; a hot key is numbered in salted parts."""
+    salt = f"pmod(xxhash64({id_col}), {salts})"
+    n = f"(row_number() over (partition by {key}, {salt} order by {id_col}) - 1) div {size}"
+    return rows.selectExpr("*", f"struct({salt} as salt, {n} as n) as chunk")
+
+
 @query("src_01_image_manifest", """
 WITH p AS (SELECT './images/' || o_orderkey || CASE o_orderkey % 4 WHEN 0 THEN '.JPG' WHEN 1 THEN '.png' WHEN 2 THEN '.txt' ELSE '.tiff' END AS path FROM orders),
 k AS (SELECT '/data' || substr(path, 2) AS path FROM p WHERE path NOT LIKE '%.txt')
@@ -40,8 +47,7 @@ def image_manifest(spark: SparkSession, d: str) -> DataFrame:
     raw = table(spark, d, "orders").selectExpr(
         "concat('./images/', o_orderkey, case o_orderkey % 4 when 0 then '.JPG' when 1 then '.png' when 2 then '.txt' else '.tiff' end) as value"
     ).selectExpr("if(value like './%', concat('/data', substring(value, 2)), value) as path")
-    kept = raw.where(labels_text.image_suffix_test())
-    return kept.orderBy("path").limit(round(kept.count() * 0.5))
+    return labels_text.leading_share(raw.where(labels_text.image_suffix_test()), 0.5)
 
 
 _BOXES = """
@@ -72,13 +78,17 @@ def folder_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def coco_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """COCO-style rows: duplicates, crowds and empty boxes included."""
-    images = v_image(spark, d).selectExpr("image_id as id", "width", "height", "concat(image_id, '.jpg') as file_name")
-    det = v_det(spark, d).selectExpr(
-        "det_id as id", "image_id", "cls * 3 + 1 as category_id", "array(x1, y1, if(det_id % 17 = 0, 0D, x2 - x1), y2 - y1) as bbox",
-        "if(det_id % 13 = 0, 1, 0) as iscrowd", "if(det_id % 6 = 0, null, array(x1, y1, 2D)) as keypoints",
+    """COCO-style JSON text, one document per image and annotation chunk, parsed back: duplicates, crowds and empty boxes included."""
+    box = "array(x1, y1, if(det_id % 17 = 0, 0D, x2 - x1), y2 - y1)"
+    ann = f"""struct(det_id as id, image_id, cls * 3 + 1 as category_id, {box} as bbox, if(det_id % 13 = 0, 1, 0) as iscrowd,
+        if(det_id % 6 = 0, null, array(x1, y1, 2D)) as keypoints, array(array(x1, y1, x2, y1, x2, y2)) as segmentation)"""
+    copies = f"if(det_id % 9 = 0, array({ann}, {ann}), array({ann}))"
+    chunks = chunked(v_det(spark, d), "image_id", "det_id").join(v_image(spark, d), "image_id")
+    documents = chunks.groupBy("image_id", "width", "height", "chunk").agg(F.expr(f"flatten(collect_list({copies})) as annotations")).selectExpr(
+        "concat(image_id, '-', chunk.salt, '-', chunk.n, '.json') as doc",
+        "to_json(struct(array(struct(image_id as id, width, height, concat(image_id, '.jpg') as file_name)) as images, annotations)) as line",
     )
-    return images, det.unionByName(det.where("id % 9 = 0").selectExpr("id + 1 as id", "image_id", "category_id", "bbox", "iscrowd", "keypoints"))
+    return formats.coco_rows(documents.selectExpr("doc", f"from_json(line, '{formats.COCO_SCHEMA}') as r").selectExpr("doc", "r.*"))
 
 
 _COCO = f"""
@@ -91,6 +101,17 @@ def coco_json(spark: SparkSession, d: str) -> DataFrame:
     return formats.coco_objects(images, anns).selectExpr("image_id", "cls", *r9(*XYWH))
 
 
+@query("src_04_coco_polygons", """
+SELECT image_id, det_id AS ann_id, CAST(cls * 3 AS INT) AS cls, round(x1 / width, 9) AS first_x, round(y2 / height, 9) AS last_y, CASE WHEN det_id % 9 = 0 THEN 2 ELSE 1 END AS copies
+FROM v_det JOIN v_image USING (image_id) WHERE det_id % 13 <> 0 AND det_id % 17 <> 0""")
+def coco_polygons(spark: SparkSession, d: str) -> DataFrame:
+    """Outline parts of the objects; repeated annotations are counted."""
+    parts = formats.coco_polygons(*coco_tables(spark, d))
+    return parts.groupBy("image_id", "ann_id", "cls", *[F.expr(f"round(coords[{i}], 9)").alias(n) for i, n in ((0, "first_x"), (5, "last_y"))]).agg(
+        F.expr("cast(count(*) as int) as copies")
+    )
+
+
 @query("src_04_coco_pose", f"WITH {_COCO} SELECT image_id, count(*) AS n FROM a WHERE det_id % 6 <> 0 GROUP BY image_id")
 def coco_pose(spark: SparkSession, d: str) -> DataFrame:
     """Rows without keypoints leave before duplicates are removed."""
@@ -104,11 +125,11 @@ SELECT image_id || '.jpg' AS file, CASE WHEN image_id % 3 = 0 THEN 'segments' EL
 def ndjson(spark: SparkSession, d: str) -> DataFrame:
     """Image records as JSON text, parsed back; boxes win over later kinds, classification rows come last.
 
-    Records are cut to at most 64 objects each, so a hot image is many records, not one.
+    Records hold at most 64 objects each, so a hot image is many records, not one.
     """
     box = "array(cast(cls as double), (x1 + x2) / 1280, (y1 + y2) / 960, (x2 - x1) / 640, (y2 - y1) / 480)"
     poly = "array(cast(cls as double), x1 / 640, y1 / 480, x2 / 640, y1 / 480, x2 / 640, y2 / 480)"
-    records = v_gt(spark, d).groupBy("image_id", F.expr("gt_id % 64 as part")).agg(
+    records = chunked(v_gt(spark, d), "image_id", "gt_id").groupBy("image_id", "chunk").agg(
         F.expr(f"collect_list(if(image_id % 3 = 0, null, {box})) as boxes"), F.expr(f"collect_list({poly}) as segments")
     ).selectExpr("""to_json(struct('image' as type, concat(image_id, '.jpg') as file, 640 as width, 480 as height, 'train' as split,
         struct(boxes, segments, array(1) as classification) as annotations)) as line""")
@@ -123,7 +144,7 @@ SELECT image_id || '.jpg' AS filename, cls - 1 AS cls, round(((x1 + x2) / 2 - 1)
 FROM v_gt WHERE cls BETWEEN 1 AND 8 AND gt_id % 10 <> 0""")
 def voc_xml(spark: SparkSession, d: str) -> DataFrame:
     """Annotation XML text, parsed with the XML functions; unknown names and difficult objects are dropped."""
-    xml = v_gt(spark, d).groupBy("image_id", F.expr("gt_id % 64 as part")).agg(F.expr("""array_join(collect_list(concat('<object><name>c', cls,
+    xml = chunked(v_gt(spark, d), "image_id", "gt_id").groupBy("image_id", "chunk").agg(F.expr("""array_join(collect_list(concat('<object><name>c', cls,
         '</name><difficult>', if(gt_id % 10 = 0, 1, 0), '</difficult><bndbox><xmin>', x1, '</xmin><ymin>', y1, '</ymin><xmax>', x2, '</xmax><ymax>', y2,
         '</ymax></bndbox></object>')), '') as objects""")).selectExpr(
         "concat('<annotation><filename>', image_id, '.jpg</filename><size><width>640</width><height>480</height></size>', objects, '</annotation>') as line"
@@ -163,11 +184,15 @@ def geojson(spark: SparkSession, d: str) -> DataFrame:
 SELECT 'seq' || (image_id % 3) || '/' || image_id || '.jpg' AS path, cls, round((x1 + x2) / 2 / 1920, 9) AS x, round((y2 - y1) / 1200, 9) AS h FROM v_gt JOIN v_image USING (image_id)""")
 def index_json(spark: SparkSession, d: str) -> DataFrame:
     """Annotations refer to images by index; folders come from a lookup array."""
-    images = v_image(spark, d).selectExpr(
-        "image_id", "concat(image_id, '.jpg') as name", "array('seq0', 'seq1', 'seq2')[cast(image_id % 3 as int)] as folder"
+    chunks = chunked(v_gt(spark, d), "image_id", "gt_id").join(v_image(spark, d).select("image_id"), "image_id")
+    ann = "struct(1L as image_id, cls as category_id, array(x1, y1, x2 - x1, y2 - y1) as bbox)"
+    documents = chunks.groupBy("image_id", "chunk").agg(F.expr(f"collect_list({ann}) as annotations")).selectExpr(
+        "concat(image_id, '-', chunk.salt, '-', chunk.n, '.json') as doc",
+        """to_json(struct(array(struct('unused.jpg' as name, 0 as sid), struct(concat(image_id, '.jpg') as name, int(image_id % 3) as sid)) as images,
+        annotations, array('seq0', 'seq1', 'seq2') as seq_dirs)) as line""",
     )
-    anns = v_gt(spark, d).selectExpr("image_id", "cls as category_id", "array(x1, y1, x2 - x1, y2 - y1) as bbox")
-    return formats.argoverse_objects(images, anns).selectExpr("path", "cls", *r9("x", "h"))
+    parsed = documents.selectExpr("doc", f"from_json(line, '{formats.ARGOVERSE_SCHEMA}') as r").selectExpr("doc", "r.*")
+    return formats.argoverse_objects(*formats.argoverse_rows(parsed)).selectExpr("path", "cls", *r9("x", "h"))
 
 
 @query("src_10_corner_csv", """

@@ -59,9 +59,23 @@ def category_map(spark: SparkSession) -> DataFrame:
 
 
 def read_coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Image and annotation rows of COCO-style JSON documents (one row per document while reading)."""
-    doc = spark.read.schema(COCO_SCHEMA).option("multiLine", True).json(path)
-    return doc.selectExpr("inline(images)"), doc.selectExpr("inline(annotations)")
+    """Image and annotation rows of COCO-style JSON files, each with the file it came from (``doc``)."""
+    return coco_rows(spark.read.schema(COCO_SCHEMA).option("multiLine", True).json(path).selectExpr("*", "_metadata.file_path as doc"))
+
+
+def coco_rows(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Image and annotation rows of parsed documents; image ids are unique inside a document (``doc``) only."""
+    return documents.selectExpr("doc", "inline(images)"), documents.selectExpr("doc", "inline(annotations)")
+
+
+def coco_polygons(images: DataFrame, annotations: DataFrame) -> DataFrame:
+    """Normalised outline parts of the objects, one row per part; run-length masks and parts under three points have none."""
+    size = images.selectExpr("doc", "id as image_id", "file_name", "width", "height")
+    parts = annotations.where("not coalesce(cast(iscrowd as boolean), false) and bbox[2] > 0 and bbox[3] > 0 and segmentation like '[%'").selectExpr(
+        "doc", "image_id", "id as ann_id", "category_id - 1 as cls", "posexplode(from_json(segmentation, 'array<array<double>>')) as (part, v)"
+    ).where("size(v) >= 6")
+    coords = "transform(v, (c, i) -> c / if(i % 2 = 0, width, height)) as coords"
+    return parts.join(size, ["doc", "image_id"]).selectExpr("doc", "image_id", "file_name", "ann_id", "cls", "part", coords)
 
 
 def coco_objects(images: DataFrame, annotations: DataFrame, classes: DataFrame | None = None, keypoints: bool = False) -> DataFrame:
@@ -69,7 +83,7 @@ def coco_objects(images: DataFrame, annotations: DataFrame, classes: DataFrame |
 
     ``classes`` maps category_id to cls; without it the class is category_id - 1.
     """
-    size = images.selectExpr("id as image_id", "file_name", "width", "height")
+    size = images.selectExpr("doc", "id as image_id", "file_name", "width", "height")
     rows = annotations.where("not coalesce(cast(iscrowd as boolean), false) and bbox[2] > 0 and bbox[3] > 0")
     if keypoints:
         rows = rows.where("keypoints is not null")
@@ -77,11 +91,11 @@ def coco_objects(images: DataFrame, annotations: DataFrame, classes: DataFrame |
         rows = rows.join(classes, "category_id").where("cls is not null")
     else:
         rows = rows.selectExpr("*", "category_id - 1 as cls")
-    boxed = rows.join(size, "image_id").selectExpr(
-        "image_id", "file_name", "cls", "(bbox[0] + bbox[2] / 2) / width as x", "(bbox[1] + bbox[3] / 2) / height as y",
+    boxed = rows.join(size, ["doc", "image_id"]).selectExpr(
+        "doc", "image_id", "file_name", "cls", "(bbox[0] + bbox[2] / 2) / width as x", "(bbox[1] + bbox[3] / 2) / height as y",
         "bbox[2] / width as w", "bbox[3] / height as h", *(["keypoints"] if keypoints else []),
     )
-    return boxed.dropDuplicates(["image_id", "cls", "x", "y", "w", "h"])
+    return boxed.dropDuplicates(["doc", "image_id", "cls", "x", "y", "w", "h"])
 
 
 def sorted_classes(annotations: DataFrame, column: str = "category_id") -> DataFrame:
@@ -159,18 +173,22 @@ def xview_objects(features: DataFrame, sizes: DataFrame, classes: DataFrame) ->
 
 
 def read_argoverse(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Image rows by array index with their sequence folder, and annotation rows."""
-    doc = spark.read.schema(ARGOVERSE_SCHEMA).option("multiLine", True).json(path)
-    images = doc.selectExpr("seq_dirs", "posexplode(images) as (pos, i)").selectExpr(
-        "cast(pos as bigint) as image_id", "i.name as name", "seq_dirs[i.sid] as folder"
+    """Image rows by array index with their sequence folder, and annotation rows, each with its file (``doc``)."""
+    return argoverse_rows(spark.read.schema(ARGOVERSE_SCHEMA).option("multiLine", True).json(path).selectExpr("*", "_metadata.file_path as doc"))
+
+
+def argoverse_rows(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Image and annotation rows of parsed documents; an index means its own document (``doc``)."""
+    images = documents.selectExpr("doc", "seq_dirs", "posexplode(images) as (pos, i)").selectExpr(
+        "doc", "cast(pos as bigint) as image_id", "i.name as name", "seq_dirs[i.sid] as folder"
     )
-    return images, doc.selectExpr("inline(annotations)")
+    return images, documents.selectExpr("doc", "inline(annotations)")
 
 
 def argoverse_objects(images: DataFrame, annotations: DataFrame, width: int = 1920, height: int = 1200) -> DataFrame:
     """Annotations refer to images by index; the frame size is fixed."""
-    return annotations.join(images, "image_id").selectExpr(
-        "concat(folder, '/', name) as path", "category_id as cls", f"(bbox[0] + bbox[2] / 2) / {width} as x",
+    return annotations.join(images, ["doc", "image_id"]).selectExpr(
+        "doc", "concat(folder, '/', name) as path", "category_id as cls", f"(bbox[0] + bbox[2] / 2) / {width} as x",
         f"(bbox[1] + bbox[3] / 2) / {height} as y", f"bbox[2] / {width} as w", f"bbox[3] / {height} as h",
     )
 

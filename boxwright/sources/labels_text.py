@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boxwright.session import materialize
+
 # Image suffixes that a manifest keeps.
 IMAGE_SUFFIXES = ("avif", "bmp", "dng", "heic", "heif", "jp2", "jpeg", "jpeg2000", "jpg", "mpo", "png", "tif", "tiff", "webp")
 
@@ -108,5 +110,20 @@ def read_manifest(spark: SparkSession, path: str, fraction: float = 1.0) -> Data
     kept = raw.where(image_suffix_test())
     if fraction >= 1.0:
         return kept
-    total = kept.count()
-    return kept.orderBy("path").limit(round(total * fraction))
+    return leading_share(kept, fraction)
+
+
+def leading_share(paths: DataFrame, fraction: float) -> DataFrame:
+    """The first ``fraction`` of the rows (column path) in path order, the count rounded half to even.
+
+    Paths are dealt by range and written once; the row counts of the ranges locate the one the share ends in, and only
+    that range is ranked.
+    """
+    dealt = materialize(paths.select("path").repartitionByRange("path").withColumn("_range", F.spark_partition_id()))
+    counts = dealt.groupBy("_range").agg(F.expr("count(*) as _n"))
+    # One row per shuffle partition.
+    spans = F.broadcast(counts.selectExpr("_range", "_n", "sum(_n) over (order by _range) - _n as _before", f"cast(bround(sum(_n) over () * {fraction}D, 0) as bigint) as _quota"))
+    placed = dealt.join(spans, "_range")
+    sure = placed.where("_before + _n <= _quota").select("path")
+    edge = placed.where("_before < _quota and _before + _n > _quota").selectExpr("path", "_before + row_number() over (partition by _range order by path) <= _quota as _in")
+    return sure.union(edge.where("_in").select("path"))

@@ -7,7 +7,7 @@ sequential by nature; scale comes from the number of keys, and a key holds its l
 from __future__ import annotations
 
 import pickle
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 
 from boxwright.operators.assignment import solve
 from boxwright.operators.scans import ordered_map
-from boxwright.streaming.motion import Motion, warp_state
+from boxwright.streaming.motion import State, advance, begin, blend, halted, surprise
 
 OUTPUT = "stream_id bigint, video_id bigint, frame bigint, det_id bigint, track_id bigint, x1 double, y1 double, x2 double, y2 double, conf double, cls int"
 
@@ -42,8 +42,7 @@ class Settings:
 @dataclass
 class Track:
     track_id: int
-    mean: np.ndarray
-    cov: np.ndarray
+    state: State
     det: dict
     started: int
     seen: int
@@ -63,17 +62,18 @@ class Tracker:
     lost: list[Track] = field(default_factory=list)
 
     @property
-    def motion(self) -> Motion:
-        return Motion(aspect=not self.settings.appearance)
+    def aspect(self) -> bool:
+        """Whether motion is over aspect ratios rather than widths."""
+        return not self.settings.appearance
 
     def _measure(self, det: dict) -> np.ndarray:
         w, h = det["x2"] - det["x1"], det["y2"] - det["y1"]
-        third = w / h if self.motion.aspect else w
+        third = w / h if self.aspect else w
         return np.array([(det["x1"] + det["x2"]) / 2, (det["y1"] + det["y2"]) / 2, third, h])
 
     def _corners(self, t: Track) -> np.ndarray:
-        x, y, third, h = t.mean[:4]
-        w = third * h if self.motion.aspect else third
+        x, y, third, h = t.state.at
+        w = third * h if self.aspect else third
         return np.array([x - w / 2, y - h / 2, x + w / 2, y + h / 2])
 
     def _cost(self, tracks: list[Track], dets: list[dict], fuse: bool, appearance: bool = True) -> np.ndarray:
@@ -83,7 +83,7 @@ class Tracker:
         cost = 1 - pairwise_iou(a, b)
         if not cost.size:
             return cost
-        near = cost <= self.settings.proximity
+        near = cost <= 1 - self.settings.proximity
         if fuse:
             cost = 1 - (1 - cost) * np.array([d["conf"] for d in dets])[None]
         if appearance and self.settings.appearance and all(t.feature is not None for t in tracks) and all(d.get("feature") is not None for d in dets):
@@ -94,7 +94,7 @@ class Tracker:
         return cost
 
     def _hit(self, t: Track, det: dict) -> None:
-        t.mean, t.cov = self.motion.correct(t.mean, t.cov, self._measure(det))
+        t.state = blend(t.state, self._measure(det), self.aspect)
         t.det, t.seen, t.confirmed, t.lost = det, self.frame, True, False
         self._look(t, det)
 
@@ -104,7 +104,7 @@ class Tracker:
         f = unit(det["feature"])
         t.feature = f if t.feature is None else unit(self.settings.smoothing * t.feature + (1 - self.settings.smoothing) * f)
 
-    def update(self, dets: list[dict], warp: np.ndarray | None = None) -> list[Track]:
+    def update(self, dets: list[dict]) -> list[Track]:
         """One frame: associate strong, weak and tentative, then births, expiry and duplicates."""
         s = self.settings
         self.frame += 1
@@ -115,13 +115,8 @@ class Tracker:
         pool = firm + self.lost
         for t in pool:
             if t.lost:  # a lost track keeps its size
-                t.mean[7] = 0
-                if not self.motion.aspect:
-                    t.mean[6] = 0
-            t.mean, t.cov = self.motion.predict(t.mean, t.cov)
-        if warp is not None:
-            for t in pool + tentative:
-                t.mean, t.cov = warp_state(t.mean, t.cov, warp)
+                t.state = halted(t.state, *((3,) if self.aspect else (2, 3)))
+            t.state = advance(t.state, self.aspect)
         hits = solve(self._cost(pool, strong, s.fuse), s.match)
         for i, j in hits:
             self._hit(pool[i], strong[j])
@@ -141,8 +136,7 @@ class Tracker:
         for j, d in enumerate(rest):
             if j in {b for _, b in third} or d["conf"] < s.new:
                 continue
-            mean, cov = self.motion.begin(self._measure(d))
-            born = Track(self.next_id, mean, cov, d, self.frame, self.frame, confirmed=self.frame == 1)
+            born = Track(self.next_id, begin(self._measure(d), self.aspect), d, self.frame, self.frame, confirmed=self.frame == 1)
             self._look(born, d)
             self.next_id += 1
             kept.append(born)
@@ -163,6 +157,21 @@ class Tracker:
         self.live = [t for i, t in enumerate(self.live) if i not in drop_live]
         self.lost = [t for j, t in enumerate(self.lost) if j not in drop_lost]
 
+    def pass_empty(self, frames: int) -> None:
+        """Frames without a detection; once every track has expired, more of them change nothing but the count."""
+        for _ in range(min(frames, self.settings.buffer + 2)):
+            self.update([])
+
+    def dump(self) -> bytes:
+        """The state as plain values, so it can be read by a worker that got this code another way."""
+        return pickle.dumps((self.frame, self.next_id, [asdict(t) for t in self.live], [asdict(t) for t in self.lost]))
+
+    @staticmethod
+    def load(blob: bytes, settings: Settings) -> Tracker:
+        frame, next_id, *lists = pickle.loads(blob)
+        live, lost = ([Track(**{**t, "state": State(**t["state"])}) for t in ts] for ts in lists)
+        return Tracker(settings, frame, next_id, live, lost)
+
     def rows(self, key: tuple, frame_no: int) -> list[tuple]:
         out = []
         for t in self.live:
@@ -203,6 +212,8 @@ def track_batch(det: DataFrame, settings: Settings | None = None) -> DataFrame:
         out = []
         if row.frame != state["frame"]:
             out = finish(state)
+            if state["frame"] is not None:
+                state["tracker"].pass_empty(int(row.frame) - state["frame"] - 1)
             state["frame"], state["dets"] = int(row.frame), []
         state["dets"].append(row._asdict())
         return out
@@ -230,14 +241,16 @@ def track_stream(det: DataFrame, settings: Settings | None = None) -> DataFrame:
             tracker, last = (Tracker(settings), -1)
             if self.blob.exists():
                 blob, last = self.blob.get()
-                tracker = pickle.loads(bytes(blob))
+                tracker = Tracker.load(bytes(blob), settings)
             frames = pd.concat(list(rows)).sort_values(["frame", "det_id"])
             out = []
             for frame, group in frames[frames["frame"] > last].groupby("frame", sort=True):
+                if last >= 0:
+                    tracker.pass_empty(int(frame) - last - 1)
                 tracker.update(group.to_dict("records"))
                 out.extend(tracker.rows(key, int(frame)))
                 last = int(frame)
-            self.blob.update((pickle.dumps(tracker), last))
+            self.blob.update((tracker.dump(), last))
             yield pd.DataFrame(out, columns=[c.strip().split(" ")[0] for c in OUTPUT.split(",")])
 
         def close(self) -> None:
@@ -253,15 +266,14 @@ def smooth_tracks(obs: DataFrame, aspect: bool = False) -> DataFrame:
     schema = "stream_id bigint, track_id bigint, frame_no bigint, px double, py double, sx double, sy double, gate double"
 
     def step(state: dict, row) -> list[tuple]:
-        filt = Motion(aspect)
         box = np.array([row.cx, row.cy, row.w / row.h if aspect else row.w, row.h])
-        if "mean" not in state:
-            state["mean"], state["cov"] = filt.begin(box)
-            px, py, gate = row.cx, row.cy, 0.0
+        if "motion" not in state:
+            state["motion"], px, py, gate = begin(box, aspect), row.cx, row.cy, 0.0
         else:
-            mean, cov = filt.predict(state["mean"], state["cov"])
-            px, py, gate = float(mean[0]), float(mean[1]), filt.gate(mean, cov, box)
-            state["mean"], state["cov"] = filt.correct(mean, cov, box)
-        return [(row.stream_id, row.track_id, row.frame_no, px, py, float(state["mean"][0]), float(state["mean"][1]), gate)]
+            ahead = advance(state["motion"], aspect)
+            px, py, gate = float(ahead.at[0]), float(ahead.at[1]), surprise(ahead, box, aspect)
+            state["motion"] = blend(ahead, box, aspect)
+        x, y = state["motion"].at[:2]
+        return [(row.stream_id, row.track_id, row.frame_no, px, py, float(x), float(y), gate)]
 
     return ordered_map(obs, ["stream_id", "track_id"], ["frame_no"], lambda key: {}, step, schema)

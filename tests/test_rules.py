@@ -335,3 +335,42 @@ def test_jpeg_header():
     assert media._header(good) == ("jpeg", 40, 30, True)
     assert media._header(good[:-2])[3] is False
     assert media._header(b"GIF89a")[0] is None
+
+
+def test_documents_with_equal_ids(spark, tmp_path):
+    """Image ids of two files are different images, and so are their indexes."""
+    for name, box in (("a", 10), ("b", 20)):
+        (tmp_path / "coco").mkdir(exist_ok=True)
+        (tmp_path / "coco" / f"{name}.json").write_text(
+            f'{{"images": [{{"id": 1, "width": 100, "height": 50, "file_name": "{name}.jpg"}}], "annotations": [{{"id": 1, "image_id": 1, "category_id": 3,'
+            f' "bbox": [{box}, 10, 20, 20], "iscrowd": 0, "segmentation": [[{box}, 10, {box}, 20, 30, 20], [1, 2, 3]]}}]}}'
+        )
+        (tmp_path / "seq").mkdir(exist_ok=True)
+        (tmp_path / "seq" / f"{name}.json").write_text(
+            f'{{"images": [{{"name": "{name}.jpg", "sid": 0}}], "annotations": [{{"image_id": 0, "category_id": 1, "bbox": [{box}, 0, 192, 120]}}], "seq_dirs": ["s"]}}'
+        )
+    images, anns = formats.read_coco(spark, str(tmp_path / "coco"))
+    assert sorted((r.file_name, r.x) for r in formats.coco_objects(images, anns).collect()) == [("a.jpg", 0.2), ("b.jpg", 0.3)]
+    outlines = sorted((r.file_name, r.part, r.coords) for r in formats.coco_polygons(images, anns).collect())
+    assert outlines == [("a.jpg", 0, [0.1, 0.2, 0.1, 0.4, 0.3, 0.4]), ("b.jpg", 0, [0.2, 0.2, 0.2, 0.4, 0.3, 0.4])]
+    found = formats.argoverse_objects(*formats.read_argoverse(spark, str(tmp_path / "seq"))).collect()
+    assert sorted(r.path for r in found) == ["s/a.jpg", "s/b.jpg"]
+
+
+def test_greedy_chain_and_copies(spark):
+    """A chain of overlapping boxes alternates; copies follow their first; boxes without area never meet."""
+    rows = [(0, 0, i, 0.9 - i / 1000, 10.0 * i, 0.0, 10.0 * i + 20, 20.0) for i in range(40)]
+    rows += [(0, 0, 100 + i, 0.5, 0.0, 500.0, 20.0, 520.0) for i in range(30)] + [(0, 0, 200 + i, 0.4, 700.0, 0.0, 700.0, 9.0) for i in range(3)]
+    det = spark.createDataFrame(rows, "image_id long, cls int, det_id long, conf double, x1 double, y1 double, x2 double, y2 double")
+    want = list(range(0, 40, 2)) + [100, 200, 201, 202]
+    for limit in (0.3, 0.05):
+        out = nms.greedy_nms(det, limit).collect()
+        assert sorted(r.det_id for r in out) == want and sorted(r["rank"] for r in out) == list(range(1, len(want) + 1))
+    assert sorted(r.det_id for r in nms.greedy_nms(det, 0.3, max_det=3).collect()) == [0, 2, 4]
+
+
+def test_leading_share(spark):
+    for n in (0, 1, 3, 101):
+        paths = spark.createDataFrame([(f"p{i * 37 % 101:03d}",) for i in range(n)], "path string")
+        want = sorted(r.path for r in paths.collect())[: round(n * 0.5)]
+        assert sorted(r.path for r in labels_text.leading_share(paths, 0.5).collect()) == want

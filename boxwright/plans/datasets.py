@@ -11,7 +11,7 @@ from boxwright.operators import evaluation as E
 from boxwright.operators import matching as M
 from boxwright.plans import sqltext as S
 from boxwright.plans.bridge import table, v_det, v_gt, v_image
-from boxwright.plans.evaluation import cumulative, match_table
+from boxwright.plans.evaluation import cumulative
 from boxwright.plans.projections import v_rot, V_ROT
 from boxwright.plans.registry import query
 from boxwright.session import materialize
@@ -396,4 +396,3 @@ def best_epoch(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-_ = match_table

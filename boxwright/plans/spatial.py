@@ -106,7 +106,7 @@ def tile_plan(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("jon_11_tile_objects", f"""WITH {_TILES}
-SELECT g.image_id, gt_id, CAST(tx1 AS BIGINT) AS tx1, CAST(ty1 AS BIGINT) AS ty1, round({S.inter("g.", "t.t").replace("t.tx", "t.tx")} / {S.box_area("g.")}, 6) AS share
+SELECT g.image_id, gt_id, CAST(tx1 AS BIGINT) AS tx1, CAST(ty1 AS BIGINT) AS ty1, round({S.inter("g.", "t.t")} / {S.box_area("g.")}, 6) AS share
 FROM v_gt g JOIN plan t ON g.image_id = t.image_id WHERE {S.inter("g.", "t.t")} / {S.box_area("g.")} >= 0.7E0""")
 def tile_objects(spark: SparkSession, d: str) -> DataFrame:
     """Objects (as polygons) of each tile, by exact clip."""
@@ -232,7 +232,7 @@ WITH p AS (SELECT image_id, 100.0 + image_id % 300 AS px1, 80.0 + image_id % 200
 b AS (SELECT d.image_id, d.det_id, i / (a + {S.box_area("d.")} - i) AS s, ax, inb FROM (SELECT d.*, {S.inter("d.", "p.p")} AS i, (px2 - px1) * (py2 - py1) AS a, px1 AS ax,
     px1 >= x1 AND px1 < x2 AND py1 >= y1 AND py1 < y2 AS inb FROM v_det d JOIN p USING (image_id)) d),
 r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY s DESC, det_id) AS k FROM b)
-SELECT image_id, det_id, k = 1 AS by_box, inb AS by_point FROM r WHERE k = 1 OR inb""".replace("{S.inter", "{S.inter"))
+SELECT image_id, det_id, k = 1 AS by_box, inb AS by_point FROM r WHERE k = 1 OR inb""")
 def prompt_selection(spark: SparkSession, d: str) -> DataFrame:
     """Box prompt: the object with the largest overlap share; point prompt: every object under the point."""
     from boxwright.operators.prompts import box_prompt, point_prompts

@@ -17,10 +17,13 @@ model and counts of 0; an empty table gives an empty result; further columns pas
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
+from math import log10
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +34,8 @@ DEPTH = 5
 END = 0x100  # the end symbol
 PAD = 0x00  # before the first byte
 STEP = 1 << 22  # symbols counted at once
-SCORED = 1 << 21  # symbols scored at once
+PIECE = 500  # texts scored at once
+SCORED = 1 << 19  # symbols scored at once
 
 
 def windows(raw: bytes) -> np.ndarray:
@@ -171,7 +175,7 @@ def log_probabilities(tree: Tree, codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def text_scores(tree: Tree, texts: list[str]) -> np.ndarray:
+def text_scores(tree: Tree, texts: list[bytes]) -> np.ndarray:
     """log10 probability of every text. Texts are taken a few megabytes at a time, and distinct codes looked up once."""
     out: list[np.ndarray] = []
     held: list[np.ndarray] = []
@@ -184,7 +188,7 @@ def text_scores(tree: Tree, texts: list[str]) -> np.ndarray:
 
     size = 0
     for text in texts:
-        held.append(windows(text.encode("utf-8", "surrogatepass")))
+        held.append(windows(text))
         size += len(held[-1])
         if size >= SCORED:
             give()
@@ -211,25 +215,35 @@ def score(docs: DataFrame, training: DataFrame, frequent: int = 65_536, column:
     scale = float(total + types + 1)
     rest = docs.drop("n_tokens", "n_known", "train_tokens", "base_score", "score", "_s", "_row", "_t")
 
-    @F.pandas_udf("n_words long, known long, base double, score double, others array<struct<word: string, n: int>>")
-    def local(texts: pd.Series) -> pd.DataFrame:
-        out = []
-        scores = text_scores(tree, list(texts))
-        for text in texts:
-            parts = text.encode("utf-8", "surrogatepass").split()
-            others: dict[bytes, int] = {}
-            c = []
-            for w in parts:
-                v = known.get(w)
-                if v is None:
-                    others[w] = others.get(w, 0) + 1
+    @F.arrow_udf("n_words long, known long, base double, score double, others array<struct<word: string, n: int>>")
+    def local(texts: pa.Array) -> pa.Array:
+        parts = [local_part(texts.slice(i, PIECE)) for i in range(0, len(texts), PIECE)] or [local_part(texts)]
+        return pa.concat_arrays(parts)
+
+    def local_part(texts: pa.Array) -> pa.Array:
+        """Totals of the frequent words and of the tree per text; the other words as flat arrays, so a batch stays small."""
+        raw = [t or b"" for t in texts.cast(pa.large_binary()).to_pylist()]
+        totals, names, times, ends = [], [], [], [0]
+        for text in raw:
+            found, base, size = 0, 0.0, 0
+            for w, n in Counter(text.split()).items():
+                c = known.get(w)
+                size += n
+                if c is None:
+                    names.append(w)
+                    times.append(n)
                 else:
-                    c.append(v)
-            base = float(np.log10((np.array(c, float) + 1) / scale).sum())
-            out.append((len(parts), len(c), base, [{"word": w.decode("utf-8", "surrogatepass"), "n": n} for w, n in others.items()]))
-        frame = pd.DataFrame(out, columns=["n_words", "known", "base", "others"])
-        frame.insert(3, "score", scores)
-        return frame
+                    found += n
+                    base += n * log10((c + 1) / scale)
+            totals.append((size, found, base))
+            ends.append(len(names))
+        size, found, base = zip(*totals) if totals else ((), (), ())
+        other = pa.StructArray.from_arrays([pa.array(names, pa.binary()).cast(pa.string()), pa.array(times, pa.int32())], ["word", "n"])
+        columns = [
+            pa.array(size, pa.int64()), pa.array(found, pa.int64()), pa.array(base, pa.float64()), pa.array(text_scores(tree, raw), pa.float64()),
+            pa.ListArray.from_arrays(pa.array(ends, pa.int32()), other),
+        ]
+        return pa.StructArray.from_arrays(columns, ["n_words", "known", "base", "score", "others"])
 
     placed = materialize(
         rest.withColumn("_t", lower_ascii(F.col(column))).withColumn("_s", local("_t")).drop("_t").withColumn("_row", F.monotonically_increasing_id())

@@ -60,7 +60,12 @@ def op4(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("op5_top_k")
+@query("op5_top_k", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
+SELECT query_id, CAST(k AS INT) AS rank, vec_id, score FROM r WHERE k <= 10""")
 def op5(spark: SparkSession, d: str) -> DataFrame:
     vectors = topk.integer_vectors(table(spark, d, "embeddings").select("vec_id", "embedding"))
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), 10)

@@ -47,6 +47,8 @@ def test_deduplicate(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
     assert sorted(r.doc_id for r in simhash.deduplicate(docs).collect()) == [0, 3, 9]
     assert simhash.deduplicate(docs.limit(0)).count() == 0
+    for rounds in (1, 3):
+        assert sorted(r.doc_id for r in simhash.deduplicate(docs, hub_rounds=rounds).collect()) == [0, 3, 9]
 
 
 def test_top_k_ties_and_holes(spark):
@@ -144,3 +146,35 @@ def test_components_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "u long, v long")
     assert {(r.node, r.root) for r in components(links).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
     assert components(links.where(F.lit(False))).collect() == []
+
+
+def test_dense_ball_has_the_groups_of_all_links(spark):
+    """Groups of near copies with their own edits, against all pairs of texts whose fingerprints are near and whose shingles are similar."""
+    import random
+
+    rng, texts = random.Random(5), []
+    for g in range(4):
+        base = [f"g{g}w{i}" for i in range(120)]
+        for _ in range(25):
+            w = list(base)
+            for _ in range(rng.randint(0, 2)):
+                w[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    prints = {r.doc_id: r.fp for r in simhash.with_fingerprint(docs, 1, distinct=True).collect()}
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(116)} for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for i in range(len(texts)):
+        for j in range(i):
+            close = ((prints[i] ^ prints[j]) & (1 << 64) - 1).bit_count() <= 5
+            if close and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    want = sorted({find(i) for i in range(len(texts))})
+    assert 4 <= len(want) < 60
+    for rounds in (1, 2):
+        assert sorted(r.doc_id for r in simhash.deduplicate(docs, hub_rounds=rounds).collect()) == want

@@ -1,15 +1,16 @@
 """Probabilistic suffix tree over text bytes, and the add-one word scores beside it.
 
 Symbols are UTF-8 bytes of the lower-cased text and one end symbol. Tasks count windows of ``DEPTH`` bytes and the next
-symbol; Spark sums them. Contexts of every length are sums of these counts. A context stays in the tree when it holds at
-least ``min_share`` of all symbols and its next-symbol distribution diverges from that of its longest retained proper
-suffix (Kullback-Leibler divergence weighted by its count, in bits). Distributions are smoothed by mixing in the
+symbol; Spark sums them. Contexts of every length are sums of these counts. A context stays in the tree when it is seen
+``least`` times or more and its next-symbol distribution diverges from that of its longest retained proper suffix
+(Kullback-Leibler divergence weighted by its count, in bits). Distributions are smoothed by mixing in the
 suffix's with the weight d / (n + d), d being the distinct symbols seen (Witten-Bell); the empty context mixes in the uniform one. A
 position is scored in its longest suffix state.
 
-The share bounds the tree: at most 1 / min_share contexts a length, whatever the corpus, so it may be sent to the tasks.
-The word counts have no such bound: the most frequent words (a bound on what is sent, not on the result) are looked up in
-the tasks, the counts of all others are joined.
+The tree is a table and grows with the corpus: level by level, the windows of training texts and of those to score (with a
+count of 0) are joined to their suffixes' probabilities, and a context has at most 257 rows. Texts are scored by the
+probabilities of their windows: the most frequent windows and words (a bound on what is sent, not on the result) are looked
+up in the tasks, all others are joined.
 
 Defined results: null and empty texts are the end alone; repeated rows score alike; an empty training set gives the uniform
 model and counts of 0; an empty table gives an empty result; further columns pass through, clashing names are replaced.
@@ -18,24 +19,22 @@ model and counts of 0; an empty table gives an empty result; further columns pas
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import dataclass
 from math import log10
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxwright.llm.text import lower_ascii, words
 from boxwright.session import materialize
 
-DEPTH = 5
+DEPTH = 6
 END = 0x100  # the end symbol
 PAD = 0x00  # before the first byte
 STEP = 1 << 22  # symbols counted at once
 PIECE = 500  # texts scored at once
-SCORED = 1 << 19  # symbols scored at once
 
 
 def windows(raw: bytes) -> np.ndarray:
@@ -48,11 +47,6 @@ def windows(raw: bytes) -> np.ndarray:
     return (code << 9) | np.concatenate((x[DEPTH:], [END]))
 
 
-def context_of(codes: np.ndarray, length: int) -> np.ndarray:
-    """The last ``length`` bytes of the contexts in codes."""
-    return (codes >> 9) & ((1 << (8 * length)) - 1)
-
-
 def count_windows(docs: DataFrame, column: str = "text") -> DataFrame:
     """(code, n) over all texts."""
 
@@ -77,125 +71,57 @@ def count_windows(docs: DataFrame, column: str = "text") -> DataFrame:
     return docs.select(lower_ascii(F.col(column)).alias("t")).mapInPandas(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
-@dataclass
-class Tree:
-    """Per length: sorted contexts with their unseen-symbol backing, and sorted (context, symbol) keys with log10 probabilities."""
-
-    contexts: list[np.ndarray]
-    kept: list[np.ndarray]
-    fallback: np.ndarray  # log10 probabilities of the 257 symbols in the empty context
-    keys: list[np.ndarray]
-    logs: list[np.ndarray]
-    back: list[np.ndarray]  # log10 of the weight given to the suffix, per context
-
-
-def grow(counts: DataFrame, min_share: float = 2.0**-16, min_bits: float = 64.0) -> Tree:
-    """Tree of summed windows. Only contexts above the share reach the driver."""
-    counts = materialize(counts)
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    uniform = np.full(257, 1 / 257)
-    contexts, kept, keys, logs, back = [], [], [], [], []
-
-    def level(length: int) -> pd.DataFrame:
-        ctx = F.shiftright("code", 9).bitwiseAND(F.lit((1 << (8 * length)) - 1))
-        rows = counts.select(ctx.alias("ctx"), F.col("code").bitwiseAND(F.lit(511)).alias("s"), "n").groupBy("ctx", "s").agg(F.sum("n").alias("n"))
-        large = rows.groupBy("ctx").agg(F.sum("n").alias("all")).where(F.col("all") >= max(1.0, min_share * total))
-        return rows.join(large, "ctx").select("ctx", "s", "n").toPandas().sort_values(["ctx", "s"], ignore_index=True)
-
-    base = level(0) if total else pd.DataFrame({"ctx": [], "s": [], "n": []})
-    n, d = base["n"].sum(), len(base)
-    root = uniform.copy() if not total else uniform * d / (n + d)
-    if total:
-        root[base["s"].to_numpy()] += base["n"].to_numpy() / (n + d)
-    fallback = np.log10(root)
-
-    def suffix_probability(ctx: np.ndarray, s: np.ndarray, length: int) -> np.ndarray:
-        """Probability of s in the longest retained state that is a suffix of ctx, of at most ``length`` bytes."""
-        out = root[s].copy()
-        weight = np.ones(len(s))
-        todo = np.ones(len(s), bool)
-        for k in range(length, 0, -1):
-            c = ctx & ((1 << (8 * k)) - 1)
-            at = np.minimum(np.searchsorted(contexts[k - 1], c), max(0, len(contexts[k - 1]) - 1))
-            hit = todo & (len(contexts[k - 1]) > 0) & kept_at(k, at, c)
-            if not hit.any():
-                continue
-            key = (c[hit] << 9) | s[hit]
-            place = np.minimum(np.searchsorted(keys[k - 1], key), len(keys[k - 1]) - 1)
-            seen = keys[k - 1][place] == key
-            value = np.where(seen, 10 ** logs[k - 1][place], 0.0)
-            rows = np.flatnonzero(hit)
-            out[rows[seen]] = value[seen] * weight[rows[seen]]
-            todo[rows[seen]] = False
-            weight[rows[~seen]] *= 10 ** back[k - 1][at[rows[~seen]]]
-        out[todo] *= weight[todo]
-        return out
-
-    def kept_at(k: int, at: np.ndarray, c: np.ndarray) -> np.ndarray:
-        return (contexts[k - 1][at] == c) & kept[k - 1][at] if len(contexts[k - 1]) else np.zeros(len(c), bool)
-
-    for length in range(1, DEPTH + 1):
-        rows = level(length) if total else base
-        ctx, s, n = (rows[c].to_numpy(np.int64) for c in ("ctx", "s", "n"))
-        names, first, group = np.unique(ctx, return_index=True, return_inverse=True)
-        sums, distinct = np.bincount(group, n), np.bincount(group)
-        parent = suffix_probability(ctx, s, length - 1) if len(ctx) else np.zeros(0)
-        lam = (distinct / (sums + distinct))[group] if len(ctx) else np.zeros(0)
-        p = (1 - lam) * n / sums[group] + lam * parent if len(ctx) else parent
-        bits = np.bincount(group, n * np.log2(np.maximum(n / sums[group], 1e-300) / parent)) if len(ctx) else np.zeros(0)
-        keep = bits >= min_bits
-        contexts.append(names[keep])
-        kept.append(np.ones(int(keep.sum()), bool))
-        chosen = keep[group] if len(ctx) else np.zeros(0, bool)
-        keys.append((ctx[chosen] << 9) | s[chosen])
-        logs.append(np.log10(p[chosen]))
-        # a symbol unseen here has the suffix's probability times the weight
-        back.append(np.log10((distinct / (sums + distinct))[keep]) if len(ctx) else np.zeros(0))
-    return Tree(contexts, kept, fallback, keys, logs, back)
-
-
-def log_probabilities(tree: Tree, codes: np.ndarray) -> np.ndarray:
-    """log10 probability of every code's symbol in its longest suffix state."""
-    s = codes & 511
-    out, todo, spent = np.zeros(len(codes)), np.arange(len(codes)), np.zeros(len(codes))
-    for k in range(DEPTH, 0, -1):
-        if not len(tree.contexts[k - 1]) or not len(todo):
+def probabilities(counts: DataFrame, least: int = 8, min_bits: float = 64.0) -> DataFrame:
+    """(code, p): probability of every window's symbol in its longest suffix state. ``counts`` has (code, n), n being 0 for
+    windows that are only to be scored."""
+    levels = [counts.select("code", "n")]
+    for length in range(DEPTH - 1, -1, -1):
+        levels.append(materialize(levels[-1].groupBy(_shorter("code", length).alias("code")).agg(F.sum("n").alias("n"))))
+    found = None
+    for length, rows in enumerate(reversed(levels)):
+        if found is None:
+            rows = rows.withColumn("q", F.lit(1 / 257))
+        else:
+            rows = rows.withColumn("up", _shorter("code", length - 1)).join(found.select(F.col("code").alias("up"), F.col("p").alias("q")), "up")
+        context = Window.partitionBy(F.shiftright("code", 9))
+        seen = F.col("n") > 0
+        rows = rows.withColumns({"all": F.sum("n").over(context), "d": F.sum(seen.cast("long")).over(context)})
+        rows = rows.withColumn("bits", F.sum(F.when(seen, F.col("n") * F.log2(F.col("n") / F.col("all") / F.col("q"))).otherwise(0.0)).over(context))
+        keep = F.col("all") > 0 if length == 0 else (F.col("all") >= least) & (F.col("bits") >= min_bits)
+        p = F.when(keep, (F.col("n") + F.col("d") * F.col("q")) / (F.col("all") + F.col("d"))).otherwise(F.col("q"))
+        found = materialize(rows.select("code", p.alias("p")))
+    return found
+
+
+def _shorter(code: str, length: int) -> F.Column:
+    """A window's code with the last ``length`` bytes of its context."""
+    return F.col(code).bitwiseAND(F.lit((1 << (8 * length + 9)) - 1))
+
+
+def frequent_windows(found: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted codes and log10 probabilities of the windows (code, p, m) met 2^k times or more, k least so that there are at most ``most``."""
+    sizes = dict(found.where("m > 0").groupBy(F.floor(F.log2("m")).cast("int").alias("k")).count().collect())
+    k, held = 64, 0
+    while k > 0 and held + sizes.get(k - 1, 0) <= most:
+        k -= 1
+        held += sizes.get(k, 0)
+    rows = found.where(F.col("m") > 0).where(F.floor(F.log2("m")) >= k).select("code", F.log10("p").alias("l")).toPandas().sort_values("code")
+    return rows["code"].to_numpy(np.int64), rows["l"].to_numpy(float)
+
+
+def text_scores(codes: np.ndarray, logs: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Per text the sum over the windows in ``codes``, and its other windows."""
+    out, others = np.zeros(len(texts)), []
+    for i, text in enumerate(texts):
+        mine = windows(text)
+        if not len(codes):
+            others.append(mine)
             continue
-        c = context_of(codes[todo], k)
-        key = (c << 9) | s[todo]
-        place = np.minimum(np.searchsorted(tree.keys[k - 1], key), len(tree.keys[k - 1]) - 1)
-        seen = tree.keys[k - 1][place] == key
-        out[todo[seen]] = tree.logs[k - 1][place[seen]] + spent[todo[seen]]
-        left, c = todo[~seen], c[~seen]
-        at = np.minimum(np.searchsorted(tree.contexts[k - 1], c), len(tree.contexts[k - 1]) - 1)
-        state = tree.contexts[k - 1][at] == c
-        spent[left[state]] += tree.back[k - 1][at[state]]
-        todo = left
-    out[todo] = tree.fallback[s[todo]] + spent[todo]
-    return out
-
-
-def text_scores(tree: Tree, texts: list[bytes]) -> np.ndarray:
-    """log10 probability of every text. Texts are taken a few megabytes at a time, and distinct codes looked up once."""
-    out: list[np.ndarray] = []
-    held: list[np.ndarray] = []
-
-    def give() -> None:
-        names, inverse = np.unique(np.concatenate(held), return_inverse=True)
-        starts = np.concatenate(([0], np.cumsum([len(c) for c in held])[:-1]))
-        out.append(np.add.reduceat(log_probabilities(tree, names)[inverse], starts))
-        held.clear()
-
-    size = 0
-    for text in texts:
-        held.append(windows(text))
-        size += len(held[-1])
-        if size >= SCORED:
-            give()
-            size = 0
-    if held:
-        give()
-    return np.concatenate(out) if out else np.zeros(0)
+        at = np.minimum(np.searchsorted(codes, mine), len(codes) - 1)
+        hit = codes[at] == mine
+        out[i] = logs[at[hit]].sum()
+        others.append(mine[~hit])
+    return out, others
 
 
 def word_counts(docs: DataFrame, column: str = "text") -> DataFrame:
@@ -203,25 +129,29 @@ def word_counts(docs: DataFrame, column: str = "text") -> DataFrame:
     return docs.select(F.explode(words(lower_ascii(F.col(column)))).alias("word")).groupBy("word").agg(F.count("*").alias("c"))
 
 
-def score(docs: DataFrame, training: DataFrame, frequent: int = 65_536, column: str = "text") -> DataFrame:
+def score(docs: DataFrame, training: DataFrame, frequent: int = 65_536, column: str = "text", sent: int = 1 << 18) -> DataFrame:
     """Documents with n_tokens, n_known, train_tokens, base_score and score, learnt from ``training``."""
     counts = materialize(word_counts(training, column))
     texts, (n_words, n_types) = training.count(), counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     # the end is a token of every training text
     total, types, ends = n_words + texts, n_types + (texts > 0), texts
-    tree = grow(count_windows(training, column))
+    learnt, met = count_windows(training, column), count_windows(docs, column)
+    both = learnt.select("code", "n", F.lit(0).cast("long").alias("m")).union(met.select("code", F.lit(0).cast("long"), "n"))
+    both = materialize(both.groupBy("code").agg(F.sum("n").alias("n"), F.sum("m").alias("m")))
+    found = materialize(probabilities(both).join(both.select("code", "m"), "code"))
+    codes, logs = frequent_windows(found, sent)
     head = counts.where(F.length("word") <= 64).orderBy(F.desc("c"), "word").limit(frequent).toPandas()
     known = dict(zip(head["word"].str.encode("utf-8"), head["c"].astype(int), strict=True))
     scale = float(total + types + 1)
     rest = docs.drop("n_tokens", "n_known", "train_tokens", "base_score", "score", "_s", "_row", "_t")
 
-    @F.arrow_udf("n_words long, known long, base double, score double, others array<struct<word: string, n: int>>")
+    @F.arrow_udf("n_words long, known long, base double, score double, others array<struct<word: string, n: int>>, windows array<long>")
     def local(texts: pa.Array) -> pa.Array:
         parts = [local_part(texts.slice(i, PIECE)) for i in range(0, len(texts), PIECE)] or [local_part(texts)]
         return pa.concat_arrays(parts)
 
     def local_part(texts: pa.Array) -> pa.Array:
-        """Totals of the frequent words and of the tree per text; the other words as flat arrays, so a batch stays small."""
+        """Totals of the frequent words and of the tree per text; the others as flat arrays, so a batch stays small."""
         raw = [t or b"" for t in texts.cast(pa.large_binary()).to_pylist()]
         totals, names, times, ends = [], [], [], [0]
         for text in raw:
@@ -239,22 +169,26 @@ def score(docs: DataFrame, training: DataFrame, frequent: int = 65_536, column:
             ends.append(len(names))
         size, found, base = zip(*totals) if totals else ((), (), ())
         other = pa.StructArray.from_arrays([pa.array(names, pa.binary()).cast(pa.string()), pa.array(times, pa.int32())], ["word", "n"])
+        scores, rare = text_scores(codes, logs, raw)
+        bounds = np.concatenate(([0], np.cumsum([len(r) for r in rare]))).astype(np.int32)
         columns = [
-            pa.array(size, pa.int64()), pa.array(found, pa.int64()), pa.array(base, pa.float64()), pa.array(text_scores(tree, raw), pa.float64()),
+            pa.array(size, pa.int64()), pa.array(found, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64()),
             pa.ListArray.from_arrays(pa.array(ends, pa.int32()), other),
+            pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(rare) if rare else np.zeros(0, np.int64), pa.int64())),
         ]
-        return pa.StructArray.from_arrays(columns, ["n_words", "known", "base", "score", "others"])
+        return pa.StructArray.from_arrays(columns, ["n_words", "known", "base", "score", "others", "windows"])
 
     placed = materialize(
         rest.withColumn("_t", lower_ascii(F.col(column))).withColumn("_s", local("_t")).drop("_t").withColumn("_row", F.monotonically_increasing_id())
     )
     rows = placed.select("_row", F.explode("_s.others").alias("x")).select("_row", F.col("x.word").alias("word"), F.col("x.n").alias("n"))
-    found = rows.join(counts, "word", "left").groupBy("_row").agg(
+    rare = placed.select("_row", F.explode("_s.windows").alias("code")).join(found.select("code", "p"), "code").groupBy("_row").agg(F.sum(F.log10("p")).alias("tail"))
+    others = rows.join(counts, "word", "left").groupBy("_row").agg(
         F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("found"),
         F.sum(F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(scale))).alias("rest"),
     )
     end = F.log10(F.lit((ends + 1) / scale))
-    return placed.join(found, "_row", "left").select(
+    return placed.join(others, "_row", "left").join(rare, "_row", "left").select(
         *rest.columns, (F.col("_s.n_words") + 1).alias("n_tokens"), (F.col("_s.known") + F.coalesce("found", F.lit(0)) + F.lit(int(ends > 0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), (F.col("_s.base") + F.coalesce("rest", F.lit(0.0)) + end).alias("base_score"), F.col("_s.score").alias("score"),
+        F.lit(total).cast("long").alias("train_tokens"), (F.col("_s.base") + F.coalesce("rest", F.lit(0.0)) + end).alias("base_score"), (F.col("_s.score") + F.coalesce("tail", F.lit(0.0))).alias("score"),
     )

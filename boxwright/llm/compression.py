@@ -1,11 +1,13 @@
 """Compression classifier: texts are compressed against dictionaries of good and of bad text.
 
-Each dictionary is raw text of labelled rows. A text is cut into pieces of a few kilobytes, so that the dictionary counts
+Each dictionary is raw text of labelled rows: slices of half of a class's texts, spread over each whole text. A text is cut into pieces of a few kilobytes, so that the dictionary counts
 throughout a long text, and every piece is compressed three times: with the good dictionary, the bad one, and none. The
 normalised differences of the compressed sizes are calibrated to a probability by logistic regression on labelled rows
 that are in neither dictionary.
 
-The fit reads at most ``max_rows`` labelled rows a class (a documented bound, taken in hash order of the id). Every text is
+The fit reads at most ``max_rows`` labelled rows a class (a documented bound, taken in hash order of the id), and a dictionary
+has about ``dictionary`` bytes (the other bound), to which every one of its texts gives the same share. Labelled texts are
+cut and compressed whole in the tasks, as those to score are; only slices and sizes come to the driver. Every text is
 scored whole. Null and empty texts have no sizes to compare and get the score 0; texts only count, never other columns. An
 empty table gives an empty result; without labels of both classes every text scores 0.5; further columns pass through,
 clashing names are replaced.
@@ -21,9 +23,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boxwright.session import materialize
+
 PIECE = 2048  # bytes compressed at once
-DICTIONARY = 32 * 1024  # bytes of a dictionary
-PER_TEXT = 512  # bytes a labelled text gives to its dictionary
+SLICE = 64  # bytes of a text that stand together in a dictionary
 LEVEL = 3
 
 
@@ -85,33 +88,51 @@ def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50)
     return w, centre, spread
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 3_000) -> Model | None:
-    """Model of the texts of ``docs`` that ``labels`` (doc_id, quality) name: at most ``max_rows`` labels of either class and
-    16,384 characters of each text. The labels are chosen first, so only their texts move."""
+def slices(text: str, share: int) -> bytes:
+    """About ``share`` bytes of the text, in slices from the middles of equal parts of it; a shorter text is taken whole."""
+    raw = text.encode("utf-8", "surrogatepass")
+    if len(raw) <= share:
+        return raw
+    n = max(1, share // SLICE)
+    starts = ((2 * i + 1) * len(raw) // (2 * n) - SLICE // 2 for i in range(n))
+    return b"".join(raw[max(0, at) : max(0, at) + SLICE] for at in starts)
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 3_000, dictionary: int = 256 * 1024) -> Model | None:
+    """Model of the texts of ``docs`` that ``labels`` (doc_id, quality) name: at most ``max_rows`` labels of either class, and
+    dictionaries of ``dictionary`` bytes. The labels are chosen first, so only their texts move."""
     marks_of = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     rank = F.xxhash64("doc_id")
     chosen = [marks_of.where(F.col("quality") == q).orderBy(rank, "doc_id").limit(max_rows) for q in (1, 0)]
-    texts = docs.where("text is not null and text <> ''").select("doc_id", F.substring("text", 1, 16384).alias("text"))
-    rows = texts.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").toPandas().sort_values(["doc_id", "text"])
+    texts = docs.where("text is not null and text <> ''").select("doc_id", "text")
+    texts = materialize(texts.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id"))
+    rows = texts.select("doc_id", "quality").toPandas().sort_values("doc_id")
     rows = rows.iloc[np.argsort((rows["doc_id"].to_numpy() * 2654435761) % (1 << 32), kind="stable")]
-    taken = {q: rows.loc[rows["quality"] == q, "text"].tolist() for q in (1, 0)}
-    if min(map(len, taken.values())) < 4:
+    place = {int(k): i for i, k in enumerate(rows["doc_id"].drop_duplicates())}
+    taken = {q: rows.loc[rows["quality"] == q, "doc_id"].drop_duplicates().tolist() for q in (1, 0)}
+    if min((rows["quality"] == q).sum() for q in (1, 0)) < 4 or min(map(len, taken.values())) < 2:
         return None
-    dictionaries, held, marks = {}, [], []
-    for q, texts in taken.items():
-        given, size = 0, 0
-        parts = []
-        while given < len(texts) // 2 and size < DICTIONARY:
-            raw = texts[given].encode("utf-8", "surrogatepass")
-            middle = max(0, len(raw) // 2 - PER_TEXT // 2)
-            parts.append(raw[middle : middle + PER_TEXT])
-            size += len(parts[-1])
-            given += 1
-        dictionaries[q] = b"\n".join(parts)
-        held += texts[given:]
-        marks += [float(q)] * (len(texts) - given)
-    coders = _coders(dictionaries[1], dictionaries[0])
-    x, y = features(np.array([sizes_of(t, coders) for t in held])), np.array(marks)
+    # the first half of a class's texts gives its dictionary, the second one is for the calibration
+    given = {int(k): max(SLICE, dictionary // (len(ids) // 2)) for ids in taken.values() for k in ids[: len(ids) // 2]}
+    shares = docs.sparkSession.createDataFrame(list(given.items()), "doc_id long, share int")
+
+    @F.pandas_udf("binary")
+    def piece(texts: pd.Series, shares: pd.Series) -> pd.Series:
+        return pd.Series([slices(t, n) for t, n in zip(texts, shares, strict=True)], dtype=object)
+
+    cut = texts.join(F.broadcast(shares), "doc_id").select("doc_id", "quality", piece("text", "share").alias("piece")).collect()
+    cut.sort(key=lambda r: (place[r["doc_id"]], bytes(r["piece"])))
+    dictionaries = {q: b"\n".join(bytes(r["piece"]) for r in cut if r["quality"] == q) for q in (1, 0)}
+    good, bad = dictionaries[1], dictionaries[0]
+
+    @F.pandas_udf("array<long>")
+    def sizes(texts: pd.Series) -> pd.Series:
+        coders = _coders(good, bad)
+        return pd.Series([list(sizes_of(t, coders)) for t in texts], dtype=object)
+
+    rest = texts.join(F.broadcast(shares), "doc_id", "left_anti").select("doc_id", "quality", sizes("text").alias("sizes")).collect()
+    rest.sort(key=lambda r: (place[r["doc_id"]], r["sizes"]))
+    x, y = features(np.array([r["sizes"] for r in rest])), np.array([float(r["quality"]) for r in rest])
     w, centre, spread = calibrate(x, y)
     # the classes were drawn to equal sizes; move the intercept to their true odds
     n = dict(marks_of.groupBy("quality").count().collect())

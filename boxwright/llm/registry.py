@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxwright.llm import attribution, bpe, compression, mixing, pii, rules, sharding, simhash, suffix_tree, topk
+from boxwright.llm import attribution, bpe, compression, conversations, mixing, pii, rules, sharding, simhash, suffix_tree, topk
 from boxwright.llm.text import crc_of_id, table, word_count
 from boxwright.session import materialize
 
@@ -106,3 +106,8 @@ def op10(spark: SparkSession, d: str) -> DataFrame:
     return stats.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", rules.base_failed().alias("base_failed"), rules.kept(learned).alias("kept")
     )
+
+
+@query("op13_conversation_repair")
+def op13(spark: SparkSession, d: str) -> DataFrame:
+    return conversations.repair(conversations.damage(table(spark, d, "conversations").select("conv_id", "turn", "role", "text")))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxwright.llm import attribution, bpe, compression, conversations, mixing, pii, rules, sharding, simhash, suffix_tree, topk
+from boxwright.llm import attribution, bpe, compression, conversations, embeddings, mixing, pii, rules, sharding, simhash, suffix_tree, topk
 from boxwright.llm.text import crc_of_id, table, word_count
 from boxwright.session import materialize
 
@@ -108,6 +108,20 @@ def op10(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query("op12_embedding_dedup", """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.98),
+reach(u, v) AS (SELECT u, v FROM links UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u),
+least AS (SELECT u, min(v) AS m FROM reach GROUP BY u),
+degree AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, vec_id <= coalesce(m, vec_id) AS kept
+FROM embeddings LEFT JOIN least ON least.u = vec_id LEFT JOIN degree ON degree.u = vec_id""")
+def op12(spark: SparkSession, d: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, d, "embeddings").select("vec_id", "embedding", "label"))
+
+
 @query("op13_conversation_repair")
 def op13(spark: SparkSession, d: str) -> DataFrame:
     return conversations.repair(conversations.damage(table(spark, d, "conversations").select("conv_id", "turn", "role", "text")))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxwright.llm import attribution, bpe, compression, conversations, embeddings, mixing, pii, rules, sharding, simhash, suffix_tree, topk
+from boxwright.llm import attribution, bpe, collocations, compression, conversations, embeddings, mixing, pii, rules, sharding, simhash, suffix_tree, topk
 from boxwright.llm.text import crc_of_id, table, word_count
 from boxwright.session import materialize
 
@@ -108,6 +108,25 @@ def op10(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query("op11_collocations", """
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents),
+lists AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w)) AS n FROM lists GROUP BY lang),
+grams AS (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase FROM lists, unnest(range(1, 6)) t(m) WHERE len(w) >= m),
+counts AS MATERIALIZED (SELECT lang, m, phrase, string_split(phrase, ' ') AS w, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+inner_ AS (SELECT c.lang, array_to_string(c.w[i:i + s - 1], ' ') AS phrase, max(c.f) AS cover FROM counts c, unnest(range(2, 5)) a(s), unnest(range(1, 5)) b(i)
+  WHERE s < c.m AND i + s - 1 <= c.m GROUP BY ALL),
+cuts AS (SELECT c.lang, c.phrase, c.f AS a, l.f AS l, r.f AS r, n, k, (1000::HUGEINT * c.f * n) // (l.f::HUGEINT * r.f) AS score
+  FROM counts c JOIN totals USING (lang), unnest(range(1, 5)) t(k), counts l, counts r
+  WHERE c.m > 1 AND k < c.m AND l.lang = c.lang AND r.lang = c.lang AND l.phrase = array_to_string(c.w[1:k], ' ') AND r.phrase = array_to_string(c.w[k + 1:c.m], ' ')),
+least AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS first FROM cuts),
+best AS (SELECT x.*, row_number() OVER (PARTITION BY x.lang ORDER BY score DESC, a DESC, x.phrase) AS rank FROM least x LEFT JOIN inner_ i ON i.lang = x.lang AND i.phrase = x.phrase
+  WHERE first = 1 AND (cover IS NULL OR cover < a))
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM best WHERE rank <= 2000""")
+def op11(spark: SparkSession, d: str) -> DataFrame:
+    return collocations.collocations(table(spark, d, "documents").select("lang", "text"))
+
+
 @query("op12_embedding_dedup", """
 WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
   WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),

@@ -1,4 +1,4 @@
-"""Overlap joins on a grid: equi-join on (keys, cell) plus the exact predicate, never a cross join."""
+"""Overlap joins: an equi-join on the keys where they are small, on (keys, level, cell) where they are dense, never a cross join."""
 
 from __future__ import annotations
 
@@ -8,36 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxwright.functions import geometry as G
+from boxwright.operators.groups import large_groups, of_groups
 
 CELL = 256.0
-
-
-def centre_cell(df: DataFrame, cell: float = CELL) -> DataFrame:
-    """Register each box once, in the cell of its centre."""
-    return df.selectExpr(
-        "*", f"cast(floor((x1 + x2) / {2 * cell}D) as int) as _gx", f"cast(floor((y1 + y2) / {2 * cell}D) as int) as _gy"
-    )
+DENSE = 512  # right boxes of a key that a left box may meet without a grid
 
 
 def _cells(lo: str, hi: str, cell: float) -> str:
     return f"explode(sequence(cast(floor(({lo}) / {cell}D) as int), cast(floor(({hi}) / {cell}D) as int)))"
 
 
-def reach_cells(df: DataFrame, min_iou: float, p: str, cell: float = CELL) -> DataFrame:
-    """Register each box in every cell that can hold the centre of a partner with IoU >= min_iou.
-
-    Two intervals with one-dimensional IoU >= t have centres at most w * (1 - t) / (2t) apart, w being the
-    width of either, and the two-dimensional IoU never exceeds the one-dimensional one.
-    """
-    reach = (1 - min_iou) / (2 * min_iou) * (1 + 1e-9)
-
-    def span(a: str, b: str) -> str:
-        mid, far = f"({p}{a} + {p}{b}) / 2", f"(({p}{b} - {p}{a}) * {reach}D + 1e-6D)"
-        return _cells(f"{mid} - {far}", f"{mid} + {far}", cell)
-
-    return df.selectExpr("*", span("x1", "x2") + " as _gx").selectExpr("*", span("y1", "y2") + " as _gy")
-
-
 def cover_cells(df: DataFrame, p: str = "", cell: float = CELL) -> DataFrame:
     """Register each box in every cell it touches."""
     return df.selectExpr("*", _cells(f"{p}x1", f"{p}x2", cell) + " as _gx").selectExpr(
@@ -58,18 +38,74 @@ def keyed_join(left: DataFrame, right: DataFrame, on: Sequence[str], test: str,
     return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_k_{c}" for c in on])
 
 
+def by_density(left: DataFrame, right: DataFrame, keys: Sequence[str], plain, grid, small: int) -> DataFrame:
+    """``plain(left, right)`` on the keys of up to ``small`` right rows, ``grid(left, right)`` on the others.
+
+    A left row of a small key meets ``small`` candidates at most, so an equi-join is bounded there and nothing is replicated.
+    """
+    dense = large_groups(right, keys, small)
+    if dense is None:
+        return plain(left, right)
+    one, two = ((of_groups(left, dense, keys, inside), of_groups(right, dense, keys, inside)) for inside in (False, True))
+    return plain(*one).unionByName(grid(*two))
+
+
+LEVEL = 16.0  # a level's long sides differ by this factor at most; its cells are 2 to 2 * LEVEL times as long
+
+
+def _level(long_side: str) -> str:
+    return f"cast(floor(ln(greatest({long_side}, 1e-9D)) / ln({LEVEL}D)) as int)"
+
+
+def levelled_left(df: DataFrame) -> DataFrame:
+    """Register each box once: at the level of its long side, in the cell of its centre; the cell's side follows the level."""
+    side = f"(2 * pow({LEVEL}D, _level + 1))"
+    return df.selectExpr("*", f"{_level('greatest(x2 - x1, y2 - y1)')} as _level").selectExpr(
+        "*", f"cast(floor((x1 + x2) / 2 / {side}) as bigint) as _gx", f"cast(floor((y1 + y2) / 2 / {side}) as bigint) as _gy"
+    )
+
+
+def levelled_right(df: DataFrame, min_iou: float, p: str = "r_") -> DataFrame:
+    """Register each box at the levels and in the cells that can hold a partner with IoU >= min_iou.
+
+    Two intervals with one-dimensional IoU >= t have lengths that differ by the factor t at most, and centres at most w * (1 - t) / (2t) apart, w
+    being the length of either; the two-dimensional IoU never exceeds the one-dimensional one. The long sides obey the same factor.
+    """
+    reach = (1 - min_iou) / (2 * min_iou) * (1 + 1e-9)
+    long_side = f"greatest({p}x2 - {p}x1, {p}y2 - {p}y1)"
+    lowest, highest = _level(f"{long_side} * {min_iou * (1 - 1e-9)}D"), _level(f"{long_side} / {min_iou * (1 - 1e-9)}D")
+    side = f"(2 * pow({LEVEL}D, _level + 1))"
+
+    def span(a: str, b: str) -> str:
+        mid, far = f"({p}{a} + {p}{b}) / 2", f"(({p}{b} - {p}{a}) * {reach}D + 1e-6D)"
+        lo, hi = (f"cast(floor(({mid} {sign} {far}) / {side}) as bigint)" for sign in "-+")
+        return f"explode(sequence({lo}, {hi}))"
+
+    return df.selectExpr("*", f"explode(sequence({lowest}, {highest})) as _level").selectExpr("*", span("x1", "x2") + " as _gx").selectExpr("*", span("y1", "y2") + " as _gy")
+
+
+def near_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], min_iou: float, test: str, how: str = "inner", small: int = DENSE) -> DataFrame:
+    """Rows that pass ``test``, which implies an overlap of ``min_iou`` or more; right columns come out with prefix ``r_``."""
+
+    def plain(lhs: DataFrame, rhs: DataFrame) -> DataFrame:
+        return keyed_join(lhs, rhs, list(keys), test, how)
+
+    def grid(lhs: DataFrame, rhs: DataFrame) -> DataFrame:
+        return keyed_join(levelled_left(lhs), levelled_right(rhs, min_iou), [*keys, "_level", "_gx", "_gy"], test, how).drop("_level", "_gx", "_gy")
+
+    return by_density(left, prefixed(right, keys), keys, plain, grid, small)
+
+
 def iou_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], min_iou: float,
-    how: str = "inner", strict: bool = False, extra: str = "true", cell: float = CELL,
+    how: str = "inner", strict: bool = False, extra: str = "true", small: int = DENSE,
 ) -> DataFrame:
     """Pairs with IoU >= min_iou (> when strict). Right columns come out with prefix ``r_`` next to ``iou``.
 
     The left side has one row per box, so outer, semi and anti joins keep their meaning.
     """
-    lhs = centre_cell(left, cell)
-    rhs = reach_cells(prefixed(right, keys), min_iou, "r_", cell)
     test = f"{G.iou()} {'>' if strict else '>='} {min_iou}D and {extra}"
-    joined = keyed_join(lhs, rhs, [*keys, "_gx", "_gy"], test, how).drop("_gx", "_gy")
+    joined = near_pairs(left, right, keys, min_iou, test, how, small)
     return joined if how in ("left_semi", "left_anti") else joined.selectExpr("*", f"{G.iou()} as iou")
 
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boxwright.operators.scans import salted_top_k
+from boxwright.session import materialize
+
 
 def unit(column: str) -> str:
     """Vector scaled to unit length."""
@@ -50,8 +55,6 @@ def scored(vectors: DataFrame, queries: DataFrame, metric: str = "cosine") -> Da
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 30, floor: float = 0.1, metric: str = "cosine", where: str | None = None) -> DataFrame:
     """First k vectors per query, best first. ``where`` filters before scoring (it may name query columns)."""
-    from boxwright.operators.scans import salted_top_k
-
     out = scored(vectors, queries, metric)
     if where:
         out = out.where(where)
@@ -67,29 +70,91 @@ def mean_query(queries: DataFrame) -> DataFrame:
     return flat.agg(F.expr("transform(array_sort(collect_list(struct(i, v))), s -> s.v) as q")).selectExpr("0L as qid", "q")
 
 
-def similarity_counts(vectors: DataFrame, max_dist: float, top_k: int, pivots: int = 16) -> DataFrame:
-    """For each vector, how many others lie closer than ``max_dist`` (at most top_k), and the nearest one.
+FAN = 16  # children of a cell
+LEAF = 1500  # a cell of so many vectors a side is compared as it is
+LEVELS = 12
+
 
-    Exact. Copies collapse to one vector with a weight. Each vector belongs to the cell of its nearest pivot; a
-    partner within m of it has that pivot at most 2m further than its own nearest, so partners are sent only to
-    such cells, and only qualifying pairs leave the join. The pivot list has a fixed length.
+def _sizes(left: DataFrame, right: DataFrame, by: str) -> DataFrame:
+    one, two = (side.groupBy(by).agg(F.expr(f"count(*) as {n}")) for side, n in ((left, "l"), (right, "r")))
+    return one.join(two, by)
+
+
+def pivot_tree(unique: DataFrame, radius: float, leaf: int = LEAF) -> tuple[DataFrame, DataFrame]:
+    """(left, right) rows (rep, n, v, norm, cell): any two vectors closer than ``radius`` meet in the left one's cell.
+
+    A cell of many vectors is split by pivots of its own: a left row goes to the nearest, a right row to every pivot at most twice the radius
+    further than its nearest, which is where its partners can be. The tree grows with the data; a split that does not halve the comparisons
+    of a cell is not made, so wide radii do not multiply rows.
+    """
+    left = right = materialize(unique.selectExpr("*", "sqrt(aggregate(v, 0D, (s, x) -> s + x * x)) as norm", "0L as cell"))
+    done: list[tuple[DataFrame, DataFrame]] = []
+    for _ in range(LEVELS):
+        sizes = materialize(_sizes(left, right, "cell"))
+        big = sizes.where(f"l * r > {leaf * leaf}")
+        done.append((left.join(big, "cell", "left_anti"), right.join(big, "cell", "left_anti")))
+        if big.isEmpty():
+            return tuple(reduce(DataFrame.unionByName, side) for side in zip(*done, strict=True))
+        left, right = (side.join(big.select("cell"), "cell", "left_semi") for side in (left, right))
+        chosen = salted_top_k(left.selectExpr("cell", "v", "xxhash64(rep, cell) as h"), ["cell"], "h", FAN, "pmod(h, 64)")
+        pivots = chosen.groupBy("cell").agg(F.expr("collect_list(v) as ps"))
+        columns = ["rep", "n", "v", "norm", "cell"]
+
+        def measured(side: DataFrame) -> DataFrame:
+            return side.join(pivots, "cell").selectExpr(*columns, f"transform(ps, p -> {distance('v', 'p')}) as d").selectExpr("*", "array_min(d) as m")
+
+        child = f"cell * {FAN} + 1"
+        new_left = materialize(measured(left).selectExpr("rep", "n", "v", "norm", "cell as parent", f"{child} + array_position(d, m) - 1 as cell"))
+        reach = f"filter(sequence(0, size(d) - 1), i -> d[i] <= m + {2 * radius + 1e-9}D)"
+        new_right = materialize(measured(right).selectExpr("rep", "n", "v", "norm", "cell as parent", f"{child} + explode({reach}) as cell"))
+        cells = new_left.select("cell", "parent").distinct()
+        after = _sizes(new_left, new_right, "cell").join(cells, "cell").groupBy("parent").agg(F.expr("sum(l * r) as work"))
+        worth = materialize(big.withColumnRenamed("cell", "parent").join(after, "parent").where("work < 0.5 * l * r").select("parent"))
+        whole = worth.withColumnRenamed("parent", "cell")
+        done.append((left.join(whole, "cell", "left_anti"), right.join(whole, "cell", "left_anti")))
+        left, right = (side.join(worth, "parent", "left_semi").select(*columns) for side in (new_left, new_right))
+    done.append((left, right))
+    return tuple(reduce(DataFrame.unionByName, side) for side in zip(*done, strict=True))
+
+
+def similar_pairs(vectors: DataFrame, max_dist: float, leaf: int = LEAF) -> tuple[DataFrame, DataFrame]:
+    """(rows, pairs): vec_id with its representative, and (rep, r_rep, r_n, dist) of distinct vectors closer than ``max_dist``.
+
+    Copies collapse to one vector with a weight. Norms that differ by more than the distance end a comparison early. A cell that could not be
+    split is dealt to parts of ``leaf`` left rows, so it is many tasks.
     """
     rows = vectors.selectExpr("vec_id", "cast(embedding as array<double>) as v")
-    unique = rows.groupBy("v").agg(F.expr("min(vec_id) as rep"), F.expr("count(*) as n"))
-    chosen = F.broadcast(unique.orderBy(F.expr("xxhash64(rep)")).limit(pivots).agg(F.expr("collect_list(v) as ps")))
-    placed = unique.join(chosen).selectExpr("rep", "n", "v", f"transform(ps, p -> {distance('v', 'p')}) as d").selectExpr(
-        "*", "array_min(d) as m"
-    )
-    left = placed.selectExpr("rep", "v", "cast(array_position(d, m) - 1 as int) as cell")
-    right = placed.selectExpr(
-        "rep as r_rep", "n as r_n", "v as r_v",
-        f"explode(filter(sequence(0, size(d) - 1), i -> d[i] <= m + {2 * max_dist + 1e-9}D)) as cell",
-    )
-    pairs = left.join(right, F.expr(f"rep <> r_rep and {distance('v', 'r_v')} < {max_dist}D").__and__(left["cell"] == right["cell"])).selectExpr(
-        "rep", "r_rep", "r_n", f"{distance('v', 'r_v')} as dist"
-    )
-    found = pairs.groupBy("rep").agg(F.expr("sum(r_n) as near"), F.expr("min(struct(dist, r_rep)) as best"))
-    members = rows.join(unique, "v").select("vec_id", "rep", "n")
+    unique = materialize(rows.groupBy("v").agg(F.expr("min(vec_id) as rep"), F.expr("count(*) as n")))
+    left, right = pivot_tree(unique, max_dist, leaf)
+    left, right = materialize(left), materialize(right)
+    parts = left.groupBy("cell").agg(F.expr(f"cast(ceil(count(*) / {leaf}) as int) as parts"))
+    dealt = left.join(parts, "cell").selectExpr("rep", "v", "norm", "cell", "pmod(xxhash64(rep), parts) as part")
+    met = right.join(parts, "cell").selectExpr("rep as r_rep", "n as r_n", "v as r_v", "norm as r_norm", "cell", "explode(sequence(0L, parts - 1L)) as part")
+    near = f"rep <> r_rep and abs(norm - r_norm) < {max_dist * (1 + 1e-9) + 1e-9}D and {distance('v', 'r_v')} < {max_dist}D"
+    pairs = dealt.join(met, ["cell", "part"]).where(near).selectExpr("rep", "r_rep", "r_n", f"{distance('v', 'r_v')} as dist")
+    return rows.join(unique, "v").select("vec_id", "rep", "n"), pairs
+
+
+def similarity_counts(vectors: DataFrame, max_dist: float, top_k: int, leaf: int = LEAF) -> DataFrame:
+    """For each vector, how many others lie closer than ``max_dist`` (at most top_k), and the nearest one's distance."""
+    members, pairs = similar_pairs(vectors, max_dist, leaf)
+    found = pairs.groupBy("rep").agg(F.expr("sum(r_n) as near"), F.expr("min(dist) as best"))
     return members.join(found, "rep", "left").selectExpr(
-        "vec_id", f"least(coalesce(near, 0) + n - 1, {top_k}) as n_similar", "if(n > 1, 0D, best.dist) as nearest_dist"
+        "vec_id", f"least(coalesce(near, 0) + n - 1, {top_k}) as n_similar", "if(n > 1, 0D, best) as nearest_dist"
+    )
+
+
+def similarity_lists(vectors: DataFrame, max_dist: float, top_k: int, leaf: int = LEAF) -> DataFrame:
+    """For each vector, the ids of up to ``top_k`` others closer than ``max_dist``, nearest first, ties by id.
+
+    Distances are compared at nine places. A copy stands in the list for itself; of a vector with many copies the first ids do.
+    """
+    members, pairs = similar_pairs(vectors, max_dist, leaf)
+    members = materialize(members)
+    ids = salted_top_k(members.select("rep", "vec_id"), ["rep"], "vec_id", top_k + 1, "pmod(xxhash64(vec_id), 64)").groupBy("rep").agg(F.expr("collect_list(vec_id) as ids"))
+    first = salted_top_k(pairs.selectExpr("rep", "r_rep", "round(dist, 9) as dist"), ["rep"], "dist, r_rep", top_k, "pmod(xxhash64(r_rep), 64)").drop("rank")
+    own = ids.selectExpr("rep", "rep as r_rep", "0D as dist")
+    listed = first.unionByName(own).join(ids.withColumnRenamed("rep", "r_rep"), "r_rep").groupBy("rep").agg(
+        F.expr("array_sort(flatten(collect_list(transform(ids, i -> struct(dist, i as id))))) as near")
     )
+    return members.join(listed, "rep").selectExpr("vec_id", f"slice(filter(transform(near, x -> x.id), i -> i <> vec_id), 1, {top_k}) as similar")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +10,7 @@ from boxwright.operators import masks as K
 from boxwright.operators import nms as N
 from boxwright.operators import search as Q
 from boxwright.operators import tiles as T
-from boxwright.operators.assignment import solve
+from boxwright.operators.assignment import best_pairs
 from boxwright.operators.keypoints import oks_join
 from boxwright.operators.overlap import iou_join
 from boxwright.operators.scans import ordered_map, salted_top_k
@@ -201,30 +200,27 @@ def keypoint_similarity(spark: SparkSession, d: str) -> DataFrame:
     return oks_join(det, gt, ["image_id", "cls"], _SIGMAS, 0.5).selectExpr("image_id", "det_id", "r_gt_id as gt_id", "round(oks, 6) as oks")
 
 
+def assigned(spark: SparkSession, d: str) -> DataFrame:
+    pairs = iou_join(v_det(spark, d), v_gt(spark, d), ["image_id", "cls"], 0.5)
+    return best_pairs(pairs.selectExpr("image_id", "cls", "det_id as u", "r_gt_id as v", "iou as score"), ["image_id", "cls"])
+
+
 @query("jon_08_optimal_assignment")
 def optimal_assignment(spark: SparkSession, d: str) -> DataFrame:
-    """One-to-one pairs with the largest total overlap per image and class.
+    """One-to-one pairs with the largest total overlap per image and class."""
+    return assigned(spark, d).selectExpr("image_id", "u as det_id", "v as gt_id", "score as iou")
 
-    All detections and all candidates of a group take part.
-    """
-    pairs = iou_join(v_det(spark, d), v_gt(spark, d), ["image_id", "cls"], 0.5)
-    grouped = pairs.groupBy("image_id", "cls").agg(F.expr("collect_list(det_id) as d"), F.expr("collect_list(r_gt_id) as g"), F.expr("collect_list(iou) as s"))
 
-    def assign(batches):
-        for batch in batches:
-            out = []
-            for image, d_ids, g_ids, scores in zip(batch["image_id"], batch["d"], batch["g"], batch["s"]):
-                rows, dets = np.unique(d_ids, return_inverse=True)
-                cols, gts = np.unique(g_ids, return_inverse=True)
-                if len(rows) == len(cols) == len(d_ids):  # every pair stands alone
-                    out.extend((image, d, g, s) for d, g, s in zip(d_ids, g_ids, scores))
-                    continue
-                cost = np.ones((len(rows), len(cols)))
-                cost[dets, gts] = 1.0 - scores
-                out.extend((image, rows[i], cols[j], 1.0 - cost[i, j]) for i, j in solve(cost, 0.9999))
-            yield pd.DataFrame(out, columns=["image_id", "det_id", "gt_id", "iou"])
-
-    return grouped.mapInPandas(assign, "image_id bigint, det_id bigint, gt_id bigint, iou double")
+@query("jon_08_assignment_total", f"""
+WITH pairs AS MATERIALIZED (SELECT d.image_id, d.cls, d.det_id, g.gt_id, {S.iou("d.", "g.")} AS s FROM v_det d JOIN v_gt g ON d.image_id = g.image_id AND d.cls = g.cls WHERE {S.iou("d.", "g.")} >= 0.5E0),
+o AS MATERIALIZED (SELECT image_id, cls, det_id, row_number() OVER (PARTITION BY image_id, cls ORDER BY det_id) AS n, list({{'g': gt_id, 's': s}}) AS c FROM pairs GROUP BY ALL),
+r(image_id, cls, n, used, total) AS (SELECT DISTINCT image_id, cls, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), 0E0 FROM o
+  UNION ALL SELECT r.image_id, r.cls, o.n, CASE WHEN x.g IS NULL THEN used ELSE list_append(used, x.g) END, total + coalesce(x.s, 0)
+    FROM r JOIN o ON o.image_id = r.image_id AND o.cls = r.cls AND o.n = r.n + 1, unnest(list_append(o.c, NULL)) t(x) WHERE x.g IS NULL OR NOT list_contains(used, x.g))
+SELECT image_id, cls, round(max(total), 6) AS total FROM r GROUP BY image_id, cls""")
+def assignment_total(spark: SparkSession, d: str) -> DataFrame:
+    """The largest total overlap of one-to-one pairs; chosen pairs themselves may tie."""
+    return assigned(spark, d).groupBy("image_id", "cls").agg(F.expr("round(sum(score), 6) as total"))
 
 
 @query("jon_13_prompt_selection", f"""
@@ -293,6 +289,17 @@ def similarity_index(spark: SparkSession, d: str) -> DataFrame:
     return out.selectExpr("vec_id", "n_similar", "round(nearest_dist, 6) as nearest_dist")
 
 
+@query("jon_16_similarity_lists", """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+p AS (SELECT a.vec_id, b.vec_id AS other, list_distance(a.v, b.v) AS d FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE list_distance(a.v, b.v) < 1.2E0),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(d, 9), other) AS k FROM p)
+SELECT e.vec_id, coalesce(string_agg(CAST(other AS VARCHAR), ',' ORDER BY k) FILTER (k <= 20), '') AS similar FROM e LEFT JOIN r ON r.vec_id = e.vec_id GROUP BY e.vec_id""")
+def similarity_lists(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest files of every file, as lists of ids."""
+    out = Q.similarity_lists(table(spark, d, "embeddings"), 1.2, 20)
+    return out.selectExpr("vec_id", "array_join(transform(similar, i -> string(i)), ',') as similar")
+
+
 @query("win_15_appearance_ema", """
 WITH s AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 u AS (SELECT label, vec_id, n, list_transform(e, lambda v: v / sqrt(list_inner_product(e, e))) AS f FROM s),

@@ -1,14 +1,16 @@
 """Hand-made rows for the rules that are easy to get wrong."""
 
 import itertools
+import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from boxwright.functions import geometry as G
 from boxwright.functions.text import fixed_round, general
-from boxwright.operators import boxes, datasets, evaluation, masks, matching, nms, scans, tiles, tracks
-from boxwright.operators.assignment import solve
+from boxwright.operators import boxes, datasets, evaluation, masks, matching, nms, overlap, scans, search, tiles, tracks
+from boxwright.operators.assignment import best_pairs, solve, solve_pairs
 from boxwright.operators.augment import stitch
 from boxwright.sources import formats, labels_text, media
 
@@ -365,8 +367,55 @@ def test_greedy_chain_and_copies(spark):
     want = list(range(0, 40, 2)) + [100, 200, 201, 202]
     for limit in (0.3, 0.05):
         out = nms.greedy_nms(det, limit).collect()
-        assert sorted(r.det_id for r in out) == want and sorted(r["rank"] for r in out) == list(range(1, len(want) + 1))
-    assert sorted(r.det_id for r in nms.greedy_nms(det, 0.3, max_det=3).collect()) == [0, 2, 4]
+        assert sorted(r.det_id for r in out) == want
+        assert sorted(r.det_id for r in nms.greedy_nms(det, limit, small=4).collect()) == want
+    capped = sorted((r["rank"], r.det_id) for r in nms.greedy_nms(det, 0.3, max_det=3).collect())
+    assert capped == [(1, 0), (2, 2), (3, 4)]
+
+
+def _plain_greedy(rows, limit):
+    kept = []
+    for r in sorted(rows, key=lambda r: (-r[3], r[2])):
+        def overlap(k, r=r):
+            w, h = min(r[6], k[6]) - max(r[4], k[4]), min(r[7], k[7]) - max(r[5], k[5])
+            i = max(w, 0) * max(h, 0)
+            return i / ((r[6] - r[4]) * (r[7] - r[5]) + (k[6] - k[4]) * (k[7] - k[5]) - i)
+
+        if all(k[:2] != r[:2] or overlap(k) <= limit for k in kept):
+            kept.append(r)
+    return sorted(k[2] for k in kept)
+
+
+def test_greedy_of_dense_groups(spark):
+    """Groups beyond the fold's bound fall into components; components beyond it are peeled in rounds."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(300):
+        x, y, w, h = rng.uniform(0, 300), rng.uniform(0, 200), rng.choice([2.0, 30.0, 60.0]), rng.choice([2.0, 25.0, 50.0])
+        rows.append((1, i % 2, i, round(rng.random(), 2), x, y, x + w, y + h))
+    det = spark.createDataFrame(rows, "image_id long, cls int, det_id long, conf double, x1 double, y1 double, x2 double, y2 double")
+    for limit in (0.05, 0.3):
+        for small in (8, 40, 2048):
+            assert sorted(r.det_id for r in nms.greedy_nms(det, limit, small=small).collect()) == _plain_greedy(rows, limit), (limit, small)
+
+
+def test_dense_keys_meet_on_levels(spark):
+    """The grid of dense keys finds the pairs of the plain join, over boxes of very different sizes."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(200):
+        side = 10 ** rng.uniform(-2, 4)
+        x, y = rng.uniform(-3, 3) * side, rng.uniform(-3, 3) * side
+        for j in range(3):
+            rows.append((1, i * 3 + j, x + side * 0.02 * j, y, x + side * (1 + 0.02 * j), y + side * rng.uniform(0.95, 1.3)))
+    boxes = spark.createDataFrame(rows, "image_id long, id long, x1 double, y1 double, x2 double, y2 double")
+    for limit in (0.2, 0.5, 0.9):
+        for how in ("inner", "left_anti"):
+            one, two = (sorted(tuple(r) for r in overlap.iou_join(boxes, boxes, ["image_id"], limit, how, extra="id < r_id", small=n).collect()) for n in (10, 10_000))
+            assert one == two and len(one) > 20
+    turned = boxes.selectExpr("image_id", "id", "(x1 + x2) / 2 as cx", "(y1 + y2) / 2 as cy", "x2 - x1 as w", "y2 - y1 as h", "id % 7 / 3D as r").where("w > 1")
+    one, two = (sorted((r.id, r.r_id) for r in nms.rotated_join(turned, turned, ["image_id"], 0.4, small=n).collect()) for n in (10, 10_000))
+    assert one == two and len(one) > 200
 
 
 def test_leading_share(spark):
@@ -374,3 +423,85 @@ def test_leading_share(spark):
         paths = spark.createDataFrame([(f"p{i * 37 % 101:03d}",) for i in range(n)], "path string")
         want = sorted(r.path for r in paths.collect())[: round(n * 0.5)]
         assert sorted(r.path for r in labels_text.leading_share(paths, 0.5).collect()) == want
+
+
+def _best_total(pairs):
+    """Largest total of a one-to-one choice, by trying all."""
+    lefts = sorted({p[0] for p in pairs})
+
+    def best(k, used):
+        if k == len(lefts):
+            return 0.0
+        here = [s + best(k + 1, used | {v}) for u, v, s in pairs if u == lefts[k] and v not in used]
+        return max([best(k + 1, used), *here])
+
+    return best(0, frozenset())
+
+
+def _random_pairs(rng, n, m, share):
+    return [(i, j, round(rng.random(), rng.choice([1, 3]))) for i in range(n) for j in range(m) if rng.random() < share]
+
+
+def test_sparse_assignment_is_optimal():
+    rng = random.Random(1)
+    for _ in range(150):
+        pairs = _random_pairs(rng, rng.randint(1, 6), rng.randint(1, 6), rng.choice([0.3, 0.7, 1]))
+        if pairs:
+            u, v, s = (np.array(c) for c in zip(*pairs, strict=True))
+            chosen = solve_pairs(u, v, s)
+            assert len({u[k] for k in chosen}) == len({v[k] for k in chosen}) == len(chosen)
+            assert sum(s[k] for k in chosen) == pytest.approx(_best_total(pairs))
+
+
+def test_assignment_of_small_and_large_groups(spark):
+    """Groups over the bound are cut into components, components over it go to the auction."""
+    rng = random.Random(2)
+    rows, want = [], {}
+    for image in range(3):
+        for part in range(4):
+            pairs = _random_pairs(rng, 5, 5, 0.5)
+            rows += [(image, u + 10 * part, v + 10 * part, s) for u, v, s in pairs]
+            want[image] = want.get(image, 0) + _best_total(pairs)
+    df = spark.createDataFrame(rows, "image_id long, u long, v long, score double")
+    for small in (1000, 30):
+        got = best_pairs(df, ["image_id"], small).collect()
+        assert len({(r.image_id, r.u) for r in got}) == len({(r.image_id, r.v) for r in got}) == len(got)
+        assert {i: sum(r.score for r in got if r.image_id == i) for i in want} == pytest.approx(want)
+    one = df.where("image_id = 0 and u < 10")
+    got = best_pairs(one, ["image_id"], small=3, least=0.01).collect()
+    assert len({r.u for r in got}) == len({r.v for r in got}) == len(got)
+    total = _best_total([(r.u, r.v, r.score) for r in one.collect()])
+    assert total - 0.1 <= sum(r.score for r in got) <= total + 1e-9
+
+
+def test_assignment_of_one_image_of_thousands():
+    """5,000 boxes of one image, each overlapping a few others, in one task."""
+    rng = np.random.default_rng(3)
+    u = np.repeat(np.arange(5000), 6)
+    v = (u + rng.integers(-8, 9, len(u))).clip(0)
+    s = rng.random(len(u))
+    chosen = solve_pairs(u, v, s)
+    assert len(set(u[chosen])) == len(set(v[chosen])) == len(chosen) > 4000
+
+
+def test_similarity_tree_prunes_clusters(spark):
+    """Clustered vectors: exact counts and lists by far fewer comparisons than all pairs; a wide radius makes no copies of rows."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 8)) * 5
+    v = np.concatenate([centres[np.arange(800) % 40] + rng.normal(size=(800, 8)) * 0.1, centres[:5], centres[:5]])
+    df = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    gap = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2))
+    np.fill_diagonal(gap, np.inf)
+    for r in search.similarity_counts(df, 0.4, 50, leaf=20).collect():
+        near = gap[r.vec_id][gap[r.vec_id] < 0.4]
+        assert r.n_similar == min(len(near), 50)
+        assert r.nearest_dist == (pytest.approx(near.min()) if len(near) else None)
+    for r in search.similarity_lists(df, 0.4, 6, leaf=20).collect():
+        near = [j for j in np.lexsort([np.arange(len(v)), gap[r.vec_id].round(9)]) if gap[r.vec_id][j] < 0.4]
+        assert list(r.similar) == near[:6]
+    unique = df.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).withColumnRenamed("embedding", "v")
+    left, right = search.pivot_tree(unique, 0.4, 20)
+    work = search._sizes(left, right, "cell").agg(F.sum(F.col("l") * F.col("r"))).first()[0]
+    assert left.count() == 805 and work < 805**2 / 8
+    left, right = search.pivot_tree(unique, 100.0, 20)
+    assert left.count() == right.count() == 805

@@ -106,7 +106,7 @@ def pivot_tree(unique: DataFrame, radius: float, leaf: int = LEAF) -> tuple[Data
         child = f"cell * {FAN} + 1"
         new_left = materialize(measured(left).selectExpr("rep", "n", "v", "norm", "cell as parent", f"{child} + array_position(d, m) - 1 as cell"))
         reach = f"filter(sequence(0, size(d) - 1), i -> d[i] <= m + {2 * radius + 1e-9}D)"
-        new_right = materialize(measured(right).selectExpr("rep", "n", "v", "norm", "cell as parent", f"{child} + explode({reach}) as cell"))
+        new_right = materialize(measured(right).selectExpr("rep", "n", "v", "norm", "cell as parent", f"explode(transform({reach}, i -> {child} + i)) as cell"))
         cells = new_left.select("cell", "parent").distinct()
         after = _sizes(new_left, new_right, "cell").join(cells, "cell").groupBy("parent").agg(F.expr("sum(l * r) as work"))
         worth = materialize(big.withColumnRenamed("cell", "parent").join(after, "parent").where("work < 0.5 * l * r").select("parent"))

@@ -213,7 +213,7 @@ def optimal_assignment(spark: SparkSession, d: str) -> DataFrame:
 
 @query("jon_08_assignment_total", f"""
 WITH pairs AS MATERIALIZED (SELECT d.image_id, d.cls, d.det_id, g.gt_id, {S.iou("d.", "g.")} AS s FROM v_det d JOIN v_gt g ON d.image_id = g.image_id AND d.cls = g.cls WHERE {S.iou("d.", "g.")} >= 0.5E0),
-o AS MATERIALIZED (SELECT image_id, cls, det_id, row_number() OVER (PARTITION BY image_id, cls ORDER BY det_id) AS n, list({{'g': gt_id, 's': s}}) AS c FROM pairs GROUP BY ALL),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY image_id, cls ORDER BY det_id) AS n FROM (SELECT image_id, cls, det_id, list({{'g': gt_id, 's': s}}) AS c FROM pairs GROUP BY image_id, cls, det_id)),
 r(image_id, cls, n, used, total) AS (SELECT DISTINCT image_id, cls, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), 0E0 FROM o
   UNION ALL SELECT r.image_id, r.cls, o.n, CASE WHEN x.g IS NULL THEN used ELSE list_append(used, x.g) END, total + coalesce(x.s, 0)
     FROM r JOIN o ON o.image_id = r.image_id AND o.cls = r.cls AND o.n = r.n + 1, unnest(list_append(o.c, NULL)) t(x) WHERE x.g IS NULL OR NOT list_contains(used, x.g))

@@ -218,17 +218,3 @@ SELECT track_id, CAST(visit AS BIGINT) AS visit, min(frame_no) AS first_frame, m
 def track_sessions(spark: SparkSession, d: str) -> DataFrame:
     """Visits of a track, split where it is lost for more than the buffer."""
     return T.sessions(v_track(spark, d), 100).select("track_id", "visit", "first_frame", "last_frame", "n")
-
-
-
-@query("str_07_live_speed_reps", f"""WITH {_P},
-e AS (SELECT track_id, arg_min(cx, obs_no) AS ax, arg_min(cy, obs_no) AS ay, min(frame_no) AS af, arg_max(cx, obs_no) AS ex, arg_max(cy, obs_no) AS ey, max(frame_no) AS bf FROM p WHERE obs_no IN (1, 5) GROUP BY track_id HAVING count(*) = 2),
-s AS (SELECT track_id, frame_no, last_value(CASE WHEN frame_no * 67 % 181 < 90 THEN 'down' WHEN frame_no * 67 % 181 > 145 THEN 'up' END IGNORE NULLS) OVER (PARTITION BY track_id ORDER BY frame_no) AS stage FROM v_track),
-t AS (SELECT *, lag(stage) OVER (PARTITION BY track_id ORDER BY frame_no) AS prev FROM s),
-r AS (SELECT track_id, count(*) FILTER (stage = 'down' AND prev = 'up') AS reps FROM t GROUP BY track_id)
-SELECT track_id, CAST(trunc(least(sqrt((ex - ax) ** 2 + (ey - ay) ** 2) * 0.05E0 / ((bf - af) / 30.0E0) * 3.6E0, 120)) AS INT) AS speed, reps FROM e JOIN r USING (track_id)""")
-def live_speed_reps(spark: SparkSession, d: str) -> DataFrame:
-    """Locked speed and total repetitions of each track."""
-    obs = v_track(spark, d).selectExpr("*", "frame_no * 67 % 181 as angle")
-    reps = T.repetitions(obs).groupBy("track_id").agg(F.expr("max(reps) as reps"))
-    return T.speed_lock(obs).select("track_id", "speed").join(reps, "track_id")

@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from boxwright.llm import automata
 from boxwright.session import materialize
 
-SLICE = 2 << 20  # bytes cut into words at once
-HELD = 1 << 21  # distinct phrases of a task before it writes automata
+SLICE = 1 << 19  # bytes cut into words at once
+HELD = 1 << 20  # distinct phrases of a task before it writes automata
 RANGE_BYTES = 4 << 20  # text a prefix range
 MOST_RANGES = 1 << 16
 BITS = 26  # a bitmap is 8 MB

@@ -137,10 +137,11 @@ def stitch_parts(parts: DataFrame) -> DataFrame:
 
 
 def stitch(rings: list[np.ndarray]) -> np.ndarray:
-    """One outline through all rings: each ring is entered and left at the vertices nearest its neighbours.
+    """One outline through all rings, linked where consecutive rings are nearest.
 
-    The walk visits ring k from its entry to its exit on the way out and finishes the rest on the way back, so the
-    seams are drawn twice and enclose nothing.
+    The walk goes out through all rings and comes back through those between the first and the last. On the way out it takes such a ring
+    from its lower to its higher link, on the way back the rest of it, so the seams are drawn twice and enclose nothing. A ring whose link
+    to its predecessor has the higher number is turned round first; its link numbers then count from the other end.
     """
     if len(rings) == 1:
         return rings[0]
@@ -148,16 +149,53 @@ def stitch(rings: list[np.ndarray]) -> np.ndarray:
     for a, b in zip(rings, rings[1:]):
         gap = ((a[:, None] - b[None]) ** 2).sum(-1)
         links.append(np.unravel_index(int(gap.argmin()), gap.shape))
-    out, back = [], []
-    for k, ring in enumerate(rings):
-        if k == 0:
-            out.append(np.concatenate([np.roll(ring, -links[0][0], axis=0), ring[links[0][0]][None]]))
-        elif k == len(rings) - 1:
-            out.append(np.concatenate([np.roll(ring, -links[-1][1], axis=0), ring[links[-1][1]][None]]))
-        else:
-            entry, leave = links[k - 1][1], links[k][0]
-            turned = np.roll(ring, -entry, axis=0)
-            at = (leave - entry) % len(ring)
-            out.append(turned[: at + 1])
-            back.append(np.concatenate([turned[at:], turned[:1]]))
-    return np.concatenate(out + back[::-1])
+
+    def closed(ring: np.ndarray, first: int) -> np.ndarray:
+        turned = np.roll(ring, -first, axis=0)
+        return np.concatenate([turned, turned[:1]])
+
+    out, back = [closed(rings[0], links[0][0])], []
+    for ring, before, after in zip(rings[1:], links, links[1:]):
+        low, high = sorted((before[1], after[0]))
+        walk = closed(ring[::-1] if before[1] > after[0] else ring, low)
+        out.append(walk[: high - low + 1])
+        back.append(walk[high - low :])
+    return np.concatenate([*out, closed(rings[-1], links[-1][1]), *back[::-1]])
+
+
+def projected(points: str, matrix: str = "m", more: str = "") -> str:
+    """Points (array of structs) through a 3x3 matrix (array of nine, row by row), with the perspective divide."""
+    row = lambda i: f"({matrix}[{i}] * p.x + {matrix}[{i + 1}] * p.y + {matrix}[{i + 2}])"
+    return f"transform({points}, p -> struct({row(0)} / {row(6)} as x, {row(3)} / {row(6)} as y{more}))"
+
+
+def perspective_outlines(df: DataFrame, width: str, height: str, min_share: float = 0.01) -> DataFrame:
+    """Polygons through the row's matrix ``m``; each box is the hull of the points inside the image, and its polygon is clipped to it.
+
+    An outline that leaves the image on three sides or more is clipped to the image first. Boxes without area, of less than ``min_share`` of the old
+    area, or too narrow go.
+    """
+    scaled = df.selectExpr("*", *[f"{v} as o_{v}" for v in BOX])
+    moved = replace_columns(scaled, polygon=projected("polygon"))
+    ends = "array_min(polygon.x) < 0, array_min(polygon.y) < 0, array_max(polygon.x) > {w}, array_max(polygon.y) > {h}".format(w=width, h=height)
+    held = f"transform(polygon, p -> struct({G.clamp('p.x', '0D', width)} as x, {G.clamp('p.y', '0D', height)} as y))"
+    sides = f"size(filter(array({ends}), v -> v)) >= 3"
+    inside = f"filter(if({sides}, {held}, polygon), p -> p.x > 0 and p.y > 0 and p.x < {width} and p.y < {height})"
+    boxed = moved.selectExpr("*", f"{inside} as _in")
+    boxed = replace_columns(boxed, **{f"{a}{i}": f"coalesce(array_{f}(_in.{a}), 0D)" for a in "xy" for i, f in ((1, "min"), (2, "max"))})
+    cut = f"transform(polygon, p -> struct({G.clamp('p.x', 'x1', 'x2')} as x, {G.clamp('p.y', 'y1', 'y2')} as y))"
+    out = replace_columns(boxed.drop("_in"), polygon=cut)
+    return candidates(out, min_area=min_share).drop(*[f"o_{v}" for v in BOX])
+
+
+def perspective_keypoints(df: DataFrame, width: str, height: str) -> DataFrame:
+    """Keypoints (x, y, v) through the row's matrix ``m``; those outside the image are no longer visible."""
+    moved = replace_columns(df, kpts=projected("kpts", more=", p.v as v"))
+    gone = f"p.x < 0 or p.y < 0 or p.x > {width} or p.y > {height}"
+    return replace_columns(moved, kpts=f"transform(kpts, p -> struct(p.x as x, p.y as y, if({gone}, 0, p.v) as v))")
+
+
+def mix_up(objects: DataFrame, partners: DataFrame) -> DataFrame:
+    """Labels of an image and of its partner together (image_id, partner_id); ``part`` says whose they are."""
+    other = objects.withColumnRenamed("image_id", "partner_id").join(partners, "partner_id").drop("partner_id")
+    return objects.selectExpr("*", "0 as part").unionByName(other.selectExpr(*objects.columns, "1 as part"))

@@ -24,6 +24,23 @@ def all_formats(df: DataFrame, width: str, height: str) -> DataFrame:
     )
 
 
+def from_centre(df: DataFrame, width: str = "1", height: str = "1", names: tuple[str, ...] = ("cx", "cy", "w", "h")) -> DataFrame:
+    """Corners from centre forms; with an image size, from normalised ones."""
+    cx, cy, w, h = (f"{n} * {size}" if size != "1" else n for n, size in zip(names, (width, height, width, height)))
+    return replace_columns(df, x1=f"{cx} - {w} / 2", y1=f"{cy} - {h} / 2", x2=f"{cx} + {w} / 2", y2=f"{cy} + {h} / 2")
+
+
+def from_top_left(df: DataFrame, names: tuple[str, ...] = ("left", "top", "w", "h")) -> DataFrame:
+    """Corners from the top-left corner and the size."""
+    left, top, w, h = names
+    return replace_columns(df, x1=left, y1=top, x2=f"{left} + {w}", y2=f"{top} + {h}")
+
+
+def centre_to_top_left(df: DataFrame) -> DataFrame:
+    """Top-left corner and size from the centre form."""
+    return df.selectExpr("*", "cx - w / 2 as left", "cy - h / 2 as top")
+
+
 def clip(df: DataFrame, width: str, height: str) -> DataFrame:
     return replace_columns(
         df, x1=G.clamp("x1", "0D", width), x2=G.clamp("x2", "0D", width), y1=G.clamp("y1", "0D", height), y2=G.clamp("y2", "0D", height)

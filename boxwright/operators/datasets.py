@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boxwright.operators.scans import blocked_scan
+
 
 def draw(key: str, seed: int = 0) -> str:
     """Uniform number in [0, 1) from an integer key: an arithmetic hash, the same in any engine."""
@@ -140,3 +142,27 @@ def rect_batches(images: DataFrame, batch: int, stride: int = 32, size: int = 64
         f"cast(ceil(sw * {size} / {stride} + {pad}D) * {stride} as int) as width",
     )
     return ranked.join(shapes, "batch")
+
+
+def ks_statistic(train: DataFrame, live: DataFrame, value: str, blocks: int = 4096) -> DataFrame:
+    """Two-sample Kolmogorov-Smirnov statistic, exact: the largest distance of the two running shares over all distinct values.
+
+    Values are counted before they are ordered, and the running counts are taken inside ordered blocks, whose totals are carried across.
+    """
+    both = train.selectExpr(f"cast({value} as double) as v", "1L as a", "0L as b").union(live.selectExpr(f"cast({value} as double) as v", "0L as a", "1L as b"))
+    counts = both.where("v is not null and not isnan(v)").groupBy("v").agg(F.expr("sum(a) as a"), F.expr("sum(b) as b"))
+    ends = counts.agg(F.expr("min(v) as lo"), F.expr("max(v) as hi"), F.expr("sum(a) as n_a"), F.expr("sum(b) as n_b"))
+    # one row, so the cross join adds four columns
+    ordered = counts.crossJoin(F.broadcast(ends)).selectExpr("*", "1 as one", f"cast(coalesce(floor((v - lo) / (hi - lo) * {blocks}), 0) as bigint) as block")
+    run = blocked_scan(ordered, ["one"], ["v"], "block", sums={"up_a": "a", "up_b": "b"})
+    return run.agg(F.expr("max(abs(up_a / n_a - up_b / n_b)) as ks"), F.expr("max(n_a) as n_train"), F.expr("max(n_b) as n_live"))
+
+
+def size_slice(area: str, small: float = 1024, medium: float = 9216) -> str:
+    """0 small, 1 medium, 2 large by the area of an object in pixels."""
+    return f"case when {area} < {small}D then 0 when {area} < {medium}D then 1 else 2 end"
+
+
+def class_confusion(ranked: DataFrame) -> DataFrame:
+    """Cells of matrix[pred][truth] of a classifier, empty ones left out."""
+    return ranked.groupBy("pred", "truth").agg(F.expr("count(*) as n"))

@@ -89,6 +89,18 @@ def chart_series(points: DataFrame, last: int = 45) -> DataFrame:
     return salted_top_k(points, ["stream_id", "cls"], "frame desc", last, "pmod(frame, 64)")
 
 
+def frame_totals(obs: DataFrame, every: int = 30) -> DataFrame:
+    """Objects per sampled frame: the points of a line chart."""
+    return obs.where(f"frame % {every} = 0").groupBy("stream_id", "frame").agg(F.expr("count(*) as total"))
+
+
+def chart_grid(points: DataFrame, last: int = 45) -> DataFrame:
+    """Every class of a stream at the stream's last frames, zero where a class was not seen (late classes start with zeros)."""
+    frames = salted_top_k(points.select("stream_id", "frame").distinct(), ["stream_id"], "frame desc", last, "pmod(frame, 64)").drop("rank")
+    grid = frames.join(points.select("stream_id", "cls").distinct(), "stream_id")
+    return grid.join(points, ["stream_id", "cls", "frame"], "left").selectExpr("stream_id", "cls", "frame", "coalesce(n, 0L) as n")
+
+
 def sticky_gauge(counts: DataFrame) -> DataFrame:
     """Region counts per frame (n may be 0) with the last non-zero value carried on."""
     return blocked_scan(counts, ["stream_id", "region"], ["frame"], "frame div 1000000", lasts={"sticky": "nullif(n, 0)"})

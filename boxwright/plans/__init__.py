@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("evaluation", "projections", "sources", "datasets", "spatial", "tracking", "augmentation", "live")
+MODULES = ("evaluation", "projections", "sources", "datasets", "spatial", "tracking", "augmentation", "live", "sinks", "reports")
 
 
 def load_all() -> None:

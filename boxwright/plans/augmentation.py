@@ -31,6 +31,54 @@ def affine_labels(spark: SparkSession, d: str) -> DataFrame:
     return A.affine_boxes(moved, "640D", "480D").selectExpr("image_id", "gt_id", *rounded(*BOX))
 
 
+# Row by row: a matrix that scales, shears, moves and tilts by the image's number.
+_MATRIX = ("0.8E0 + (image_id % 5) * 0.1E0", "0.05E0", "(image_id % 7) * 10.0E0 - 30", "-0.03E0", "0.9E0", "(image_id % 3) * 15.0E0", "(image_id % 4) * 0.0001E0", "(image_id % 3) * -0.0001E0", "1.0E0")
+_TILT = ", ".join(f"{e} AS m{i}" for i, e in enumerate(_MATRIX))
+_PX, _PY = (f"(m{i} * x + m{i + 1} * y + m{i + 2}) / (m6 * x + m7 * y + m8)" for i in (0, 3))
+
+
+def tilted(spark: SparkSession, d: str) -> DataFrame:
+    return v_gt(spark, d).selectExpr(
+        "*", f"array({', '.join(e.replace('E0', 'D') for e in _MATRIX)}) as m",
+        "array(struct(x1 as x, y1 as y), struct(x2 as x, y1 as y), struct(x2 as x, y2 as y), struct(x1 as x, y2 as y)) as polygon",
+        "transform(sequence(0, 2), k -> struct(x1 + k * 20 as x, y1 + k * 15 as y, 2 as v)) as kpts",
+    )
+
+
+@query("aug_01_perspective_outlines", f"""
+WITH p AS (SELECT image_id, gt_id, (x2 - x1) * (y2 - y1) AS area0, k, CASE WHEN k IN (0, 3) THEN x1 ELSE x2 END AS x, CASE WHEN k < 2 THEN y1 ELSE y2 END AS y, {_TILT} FROM v_gt, (SELECT unnest(range(4)) AS k)),
+q AS (SELECT image_id, gt_id, area0, {_PX} AS x, {_PY} AS y FROM p),
+s AS (SELECT *, CAST(min(x) OVER w < 0 AS INT) + CAST(min(y) OVER w < 0 AS INT) + CAST(max(x) OVER w > 640 AS INT) + CAST(max(y) OVER w > 480 AS INT) AS sides FROM q WINDOW w AS (PARTITION BY image_id, gt_id)),
+c AS (SELECT image_id, gt_id, area0, x, y, CASE WHEN sides >= 3 THEN least(greatest(x, 0), 640) ELSE x END AS cx, CASE WHEN sides >= 3 THEN least(greatest(y, 0), 480) ELSE y END AS cy FROM s),
+b AS (SELECT image_id, gt_id, any_value(area0) AS area0, coalesce(min(cx) FILTER (i), 0) AS x1, coalesce(min(cy) FILTER (i), 0) AS y1, coalesce(max(cx) FILTER (i), 0) AS x2, coalesce(max(cy) FILTER (i), 0) AS y2
+  FROM (SELECT *, cx > 0 AND cy > 0 AND cx < 640 AND cy < 480 AS i FROM c) GROUP BY image_id, gt_id)
+SELECT b.image_id, b.gt_id, round(any_value(x1), 6) AS x1, round(any_value(y1), 6) AS y1, round(any_value(x2), 6) AS x2, round(any_value(y2), 6) AS y2, round(sum(least(greatest(x, x1), x2)), 4) AS sum_x, round(sum(least(greatest(y, y1), y2)), 4) AS sum_y
+FROM b JOIN c USING (image_id, gt_id) WHERE x2 - x1 > 2 AND y2 - y1 > 2 AND (x2 - x1) * (y2 - y1) / (b.area0 + 1e-16) > 0.01E0 AND greatest((x2 - x1) / (y2 - y1 + 1e-16), (y2 - y1) / (x2 - x1 + 1e-16)) < 100
+GROUP BY b.image_id, b.gt_id""")
+def perspective_outlines(spark: SparkSession, d: str) -> DataFrame:
+    """Outlines through a perspective matrix, boxed again and clipped."""
+    out = A.perspective_outlines(tilted(spark, d), "640D", "480D")
+    total = lambda a: f"round(aggregate(polygon, 0D, (s, p) -> s + p.{a}), 4) as sum_{a}"
+    return out.selectExpr("image_id", "gt_id", *rounded(*BOX), total("x"), total("y"))
+
+
+@query("aug_01_perspective_keypoints", f"""
+WITH p AS (SELECT image_id, gt_id, k, x1 + k * 20 AS x, y1 + k * 15 AS y, {_TILT} FROM v_gt, (SELECT unnest(range(3)) AS k)),
+q AS (SELECT image_id, gt_id, k, {_PX} AS x, {_PY} AS y FROM p)
+SELECT image_id, gt_id, CAST(k AS INT) AS k, round(x, 6) AS x, round(y, 6) AS y, CASE WHEN x < 0 OR y < 0 OR x > 640 OR y > 480 THEN 0 ELSE 2 END AS v FROM q""")
+def perspective_keypoints(spark: SparkSession, d: str) -> DataFrame:
+    """Keypoints through a perspective matrix; those that leave the image are hidden."""
+    out = A.perspective_keypoints(tilted(spark, d), "640D", "480D")
+    return out.selectExpr("image_id", "gt_id", "posexplode(kpts) as (k, p)").selectExpr("image_id", "gt_id", "k", "round(p.x, 6) as x", "round(p.y, 6) as y", "p.v as v")
+
+
+@query("aug_04_mix_up", "SELECT image_id, gt_id, cls, 0 AS part FROM v_gt UNION ALL SELECT i.image_id, gt_id, cls, 1 FROM v_gt g JOIN v_image i ON g.image_id = (i.image_id * 7 + 3) % 150")
+def mix_up(spark: SparkSession, d: str) -> DataFrame:
+    """Labels of two images together."""
+    partners = v_image(spark, d).selectExpr("image_id", "(image_id * 7 + 3) % 150 as partner_id")
+    return A.mix_up(v_gt(spark, d), partners).select("image_id", "gt_id", "cls", "part")
+
+
 @query("aug_02_flip_labels", "SELECT image_id, gt_id, 640 - x2 AS x1, 640 - x1 AS x2, 640 - (x1 + 20) AS k0x, 640 - x1 AS k1x, 640 - (x1 + 40) AS k2x FROM v_gt")
 def flip_labels(spark: SparkSession, d: str) -> DataFrame:
     keyed = v_gt(spark, d).selectExpr("*", "transform(sequence(0, 2), k -> struct(x1 + k * 20 as x, y1 as y, 2 as v)) as kpts")
@@ -100,13 +148,14 @@ def polygon_resampling(spark: SparkSession, d: str) -> DataFrame:
     return out.selectExpr("image_id", "gt_id", "pos", "round(p.x, 6) as x", "round(p.y, 6) as y")
 
 
-@query("aug_08_polygon_stitching")
+@query("aug_08_polygon_stitching", "SELECT gt_id AS object_id, CAST(16 AS INT) AS n, x2 AS first_x, round(3 * (x2 - x1) * (y2 - y1), 3) AS area FROM v_gt")
 def polygon_stitching(spark: SparkSession, d: str) -> DataFrame:
-    """Two shifted copies of each image's first-class boxes as parts of one object."""
+    """Three shifted copies of each box as parts of one object: the seams add vertices and no area."""
     parts = v_gt(spark, d).selectExpr("gt_id as object_id", "explode(array(0, 1, 2)) as part_no", *BOX).selectExpr(
         "object_id", "part_no", "array(x1 + part_no * 200, x2 + part_no * 200, x2 + part_no * 200, x1 + part_no * 200) as xs", "array(y1, y1, y2, y2) as ys"
     )
-    return A.stitch_parts(parts).selectExpr("object_id", "size(xs) as n", "xs[0] as first_x")
+    shoelace = "abs(aggregate(sequence(0, size(xs) - 1), 0D, (s, i) -> s + xs[i] * ys[(i + 1) % size(xs)] - xs[(i + 1) % size(xs)] * ys[i])) / 2"
+    return A.stitch_parts(parts).selectExpr("object_id", "size(xs) as n", "xs[0] as first_x", f"round({shoelace}, 3) as area")
 
 
 def class_pixels(spark: SparkSession, d: str) -> DataFrame:
@@ -151,23 +200,26 @@ def scoring_plugin(spark: SparkSession, d: str) -> DataFrame:
     return plugins.score(v_image(spark, d).select("image_id", "width", "height"), plugins.stub_scorer).select("image_id", "slot", "cls", "conf")
 
 
-@query("udf_02_embedding_plugin", "SELECT doc_id, round(CAST(CAST(n_chars / (n_chars + 100.0E0) AS FLOAT) AS DOUBLE), 6) AS e0, round(CAST(CAST(1 - n_chars / (n_chars + 100.0E0) AS FLOAT) AS DOUBLE), 6) AS e1 FROM documents")
+_SHARES = ", ".join(f"round(CAST(CAST((len(text) - len(regexp_replace(text, '[{c}]', '', 'g'))) / greatest(len(text), 1.0E0) AS FLOAT) AS DOUBLE), 6) AS e{i}" for i, c in enumerate(("a-m", "n-z", "A-Z", "0-9")))
+
+
+@query("udf_02_embedding_plugin", f"SELECT doc_id, {_SHARES} FROM documents")
 def embedding_plugin(spark: SparkSession, d: str) -> DataFrame:
-    rows = plugins.embed(table(spark, d, "documents").select("doc_id", "n_chars"), "n_chars", plugins.stub_embedder)
-    return rows.selectExpr("doc_id", "round(cast(embedding[0] as double), 6) as e0", "round(cast(embedding[1] as double), 6) as e1")
+    rows = plugins.embed(table(spark, d, "documents").select("doc_id", "text"), "text", plugins.stub_embedder)
+    return rows.selectExpr("doc_id", *[f"round(cast(embedding[{i}] as double), 6) as e{i}" for i in range(4)])
 
 
-@query("src_18_embedding_table", "SELECT doc_id, round(CAST(CAST(n_chars / (n_chars + 100.0E0) AS FLOAT) AS DOUBLE), 6) AS e0 FROM documents")
+@query("src_18_embedding_table", f"SELECT doc_id, {_SHARES} FROM documents")
 def embedding_table(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors built once per (dataset, model) into a partitioned table and read back.
+    """Vectors of whole texts built once per (dataset, model) into a partitioned table and read back.
 
-    The dataset name carries the manifest key of its files, so changed content is never answered from an old table.
+    The dataset name carries a key of its files' contents, so changed content is never answered from an old table.
     """
-    rows = table(spark, d, "documents").select("doc_id", "n_chars")
-    key = manifest_key(rows.selectExpr("cast(doc_id as string) as path", "n_chars as length")).first().key
+    rows = table(spark, d, "documents").select("doc_id", "text")
+    key = manifest_key(rows.selectExpr("cast(doc_id as string) as path", "xxhash64(text) as length")).first().key
     path = f"{shared_folder(spark)}/embeddings"
-    out = plugins.embedding_table(rows, "n_chars", plugins.stub_embedder, path, dataset=f"documents-{key[:16]}", model="stub")
-    return out.selectExpr("doc_id", "round(cast(embedding[0] as double), 6) as e0")
+    out = plugins.embedding_table(rows, "text", plugins.stub_embedder, path, dataset=f"documents-{key[:16]}", model="stub")
+    return out.selectExpr("doc_id", *[f"round(cast(embedding[{i}] as double), 6) as e{i}" for i in range(4)])
 
 
 @query("udf_04_aggregators", "SELECT cls, count(*) AS n, round(avg(conf), 6) AS mean_conf FROM v_det GROUP BY cls")

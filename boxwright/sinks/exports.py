@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxwright.functions import geometry as G
@@ -20,10 +20,30 @@ def box_line(width: str, height: str, conf: bool = False, track: bool = False) -
     return f"concat_ws(' ', {', '.join(parts)})"
 
 
-def polygon_line(points: str = "polygon") -> str:
-    """Label line: class, then point coordinates."""
-    flat = f"flatten(transform({points}, p -> array(p.x, p.y)))"
-    return f"concat_ws(' ', cast(cls as string), array_join({general_list(flat)}, ' '))"
+def _line(values: str, conf: bool, track: bool) -> str:
+    """Label line of class, numbers, then confidence and track id when asked for."""
+    parts = ["cast(cls as string)", f"array_join({general_list(f'concat({values}, array(conf))' if conf else values)}, ' ')"]
+    if track:
+        parts.append("cast(track_id as string)")
+    return f"concat_ws(' ', {', '.join(parts)})"
+
+
+def polygon_line(points: str = "polygon", width: str = "1", height: str = "1", conf: bool = False, track: bool = False) -> str:
+    """Label line: class, then point coordinates as shares of the image."""
+    return _line(f"flatten(transform({points}, p -> array(p.x / {width}, p.y / {height})))", conf, track)
+
+
+def oriented_line(width: str, height: str, conf: bool = False, track: bool = False) -> str:
+    """Label line of a rotated box (cx, cy, w, h, r): class, then its four corners as shares of the image."""
+    corners = [f"{c} / {height if i % 2 else width}" for i, c in enumerate(G.rotated_corners())]
+    return _line(f"array({', '.join(corners)})", conf, track)
+
+
+def pose_line(width: str, height: str, points: str = "kpts", scores: bool = True, conf: bool = False, track: bool = False) -> str:
+    """Label line: class, normalised centre box, then x, y and, if they have them, the score of every keypoint."""
+    box = f"array((x1 + x2) / 2 / {width}, (y1 + y2) / 2 / {height}, (x2 - x1) / {width}, (y2 - y1) / {height})"
+    flat = f"flatten(transform({points}, p -> array(p.x / {width}, p.y / {height}{', p.v' if scores else ''})))"
+    return _line(f"concat({box}, {flat})", conf, track)
 
 
 def class_line(probs: str, names: str) -> str:
@@ -32,9 +52,31 @@ def class_line(probs: str, names: str) -> str:
     return f"array_join(transform(slice(array_sort({pairs}), 1, 5), s -> concat(format_string('%.2f', -s.k), ' ', {names}[s.i])), '\\n')"
 
 
-def write_lines(lines: DataFrame, path: str, partition: str = "split") -> None:
-    """Text rows under one folder per partition value."""
+def write_lines(lines: DataFrame, path: str, partition: str = "split") -> DataFrame:
+    """Write text rows (``line``) to one folder per partition value; the files as they read back."""
     lines.select(partition, "line").write.partitionBy(partition).text(path)
+    return lines.sparkSession.read.text(path).withColumnRenamed("value", "line")
+
+
+def write_table(df: DataFrame, path: str, form: str) -> DataFrame:
+    """Write rows as csv (nested values as JSON text, with a header) or json; the table as it reads back."""
+    flat = nested_to_text(df) if form == "csv" else df
+    flat.write.format(form).option("header", True).save(path)
+    return df.sparkSession.read.schema(flat.schema).format(form).option("header", True).load(path)
+
+
+def keypoint_values(points: str = "kpts") -> str:
+    """Flat x, y, score list of keypoints, for prediction files."""
+    return f"flatten(transform({points}, p -> array(cast(p.x as double), cast(p.y as double), cast(p.v as double))))"
+
+
+def read_runs(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of all run logs under a folder (one folder ``run=...`` each). Lines that do not fit the schema, whose first column counts epochs,
+    give no rows."""
+    first = schema.split()[0]
+    rows = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).csv(path)
+    named = rows.select("*", F.regexp_extract("_metadata.file_path", "run=([^/]+)/", 1).alias("run_id"))
+    return named.where(F.col(first).isNotNull())
 
 
 def summary_rows(det: DataFrame, width: str | None = None, height: str | None = None, decimals: int = 5) -> DataFrame:
@@ -104,3 +146,21 @@ def manifest_key(files: DataFrame) -> DataFrame:
     return folded.selectExpr("g", "sha2(t, 256) as t").agg(
         F.expr("sha2(array_join(transform(array_sort(collect_list(struct(g, t))), v -> v.t), ''), 256) as key")
     )
+
+
+def incremental_counts(files: DataFrame, cache: str | None, parse, path: str) -> DataFrame:
+    """Scan results of all files (path, key), parsing only those whose key the cache does not hold; written to ``path``, the next cache.
+
+    ``parse(files)`` gives (path, ...) rows. Files that are gone leave the cache. ``parsed`` says which rows were read anew.
+    """
+    spark = files.sparkSession
+    if cache is None:
+        fresh = parse(files).join(files.select("path", "key"), "path").selectExpr("*", "true as parsed")
+    else:
+        old = spark.read.parquet(cache).drop("parsed")
+        held = old.join(files.select("path", "key"), ["path", "key"], "left_semi")
+        changed = files.join(old.select("path", "key"), ["path", "key"], "left_anti")
+        new = parse(changed).join(changed.select("path", "key"), "path")
+        fresh = held.selectExpr("*", "false as parsed").unionByName(new.selectExpr("*", "true as parsed"))
+    fresh.write.parquet(path)
+    return spark.read.parquet(path)

@@ -1,16 +1,15 @@
 """Personal data: base patterns and bootstrapped contextual extraction.
 
 Base spans are regular expressions with checks (address parts, digit counts, Luhn). They are the seeds of the bootstrap:
-the words before and behind a seed are its lexical patterns. Candidates are other identifier-like tokens in the same
-places. Patterns and instances form a graph whose scores are iterated: a pattern is as good as the instances it
-extracts, an instance as good as the patterns that extract it (seeds stay at 1). What high-confidence patterns extract and
-the base patterns miss is added under the kind of the pattern's seeds.
+the one to three words before and behind a seed are its lexical patterns. Candidates are other identifier-like runs in the same
+places: tokens with digits, groups of digits, addresses that are spelt out. Patterns and instances form a graph whose scores are iterated: a pattern is as
+good as the instances it extracts, an instance as good as the patterns that extract it (seeds stay at 1). What high-confidence
+patterns extract and the base patterns miss is added under the kind of the pattern's seeds.
 
 Only DataFrame operations are used; regular expressions are written so that no match can recurse or backtrack over long
-runs. The graph is summed to distinct (pattern, instance) rows before it is joined. Accepted patterns are compared as a
-literal list: a pattern must be specific (half of the places of its word hold an identifier, which is counted over all
-texts, so that common words are no pattern) and needs ``min_share`` of the occurrences of all seeds, and an occurrence has two patterns, so
-there are at most 2 / min_share of them.
+runs. The graph is summed to distinct (pattern, instance) rows before it is joined. A pattern must be specific: half of the places
+of its words hold an identifier, which is counted over all texts, so that common words are no pattern. Accepted patterns are a table
+that is joined to the places.
 
 Defined results: null and empty texts have no spans; repeated rows have the same spans; equal spans come once per kind; an
 empty table gives an empty result; further columns pass through, clashing names are replaced.
@@ -26,6 +25,8 @@ from pyspark.sql import functions as F
 from boxwright.llm.text import GAP, body
 from boxwright.session import materialize
 
+WORD = 64  # characters of a pattern's word
+BITS = 1 << 14  # 64-bit words of the bitmap of pattern words
 KINDS = ("email", "ip", "card", "phone")
 # Possessive quantifiers and look-behinds keep the leftmost matches of the plain forms without their backtracking: a start
 # inside a run can only match where the run's first place does, or right behind the match before (\G).
@@ -79,25 +80,50 @@ def base_spans(docs: DataFrame, column: str = "text") -> DataFrame:
     return df.withColumn("base", F.expr(f"array_sort(concat({lists}))")).drop("_text", *[f"_{k}" for k in KINDS])
 
 
-def _context(text: str, s: str, e: str) -> tuple[str, str]:
-    """Patterns of a place: the word before it and the word behind it, lower-cased, with marks."""
-    before = f"lower(regexp_extract(substring({text}, greatest(1, {s} - 39), least(40, {s})), r'([^\\x20\\x09-\\x0D]++)[\\x20\\x09-\\x0D]?$', 1))"
-    behind = f"lower(regexp_extract(substring({text}, {e} + 1, 40), r'^[\\x20\\x09-\\x0D]?([^\\x20\\x09-\\x0D]++)', 1))"
-    return f"concat('<', {before})", f"concat('>', {behind})"
+REACH = 3 * (WORD + 2)  # characters beside a place that can hold its patterns
+
+
+def _contexts(text: str, s: str, e: str) -> str:
+    """Patterns of a place: the one, two and three words before it and those behind it, lower-cased, with marks.
+
+    Words have up to ``WORD`` characters. What the reach cuts is no whole word and left out.
+    """
+    cut = r"filter(split(lower({t}), '[\\x20\\x09-\\x0D]+'), w -> w <> '')"
+    before = cut.format(t=f"substring({text}, greatest(1, {s} - {REACH - 1}), least({REACH}, {s}))")
+    behind = cut.format(t=f"substring({text}, {e} + 1, {REACH})")
+    whole_before = f"transform(array({before}), w -> if({s} > {REACH} and size(w) > 0, slice(w, 2, size(w)), w))[0]"
+    whole_behind = f"transform(array({behind}), w -> if({e} + {REACH} < length({text}) and size(w) > 0, slice(w, 1, size(w) - 1), w))[0]"
+    last = lambda n: f"if(size(w) >= {n}, array(concat('<', array_join(slice(w, -{n}, {n}), ' '))), array())"
+    first = lambda n: f"if(size(w) >= {n}, array(concat('>', array_join(slice(w, 1, {n}), ' '))), array())"
+    sides = [f"transform(array({w}), w -> concat({', '.join(f(n) for n in (1, 2, 3))}))[0]" for w, f in ((whole_before, last), (whole_behind, first))]
+    return f"filter(concat({', '.join(sides)}), p -> length(p) <= {REACH} and not exists(split(p, ' '), w -> length(w) > {WORD + 1}))"
+
+
+# Identifier-like runs: a token with digits, groups of digits, an e-mail address that is spelt out.
+LIKE = {
+    "token": (r"(?<![A-Za-z0-9@._+-])(?:[A-Za-z@_+-]*+[0-9.]){5}[A-Za-z0-9@._+-]*+", r"[0-9]{2}", "length(x.m) >= 6 and length(regexp_replace(x.m, '[^0-9]', '')) >= 5"),
+    "group": (r"(?<![0-9])[(]?[0-9]++(?:[\x20().-]{1,2}[0-9]++)++", r"[0-9][\x20().-]{1,2}[0-9]", "length(regexp_replace(x.m, '[^0-9]', '')) >= 7"),
+    "spelt": (
+        r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:\x20?[(\[][aA][tT][)\]]\x20?|\x20at\x20)[A-Za-z0-9-]++(?:(?:\.|\x20?[(\[][dD][oO][tT][)\]]\x20?|\x20dot\x20)[A-Za-z0-9-]++)++",
+        r"[aA][tT][)\]\x20]", "true",
+    ),
+}
 
 
 def with_contexts(docs: DataFrame, column: str = "text") -> DataFrame:
-    """Adds ``_seen``: array of struct(s, e, m, k, before, behind) of base spans (k their kind) and other identifier-like
-    tokens (k = -1) that touch no base span. Identifier-like: six characters or more, five of them digits."""
+    """Adds ``_seen``: array of struct(s, e, m, k, patterns) of base spans (k their kind) and identifier-like runs (k = -1) that touch no
+    base span; of runs that touch the longer kind counts."""
     df = docs.withColumn("_text", body(F.col(column)))
-    df = matches(df, "token", r"(?<![A-Za-z0-9@._+-])(?:[A-Za-z@_+-]*+[0-9.]){5}[A-Za-z0-9@._+-]*+", r"[0-9]{2}")
-    before, behind = _context("_text", "x.s", "x.e")
-    keep = "length(x.m) >= 6 and length(regexp_replace(x.m, '[^0-9]', '')) >= 5 and not exists(base, b -> b.s < x.e and x.s < b.e)"
-    shape = "named_struct('s', x.s, 'e', x.e, 'm', x.m, 'k', {k}, 'before', {b}, 'behind', {a})"
-    seen = f"""concat(
-        transform(base, x -> {shape.format(k="x.k", b=before, a=behind)}),
-        transform(filter(_token, x -> {keep}), x -> {shape.format(k="-1", b=before, a=behind)}))"""
-    return df.withColumn("_seen", F.expr(seen)).drop("_text", "_token")
+    for name, (pattern, need, _) in LIKE.items():
+        df = matches(df, name, pattern, need)
+    apart = "not exists(base, b -> b.s < x.e and x.s < b.e)"
+    spelt = f"filter(_spelt, x -> {apart})"
+    group = f"filter(_group, x -> {LIKE['group'][2]} and {apart} and not exists(_spelt, b -> b.s < x.e and x.s < b.e))"
+    token = f"filter(_token, x -> {LIKE['token'][2]} and {apart} and not exists(_spelt, b -> b.s < x.e and x.s < b.e) and not exists(_runs, b -> b.s < x.e and x.s < b.e))"
+    df = df.withColumn("_runs", F.expr(group)).withColumn("_like", F.expr(f"concat({spelt}, _runs, {token})"))
+    shape = f"named_struct('s', x.s, 'e', x.e, 'm', x.m, 'k', {{k}}, 'patterns', {_contexts('_text', 'x.s', 'x.e')})"
+    seen = f"concat(transform(base, x -> {shape.format(k='x.k')}), transform(_like, x -> {shape.format(k='-1')}))"
+    return df.withColumn("_seen", F.expr(seen)).drop("_text", "_runs", "_like", *[f"_{name}" for name in LIKE])
 
 
 def scored_patterns(seen: DataFrame, rounds: int = 3, prior: float = 4.0) -> DataFrame:
@@ -106,7 +132,7 @@ def scored_patterns(seen: DataFrame, rounds: int = 3, prior: float = 4.0) -> Dat
     A pattern's score is the mean score of its distinct instances, shrunk by ``prior`` unknown ones of score 0. An
     instance that is no seed gets the noisy-or of its patterns' scores. Rounds write the small graph's scores out.
     """
-    places = seen.select(F.explode("_seen").alias("x")).selectExpr("x.m as instance", "x.k as k", "explode(array(x.before, x.behind)) as pattern").where("length(pattern) > 1")
+    places = seen.select(F.explode("_seen").alias("x")).selectExpr("x.m as instance", "x.k as k", "explode(x.patterns) as pattern")
     edges = materialize(places.groupBy("pattern", "instance").agg(F.max("k").alias("k"), F.count("*").alias("n")))
     scores = edges.select("instance", F.when(F.col("k") >= 0, 1.0).otherwise(0.0).alias("score"), "k").distinct().groupBy("instance").agg(F.max("score").alias("score"), F.max("k").alias("k"))
     for _ in range(rounds):
@@ -125,39 +151,54 @@ def scored_patterns(seen: DataFrame, rounds: int = 3, prior: float = 4.0) -> Dat
     return final.select("pattern", kind.alias("k"), "support", "places", "seeds", "confidence")
 
 
-def specific(docs: DataFrame, patterns: list[tuple[str, int, int]], column: str, least: float) -> dict[str, int]:
-    """Patterns {pattern: kind} of which at least the share ``least`` of all places, those of any other word included, hold an
-    identifier. ``patterns`` has (pattern, kind, identifiers found there); the words are counted over all texts."""
-    if not patterns:
-        return {}
-    known = F.create_map(*[F.lit(v) for w in sorted({p[1:] for p, _, _ in patterns}) for v in (w, True)])
-    cut = F.filter(F.split(F.lower(body(F.col(column))), GAP), lambda w: known[w])
-    totals = dict(docs.select(F.explode(cut).alias("w")).groupBy("w").count().collect())
-    return {p: k for p, k, n in patterns if n >= least * totals.get(p[1:], 0)}
+def specific(docs: DataFrame, patterns: DataFrame, column: str, least: float) -> DataFrame:
+    """Patterns (pattern, places, ...) of which at least the share ``least`` of all places, those of any other words included, hold an
+    identifier. Their words are counted over all texts; a bitmap of fixed size drops most other words before they are summed."""
+    wanted = patterns.select(F.expr("substring(pattern, 2)").alias("w"), "pattern", "places").withColumn("h", F.xxhash64("w"))
+    place = F.expr(f"cast(shiftrightunsigned(h, 6) & {BITS - 1}L as int)").alias("at")
+    marked = dict(wanted.groupBy(place).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63L as int)))").alias("bits")).collect())
+    lengths = [r[0] for r in wanted.select(F.size(F.split("w", " ")).alias("n")).distinct().collect()]
+    bitmap = docs.sparkSession.createDataFrame([([marked.get(i, 0) for i in range(BITS)],)], "bits array<long>")
+    words = F.filter(F.split(F.lower(body(F.col(column))), GAP), lambda w: w != "")
+
+    def runs(n: int) -> F.Column:
+        made = F.transform(F.sequence(F.lit(1), F.size("_w") - (n - 1)), lambda i: F.array_join(F.slice("_w", i, n), " "))
+        return F.when(F.size("_w") >= n, made).otherwise(F.array().cast("array<string>"))
+
+    cut = docs.select(words.alias("_w")).select(F.explode(F.flatten(F.array(*[runs(n) for n in sorted(lengths)]))).alias("w")).withColumn("h", F.xxhash64("w"))
+    # the bitmap is one row of fixed size
+    hit = F.expr(f"get(bits, cast(shiftrightunsigned(h, 6) & {BITS - 1}L as int)) & shiftleft(1L, cast(h & 63L as int)) <> 0")
+    totals = cut.join(F.broadcast(bitmap), hit, "left_semi").groupBy("w").agg(F.count("*").alias("total"))
+    kept = wanted.join(totals, "w", "left").where(F.col("places") >= least * F.coalesce("total", F.lit(0))).select("pattern")
+    return patterns.join(kept, "pattern", "left_semi")
 
 
 def find(
-    docs: DataFrame, column: str = "text", keep: Sequence[str] | None = None, confidence: float = 0.75, min_share: float = 0.002, min_seeds: int = 8, least: float = 0.5,
+    docs: DataFrame, column: str = "text", keep: Sequence[str] | None = None, confidence: float = 0.75, min_seeds: int = 8, least: float = 0.5,
 ) -> DataFrame:
     """Documents with ``base`` and ``spans``, arrays of struct(s, k, e, m); spans hold the base and what patterns add.
 
-    ``keep`` names the columns to carry (all by default); the text is written along with its spans only if it is one of them.
+    ``keep`` names the columns to carry (all by default); the text is written along with its spans only if it is one of them. Columns
+    named base or spans are replaced; any other names are free. Accepted patterns are a table, of any size: a pattern needs ``min_seeds`` distinct
+    seeds, whatever their share of all.
     """
-    rest = docs.drop("base", "spans", "_seen", "_text")
-    names = list(rest.columns if keep is None else keep)
-    placed = materialize(with_contexts(base_spans(rest, column), column).select(*names, "base", "_seen"))
-    patterns = materialize(scored_patterns(placed.select("_seen")))
-    total = placed.select(F.expr("size(filter(_seen, x -> x.k >= 0))").alias("n")).agg(F.sum("n")).first()[0] or 0
-    good = patterns.where((F.col("confidence") >= confidence) & (F.col("seeds") >= min_seeds) & (F.col("support") >= min_share * total))
-    accepted = sorted(specific(rest, [(r["pattern"], r["k"], r["places"]) for r in good.collect()], column, least).items())
-    if not accepted:
-        return placed.select(*names, "base", F.col("base").alias("spans"))
-    kinds = F.create_map(*[F.lit(v) for p in accepted for v in p])
-    added = F.transform(
-        F.filter("_seen", lambda x: (x["k"] < 0) & F.coalesce(kinds[x["before"]], kinds[x["behind"]]).isNotNull()),
-        lambda x: F.struct(x["s"].alias("s"), F.coalesce(kinds[x["before"]], kinds[x["behind"]]).alias("k"), x["e"].alias("e"), x["m"].alias("m")),
-    )
-    return placed.select(*names, "base", F.array_sort(F.concat("base", added)).alias("spans"))
+    names = [c for c in (docs.columns if keep is None else keep) if c not in ("base", "spans")]
+    kept = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in names]).alias("_keep")
+    texts = docs.select(kept, F.col(f"`{column}`").alias("_t"))
+    placed = with_contexts(base_spans(texts, "_t"), "_t").select("_keep", "base", "_seen").withColumn("_row", F.monotonically_increasing_id())
+    placed = materialize(placed)
+    patterns = scored_patterns(placed.select("_seen"))
+    good = materialize(patterns.where((F.col("confidence") >= confidence) & (F.col("seeds") >= min_seeds)))
+    columns = [F.col(f"_keep.`{c}`").alias(c) for c in names]
+    if good.isEmpty():
+        return placed.select(*columns, "base", F.col("base").alias("spans"))
+    accepted = materialize(specific(texts, good, "_t", least).select("pattern", F.col("k").alias("kind"), "confidence"))
+    like = placed.select("_row", F.explode(F.filter("_seen", lambda x: x["k"] < 0)).alias("x")).select("_row", "x.s", "x.e", "x.m", F.explode("x.patterns").alias("pattern"))
+    found = like.join(accepted, "pattern").groupBy("_row", "s", "e", "m").agg(F.expr("max_by(kind, struct(confidence, pattern))").alias("k"))
+    added = found.groupBy("_row").agg(F.collect_list(F.struct("s", "k", "e", "m")).alias("_added"))
+    whole = placed.join(added, "_row", "left")
+    spans = F.when(F.col("_added").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", F.coalesce("_added", F.array().cast(added.schema["_added"].dataType)))))
+    return whole.select(*columns, "base", spans.alias("spans"))
 
 
 def digest(spans: str) -> F.Column:

@@ -37,8 +37,8 @@ def shingle_hashes(width: int = 3) -> F.Column:
         i -> xxhash64(array_join(slice(_words, i, {width}), ' ')))""")
 
 
-def with_fingerprint(docs: DataFrame, width: int = 3, column: str = "text", distinct: bool = False) -> DataFrame:
-    """Documents with ``fp``, the signed 64-bit fingerprint, of all shingles or of the distinct ones."""
+def with_fingerprint(docs: DataFrame, width: int = 3, column: str = "text") -> DataFrame:
+    """Documents with ``fp``, the signed 64-bit fingerprint of all shingles."""
 
     @F.pandas_udf("long")
     def majority(hashes: pd.Series) -> pd.Series:
@@ -51,8 +51,7 @@ def with_fingerprint(docs: DataFrame, width: int = 3, column: str = "text", dist
         return pd.Series(out.view(np.int64))
 
     rest = docs.drop("fp", "_words")
-    hashes = F.array_distinct(shingle_hashes(width)) if distinct else shingle_hashes(width)
-    return rest.withColumn("_words", words(lower_ascii(F.col(column)))).withColumn("_hashes", hashes).withColumn("fp", majority("_hashes")).drop("_words", "_hashes")
+    return rest.withColumn("_words", words(lower_ascii(F.col(column)))).withColumn("_hashes", shingle_hashes(width)).withColumn("fp", majority("_hashes")).drop("_words", "_hashes")
 
 
 def segments(radius: int, bits: int = 64) -> list[tuple[int, int]]:
@@ -72,49 +71,28 @@ def _key(ring: list[tuple[int, int]], i: int, flip: str = "0L") -> str:
     return f"struct({i} as at, {_part(ring, i)} as a, ({_part(ring, i + 1)} ^ {flip}) as b)"
 
 
-def hub_links(prints: DataFrame, radius: int, seed: int) -> DataFrame:
-    """Pairs (u, v) of ids: every row (id, fp, root) within ``radius`` bits of the one that stands for its chain key, if their roots differ.
-
-    A key's hub is its first row in an order of ``seed``, so a row makes one pair a key at most.
-    """
-    ring = segments(radius)
-    keyed = prints.select("fp", "id", "root", F.expr(f"explode(array({', '.join(_key(ring, i) for i in range(len(ring)))})) as k")).select("fp", "id", "root", "k.*")
-    hubs = keyed.groupBy("at", "a", "b").agg(F.expr(f"min_by(struct(fp, id, root), struct(xxhash64(fp, {seed}), fp, id)) as h"))
-    near = F.expr(f"h.root <> root and bit_count(h.fp ^ fp) <= {radius}")
-    return keyed.join(hubs, ["at", "a", "b"]).where(near).select(F.col("h.id").alias("u"), F.col("id").alias("v")).distinct()
-
-
-def links(prints: DataFrame, radius: int = 3, apart: bool = False) -> DataFrame:
-    """Pairs (u, v) of distinct fingerprints (column fp), u < v, that differ in at most ``radius`` bits.
-
-    With ``apart`` the rows are (id, fp, root): pairs of ids whose fingerprints are equal or so near and whose roots differ.
-    """
+def links(prints: DataFrame, radius: int = 3) -> DataFrame:
+    """Pairs (u, v) of distinct fingerprints (column fp), u < v, that differ in at most ``radius`` bits."""
     ring = segments(radius)
     m = len(ring)
 
-    def key(i: int, flip: str = "0L") -> str:
-        return _key(ring, i, flip)
-
     def flips(i: int) -> str:
         width = ring[(i + 1) % m][1]
-        return f"if(bit_count({_part(ring, i + 1)}) % 2 = 1, transform(sequence(0, {width - 1}), j -> {key(i, 'shiftleft(1L, j)')}), array())"
+        return f"if(bit_count({_part(ring, i + 1)}) % 2 = 1, transform(sequence(0, {width - 1}), j -> {_key(ring, i, 'shiftleft(1L, j)')}), array())"
 
-    plain = [f"array({key(i)})" for i in range(m)]
-    more = ["id", "root"] if apart else []
-    left = prints.selectExpr("fp as u", *more, f"explode(concat({', '.join(plain)})) as k")
-    right = prints.selectExpr("fp as v", *more, f"explode(concat({', '.join(plain + [flips(i) for i in range(m)])})) as k")
+    plain = [f"array({_key(ring, i)})" for i in range(m)]
+    left = prints.selectExpr("fp as u", f"explode(concat({', '.join(plain)})) as k").selectExpr("u", "k.at as at", "k.a as a", "k.b as b")
+    right = prints.selectExpr("fp as v", f"explode(concat({', '.join(plain + [flips(i) for i in range(m)])})) as k").selectExpr("v", "k.at as at", "k.a as a", "k.b as b")
     # the chain from segment k.at: budgets floor(l * radius / m), then the whole distance
     turned = " ".join(f"when {i} then {_rotated('(u ^ v)', ring[i][0])}" for i in range(m))
-    lefts, rights = (side.selectExpr(c, *more, "k.at as at", "k.a as a", "k.b as b") for side, c in ((left, "u"), (right, "v")))
-    chain = f"case at {turned} end"
-    tests = []
+    chain = f"case l.at {turned} end"
+    tests = ["l.at = r.at", "l.a = r.a", "l.b = r.b", "u <> v", f"bit_count(u ^ v) <= {radius}"]
     for n in range(2, m):
         # after the rotation the chain's first n segments are the lowest bits; widths differ by one at most, so take the exact width per start
         widths = " ".join(f"when {i} then {sum(ring[(i + j) % m][1] for j in range(n))}" for i in range(m))
-        tests.append(f"bit_count({chain} & (shiftleft(1L, case at {widths} end) - 1)) <= {n * radius // m}")
-    on = "l.at = r.at and l.a = r.a and l.b = r.b and " + ("l.root <> r.root" if apart else "u <> v") + f" and bit_count(u ^ v) <= {radius}"
-    pairs = lefts.alias("l").join(rights.alias("r"), F.expr(on + "".join(f" and {t.replace('case at', 'case l.at')}" for t in tests)))
-    return pairs.selectExpr(*([f"{f}(l.id, r.id) as {c}" for f, c in (("least", "u"), ("greatest", "v"))] if apart else ["least(u, v) as u", "greatest(u, v) as v"])).distinct()
+        tests.append(f"bit_count({chain} & (shiftleft(1L, case l.at {widths} end) - 1)) <= {n * radius // m}")
+    pairs = left.alias("l").join(right.alias("r"), F.expr(" and ".join(tests)))
+    return pairs.selectExpr("least(u, v) as u", "greatest(u, v) as v").distinct()
 
 
 def _rotated(x: str, first: int) -> str:
@@ -139,50 +117,6 @@ def with_components(printed: DataFrame, radius: int = 3) -> DataFrame:
     return printed.join(by_print, "fp")
 
 
-def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (u, v) whose sets (id, hashes) have a Jaccard similarity of ``threshold`` or more."""
-    one, two = (sets.select(F.col("id").alias(k), F.col("hashes").alias(f"_{k}"), F.size("hashes").alias(f"_n{k}")) for k in "uv")
-    sizes = F.least("_nu", "_nv") >= threshold * F.greatest("_nu", "_nv")
-    common = F.size(F.array_intersect("_u", "_v"))
-    near = common >= threshold * (F.col("_nu") + F.col("_nv") - common)
-    return pairs.join(one, "u").join(two, "v").where(sizes).where(near).select("u", "v")
-
-
-def deduplicate(docs: DataFrame, radius: int = 5, width: int = 5, threshold: float = 0.8, column: str = "text", hub_rounds: int = 2) -> DataFrame:
-    """One document of every group of near copies, that of the smallest doc_id; rows keep their columns.
-
-    Fingerprints of the distinct single words propose links (few word edits move them little); a link counts if the texts'
-    sets of ``width``-word shingles have a similarity of ``threshold`` or more. Copies of a text cost nothing.
-
-    A dense ball of near copies has many near fingerprints, but its group needs few links. So a text is compared with the first
-    of its own fingerprint and with the hub of each of its chain keys first, and then with every near one that is not in its
-    group yet. The groups are those of all links; ``hub_rounds`` changes the work only.
-    """
-    rows = docs.withColumns({"_id": F.xxhash64(F.coalesce(F.col(column), F.lit("")), F.length(column)), "_row": F.monotonically_increasing_id()})
-    rows = materialize(with_fingerprint(rows, 1, column, distinct=True))
-    texts = materialize(rows.groupBy(F.col("_id").alias("id")).agg(F.min("fp").alias("fp")))
-    shingles = F.array_distinct(shingle_hashes(width))
-
-    def counting(pairs: DataFrame) -> DataFrame:
-        """The proposed links that count."""
-        proposed = materialize(pairs)
-        ends = proposed.select(F.col("u").alias("_id")).union(proposed.select(F.col("v").alias("_id"))).distinct()
-        some = rows.select("_id", column).join(ends, "_id").groupBy("_id").agg(F.first(column).alias(column))
-        sets = materialize(some.withColumn("_words", words(lower_ascii(F.col(column)))).select(F.col("_id").alias("id"), shingles.alias("hashes")))
-        return materialize(similar(proposed, sets, threshold))
-
-    prints = texts.withColumn("root", F.col("id"))
-    inside = texts.join(texts.groupBy("fp").agg(F.min("id").alias("u")), "fp").where("id <> u").select("u", F.col("id").alias("v"))
-    found = counting(inside.union(hub_links(prints, radius, 0)))
-    for seed in range(1, hub_rounds + 1):
-        prints = materialize(texts.join(components(found).withColumnRenamed("node", "id"), "id", "left").select("id", "fp", F.coalesce("root", "id").alias("root")))
-        found = found.union(counting(hub_links(prints, radius, seed) if seed < hub_rounds else links(prints, radius, apart=True)))
-    roots = components(found).select(F.col("node").alias("_id"), "root")
-    groups = rows.select("doc_id", "_row", "_id").join(roots, "_id", "left").select(F.coalesce("root", "_id").alias("root"), "doc_id", "_row")
-    stay = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("x")).select(F.col("x._row").alias("_row"))
-    return rows.join(stay, "_row", "left_semi").select(*docs.columns)
-
-
 def hex_of(fp: F.Column) -> F.Column:
     """16 lower-case hex digits of the unsigned value."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -4,7 +4,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from boxwright.llm import attribution, bpe, compression, mixing, pii, rules, sharding, simhash, suffix_tree, topk
+from boxwright.llm import attribution, bpe, compression, mixing, near, pii, rules, sharding, simhash, suffix_tree, topk
 from tests.llm import brute
 
 RAW = open(brute.RANK_FILE, "rb").read()
@@ -42,13 +42,20 @@ def test_odd_rows(spark, name):
 
 def test_deduplicate(spark):
     base = [f"w{i * 7919 % 1000}" for i in range(300)]
-    near, far = base[:150] + ["other"] + base[151:], [f"v{i}" for i in range(300)]
-    rows = [(i, " ".join(w), "keep") for i, w in enumerate([near, base, base, far, base])] + [(9, None, "keep"), (10, "", "keep")]
+    edited, far = base[:150] + ["other"] + base[151:], [f"v{i}" for i in range(300)]
+    rows = [(i, " ".join(w), "keep") for i, w in enumerate([edited, base, base, far, base])] + [(9, None, "keep"), (10, "", "keep")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
-    assert sorted(r.doc_id for r in simhash.deduplicate(docs).collect()) == [0, 3, 9]
-    assert simhash.deduplicate(docs.limit(0)).count() == 0
-    for rounds in (1, 3):
-        assert sorted(r.doc_id for r in simhash.deduplicate(docs, hub_rounds=rounds).collect()) == [0, 3, 9]
+    assert sorted(r.doc_id for r in near.deduplicate(docs).collect()) == [0, 3, 9]
+    assert near.deduplicate(docs.limit(0)).count() == 0
+
+
+def test_deduplicate_keeps_columns_of_any_name(spark):
+    rows = [(1, "a b c d e f", 10, 20, "x", 3), (2, "A b c d e f", 11, 21, "y", 4), (None, "other", 12, 22, "z", 5), (None, "other", 13, 23, "w", 6), (None, None, 14, 24, "v", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id long, _row long, id string, `row` long")
+    out = near.deduplicate(docs)
+    assert out.columns == docs.columns
+    got = [tuple(r) for r in out.collect()]
+    assert rows[0] in got and rows[4] in got and (rows[2] in got) != (rows[3] in got) and len(got) == 3
 
 
 def test_top_k_ties_and_holes(spark):
@@ -70,6 +77,27 @@ def test_contexts_discover(spark):
     assert pii.find(text).select(pii.redacted()).first()[0] == "call [phone] now [email]"
 
 
+def test_pattern_survives_other_seeds(spark):
+    """A pattern needs seeds of its own, not a share of all; numbers in groups and spelt addresses are found by two- and three-word contexts."""
+    rows = [(i, f"please call back under +1 (212) 555-{1000 + i} or so w{i % 7}") for i in range(12)]
+    rows += [(50 + i, f"my mail is u{i}@host{i}.org thanks") for i in range(12)]
+    rows += [(1000 + i, f"w{i % 97} x{i}@y{i % 13}.com w{i % 89}") for i in range(9000)]
+    rows += [(20_000, "call back under (212) 555-9999 or so"), (20_001, "call back under 555 123 4567"), (20_002, "so my mail is joe [at] host dot org thanks")]
+    rows += [(20_003, "back in 1999 2001 2003 all was well"), (20_004, "well 1234567 tons"), (20_005, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("_m", "_g", "_token", "_row", "k", "base", "spans")})
+    out = {r.doc_id: r.s for r in pii.find(docs, keep=("doc_id", "_m", "_g", "_row")).where("doc_id >= 20000").select("doc_id", pii.digest("spans").alias("s")).collect()}
+    assert out == {20_000: "phone:16:30", 20_001: "phone:16:28", 20_002: "email:14:35", 20_003: "", 20_004: "", 20_005: ""}
+
+
+def test_contexts_are_whole_words(spark):
+    """A long word beside a number is no pattern, and none is cut from it; reaches end between words."""
+    long = "q" * 70
+    rows = [(0, f"{long} +15551112222 end"), (1, "one two three four +15551112222"), (2, "+15551112222")]
+    seen = pii.with_contexts(pii.base_spans(spark.createDataFrame(rows, "doc_id long, text string")))
+    got = {r.doc_id: list(r.p) for r in seen.select("doc_id", F.expr("_seen[0].patterns").alias("p")).collect()}
+    assert got == {0: [">end"], 1: ["<four", "<three four", "<two three four"], 2: []}
+
+
 def test_rules_learn_and_read(spark):
     import numpy as np
 
@@ -149,7 +177,7 @@ def test_components_chain(spark):
 
 
 def test_dense_ball_has_the_groups_of_all_links(spark):
-    """Groups of near copies with their own edits, against all pairs of texts whose fingerprints are near and whose shingles are similar."""
+    """Groups of near copies with their own edits, against all pairs of texts whose shingles are similar."""
     import random
 
     rng, texts = random.Random(5), []
@@ -161,7 +189,6 @@ def test_dense_ball_has_the_groups_of_all_links(spark):
                 w[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
             texts.append(" ".join(w))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    prints = {r.doc_id: r.fp for r in simhash.with_fingerprint(docs, 1, distinct=True).collect()}
     sets = [{tuple(t.split()[i : i + 5]) for i in range(116)} for t in texts]
     root = list(range(len(texts)))
 
@@ -170,11 +197,9 @@ def test_dense_ball_has_the_groups_of_all_links(spark):
 
     for i in range(len(texts)):
         for j in range(i):
-            close = ((prints[i] ^ prints[j]) & (1 << 64) - 1).bit_count() <= 5
-            if close and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     want = sorted({find(i) for i in range(len(texts))})
     assert 4 <= len(want) < 60
-    for rounds in (1, 2):
-        assert sorted(r.doc_id for r in simhash.deduplicate(docs, hub_rounds=rounds).collect()) == want
+    assert sorted(r.doc_id for r in near.deduplicate(docs).collect()) == want

@@ -49,11 +49,19 @@ def mosaic_plan(patches: DataFrame, size: int) -> DataFrame:
 
 
 def mosaic_grid_plan(patches: DataFrame, n: int, size: int) -> DataFrame:
-    """Row and grid variants: slot 0 in the centre, three in a row or nine in a ring, shifted by whole patches."""
-    ring = {3: [(0, 0), (1, 0), (-1, 0)], 9: [(0, 0), (0, -1), (1, -1), (1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1)]}[n]
-    dx = f"array({', '.join(str(x) for x, _ in ring)})[slot]"
-    dy = f"array({', '.join(str(y) for _, y in ring)})[slot]"
-    return patches.selectExpr("*", f"{size} + {dx} * w as padw", f"{size} + {dy} * h as padh")
+    """Shift of each patch (mosaic_id, slot, w, h) of a row of three or a ring of nine around slot 0; mosaics that are not full go.
+
+    A patch stands beside the centre or beside the patch before it, so sizes may differ. The result shows 2 * size pixels a side, from half a size in.
+    """
+    own = "partition by mosaic_id order by slot"
+    known = patches.selectExpr(
+        "*", f"first(w) over ({own}) as _w0", f"first(h) over ({own}) as _h0", f"lag(w) over ({own}) as _wp", f"lag(h) over ({own}) as _hp", "count(*) over (partition by mosaic_id) as _n"
+    ).where(f"_n = {n}")
+    # clockwise from the centre: above, and on round to the upper left
+    ring = [("0", "0"), ("0", "-h"), ("_wp", "-h"), ("_w0", "0"), ("_w0", "_hp"), ("_w0 - w", "_h0"), ("_w0 - _wp - w", "_h0"), ("-w", "_h0 - h"), ("-w", "_h0 - _hp - h")]
+    places = ring if n == 9 else [ring[0], ring[3], ring[7]]
+    dx, dy = (f"case slot {' '.join(f'when {i} then {place[k]}' for i, place in enumerate(places))} end" for k in (0, 1))
+    return known.selectExpr(*patches.columns, f"{size} - {size // 2} + {dx} as padw", f"{size} - {size // 2} + {dy} as padh")
 
 
 def mosaic_labels(objects: DataFrame, plan: DataFrame, full: int) -> DataFrame:
@@ -100,6 +108,11 @@ def text_prompts(objects: DataFrame, num_classes: int, negatives: int, max_sampl
     )
 
 
+def padded_prompts(prompts: DataFrame, size: int) -> DataFrame:
+    """Adds ``prompts``, the class list filled up with -1 (the empty prompt) to ``size``."""
+    return prompts.selectExpr("*", f"concat(classes, array_repeat(-1, greatest({size} - size(classes), 0))) as prompts")
+
+
 def reindex_classes(objects: DataFrame, prompts: DataFrame) -> DataFrame:
     """Objects of sampled classes, with the class replaced by its place in the image's list."""
     joined = objects.join(prompts.select("image_id", "classes"), "image_id").selectExpr(*objects.columns, "cast(array_position(classes, cls) - 1 as int) as new_cls")

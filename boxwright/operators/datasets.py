@@ -97,15 +97,21 @@ def grid_histogram(df: DataFrame, x: str, y: str, bins: int = 50) -> DataFrame:
     return df.crossJoin(span).groupBy(F.expr(f"{cell(x, 'x')} as bx"), F.expr(f"{cell(y, 'y')} as by")).agg(F.expr("count(*) as n"))
 
 
-def keypoint_shape(rows: DataFrame, column: str = "values") -> DataFrame:
-    """Infer [points, dims] from all flat keypoint lists; null when they disagree or do not fit."""
-    return rows.agg(
-        F.expr(f"if(count(distinct size({column})) = 1, max(size({column})), null) as len"),
-        F.expr(f"bool_and(forall(transform({column}, (v, i) -> if(i % 3 = 2, v, 0D)), v -> v in (0, 1, 2))) as flags"),
+def keypoint_shape(rows: DataFrame, column: str = "values", offset: int = 0, strict: bool = False) -> DataFrame:
+    """Infer [points, dims] from all flat keypoint lists; null when they disagree or do not fit, an error if ``strict``.
+
+    ``offset`` numbers stand before the keypoints (5 in a label line: class and box).
+    """
+    lists = rows.selectExpr(f"slice({column}, {offset + 1}, greatest(size({column}) - {offset}, 0)) as _k")
+    found = lists.agg(
+        F.expr("if(count(distinct size(_k)) = 1, max(size(_k)), null) as len"),
+        F.expr("bool_and(forall(transform(_k, (v, i) -> if(i % 3 = 2, v, 0D)), v -> v in (0, 1, 2))) as flags"),
     ).selectExpr(
-        "case when len % 3 = 0 and flags then cast(len / 3 as int) when len % 3 <> 0 and len % 2 = 0 then cast(len / 2 as int) end as points",
-        "case when len % 3 = 0 and flags then 3 when len % 3 <> 0 and len % 2 = 0 then 2 end as dims",
+        "case when len > 0 and len % 3 = 0 and flags then cast(len / 3 as int) when len % 3 <> 0 and len % 2 = 0 then cast(len / 2 as int) end as points",
+        "case when len > 0 and len % 3 = 0 and flags then 3 when len % 3 <> 0 and len % 2 = 0 then 2 end as dims",
     )
+    error = "raise_error('keypoint lists do not share one shape of two or three numbers a point')"
+    return found.selectExpr(*[f"coalesce({c}, {error}) as {c}" for c in ("points", "dims")]) if strict else found
 
 
 def population_stability(train: DataFrame, live: DataFrame, bucket: str) -> DataFrame:
@@ -153,7 +159,7 @@ def ks_statistic(train: DataFrame, live: DataFrame, value: str, blocks: int = 40
     counts = both.where("v is not null and not isnan(v)").groupBy("v").agg(F.expr("sum(a) as a"), F.expr("sum(b) as b"))
     ends = counts.agg(F.expr("min(v) as lo"), F.expr("max(v) as hi"), F.expr("sum(a) as n_a"), F.expr("sum(b) as n_b"))
     # one row, so the cross join adds four columns
-    ordered = counts.crossJoin(F.broadcast(ends)).selectExpr("*", "1 as one", f"cast(coalesce(floor((v - lo) / (hi - lo) * {blocks}), 0) as bigint) as block")
+    ordered = counts.crossJoin(F.broadcast(ends)).selectExpr("*", "1 as one", f"cast(coalesce(floor(try_divide(v - lo, hi - lo) * {blocks}), 0) as bigint) as block")
     run = blocked_scan(ordered, ["one"], ["v"], "block", sums={"up_a": "a", "up_b": "b"})
     return run.agg(F.expr("max(abs(up_a / n_a - up_b / n_b)) as ks"), F.expr("max(n_a) as n_train"), F.expr("max(n_b) as n_live"))
 

@@ -61,6 +61,31 @@ def blocked_scan(
     return inner.join(carried, [*part, "_block"], "left").selectExpr(*df.columns, *final)
 
 
+def running_changes(df: DataFrame, part: Sequence[str], order: Sequence[str], block: str, item: str, test: str, changes: str, last: str) -> DataFrame:
+    """Adds ``last``, the latest non-null ``item`` so far, and ``changes``, how many items so far passed ``test``.
+
+    ``test`` is SQL over ``_v`` (the item) and ``_p`` (the non-null item before it, null for the first). One pass: rows are shuffled once, to
+    (key, block), where all but a block's first test are decided; that one is decided when the totals of the blocks before are joined back.
+    """
+    keys = ", ".join(part)
+    inside = f"partition by {keys}, _block order by {', '.join(order)}"
+    upto, earlier = f"{inside} rows between unbounded preceding and current row", f"{inside} rows between unbounded preceding and 1 preceding"
+    base = df.selectExpr("*", f"{block} as _block", f"{item} as _v")
+    seen = base.selectExpr("*", f"last(_v) ignore nulls over ({upto}) as _last", f"last(_v) ignore nulls over ({earlier}) as _p", f"first(_v) ignore nulls over ({upto}) as _first")
+    hit = seen.selectExpr("*", f"if(_v is not null and _p is not null and ({test}), 1L, 0L) as _hit")
+    inner = hit.selectExpr("*", f"sum(_hit) over ({upto}) as _n")
+    key = f"struct({', '.join(order)})"
+    totals = hit.groupBy(*part, "_block").agg(
+        F.expr(f"min_by(_v, case when _v is not null then {key} end) as _f"), F.expr(f"max_by(_v, case when _v is not null then {key} end) as _l"), F.expr("sum(_hit) as _h")
+    )
+    before = f"partition by {keys} order by _block rows between unbounded preceding and 1 preceding"
+    carried = totals.selectExpr(*part, "_block", "_f as _v", "_h", f"last(_l) ignore nulls over ({before}) as _p")
+    carried = carried.selectExpr(*part, "_block", "_h", "_p as _c", f"if(_v is not null and ({test}), 1L, 0L) as _edge")
+    carried = carried.selectExpr(*part, "_block", "_c", "_edge", f"coalesce(sum(_h + _edge) over ({before}), 0L) as _sum")
+    joined = inner.drop("_v", "_p", "_hit").join(carried, [*part, "_block"], "left")
+    return joined.selectExpr(*df.columns, f"coalesce(_last, _c) as {last}", f"_sum + _n + if(_first is not null, _edge, 0L) as {changes}")
+
+
 def salted_top_k(df: DataFrame, part: Sequence[str], order: str, k: int, salt: str, rank: str = "rank") -> DataFrame:
     """Exact first ``k`` rows of each group: first inside (group, salt), then across salts."""
     keys = ", ".join(part)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxwright.functions import geometry as G
-from boxwright.operators.scans import blocked_scan, rolling_history, salted_top_k
+from boxwright.operators.scans import blocked_scan, rolling_history, running_changes, salted_top_k
 
 KEYS = ("stream_id", "track_id")
 FRAME_BLOCK = "frame_no div 1000000"
@@ -60,11 +60,8 @@ def joint_angle(a: tuple[str, str], b: tuple[str, str], c: tuple[str, str]) -> s
 
 def repetitions(obs: DataFrame, angle: str = "angle", up: float = 145, down: float = 90) -> DataFrame:
     """Stage (carried over undecided frames) and running count of up-to-down changes."""
-    staged = blocked_scan(
-        obs, KEYS, ["frame_no"], FRAME_BLOCK, lasts={"stage": f"case when {angle} < {down} then 'down' when {angle} > {up} then 'up' end"}
-    )
-    before = blocked_scan(staged, KEYS, ["frame_no"], FRAME_BLOCK, lags={"prev_stage": "stage"})
-    return blocked_scan(before, KEYS, ["frame_no"], FRAME_BLOCK, sums={"reps": "if(stage = 'down' and prev_stage = 'up', 1L, 0L)"}).drop("prev_stage")
+    stage = f"case when {angle} < {down} then 'down' when {angle} > {up} then 'up' end"
+    return running_changes(obs, KEYS, ["frame_no"], FRAME_BLOCK, stage, "_p = 'up' and _v = 'down'", "reps", "stage")
 
 
 def history(obs: DataFrame, n: int = 30) -> DataFrame:
@@ -142,6 +139,15 @@ def pair_distance(obs: DataFrame, first: str, second: str) -> DataFrame:
 
 def sessions(obs: DataFrame, gap: int) -> DataFrame:
     """A track's visits: a new one starts after more than ``gap`` frames without it."""
-    marked = blocked_scan(obs, KEYS, ["frame_no"], FRAME_BLOCK, lags={"before": "frame_no"})
-    numbered = blocked_scan(marked, KEYS, ["frame_no"], FRAME_BLOCK, sums={"visit": f"if(before is null or frame_no - before > {gap}, 1L, 0L)"})
+    numbered = running_changes(obs, KEYS, ["frame_no"], FRAME_BLOCK, "frame_no", f"_p is null or _v - _p > {gap}", "visit", "_last_frame")
     return numbered.groupBy(*KEYS, "visit").agg(F.expr("min(frame_no) as first_frame"), F.expr("max(frame_no) as last_frame"), F.expr("count(*) as n"))
+
+
+def in_region_table(obs: DataFrame, regions: DataFrame) -> DataFrame:
+    """One row per (observation, region that holds its centre), regions being rows: stream_id, region, points, edge (whether the border counts).
+
+    Streams join their own regions; the hull of a region is tested before its outline.
+    """
+    hulls = regions.selectExpr("stream_id as _s", "region", "points", "edge", *[f"array_{f}(points.{a}) as _{a}{i}" for a in "xy" for i, f in ((1, "min"), (2, "max"))])
+    test = f"stream_id = _s and cx between _x1 and _x2 and cy between _y1 and _y2 and {G.in_polygon_column('cx', 'cy', 'points', 'edge')}"
+    return obs.join(hulls, F.expr(test)).select(*obs.columns, "region")

@@ -72,6 +72,36 @@ def perspective_keypoints(spark: SparkSession, d: str) -> DataFrame:
     return out.selectExpr("image_id", "gt_id", "posexplode(kpts) as (k, p)").selectExpr("image_id", "gt_id", "k", "round(p.x, 6) as x", "round(p.y, 6) as y", "p.v as v")
 
 
+_GRID9 = """
+p AS (SELECT image_id, image_id // 9 AS mosaic_id, image_id % 9 AS slot, 400 + image_id * 37 % 240 AS w, 300 + image_id * 91 % 340 AS h FROM v_image),
+q AS (SELECT *, first_value(w) OVER m AS w0, first_value(h) OVER m AS h0, lag(w) OVER m AS wp, lag(h) OVER m AS hp, count(*) OVER (PARTITION BY mosaic_id) AS n FROM p WINDOW m AS (PARTITION BY mosaic_id ORDER BY slot)),
+s AS (SELECT *, 640 + CASE slot WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 2 THEN wp WHEN 3 THEN w0 WHEN 4 THEN w0 WHEN 5 THEN w0 - w WHEN 6 THEN w0 - wp - w ELSE -w END - 320 AS padw,
+  640 + CASE slot WHEN 0 THEN 0 WHEN 1 THEN -h WHEN 2 THEN -h WHEN 3 THEN 0 WHEN 4 THEN hp WHEN 5 THEN h0 WHEN 6 THEN h0 WHEN 7 THEN h0 - h ELSE h0 - hp - h END - 320 AS padh FROM q WHERE n = 9)"""
+
+
+@query("aug_03_mosaic_grid", f"""WITH {_GRID9},
+m AS (SELECT mosaic_id, gt_id, least(greatest(x1 + padw, 0), 1280) AS x1, least(greatest(y1 + padh, 0), 1280) AS y1, least(greatest(x2 + padw, 0), 1280) AS x2, least(greatest(y2 + padh, 0), 1280) AS y2 FROM v_gt JOIN s USING (image_id))
+SELECT * FROM m WHERE x2 > x1 AND y2 > y1""")
+def mosaic_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Nine images of different sizes per mosaic."""
+    patches = v_image(spark, d).selectExpr(
+        "image_id", "image_id div 9 as mosaic_id", "cast(image_id % 9 as int) as slot", "400 + image_id * 37 % 240 as w", "300 + image_id * 91 % 340 as h"
+    )
+    return A.mosaic_labels(v_gt(spark, d), A.mosaic_grid_plan(patches, 9, 640), 1280).select("mosaic_id", "gt_id", *BOX)
+
+
+@query("aug_06_prompt_classes", """
+WITH c AS (SELECT DISTINCT image_id, cls FROM v_gt),
+s AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY (image_id * 17 + cls * 6007) % 1013, cls) AS k FROM c),
+n AS (SELECT image_id, cls, row_number() OVER (PARTITION BY image_id ORDER BY cls) - 1 AS new_cls FROM s WHERE k <= 4)
+SELECT g.image_id, g.gt_id, CAST(n.new_cls AS INT) AS new_cls, CAST(6 AS INT) AS n_prompts FROM v_gt g JOIN n ON n.image_id = g.image_id AND n.cls = g.cls""")
+def prompt_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Objects whose class was sampled, with its place in the padded prompt list."""
+    prompts = A.padded_prompts(A.text_prompts(v_gt(spark, d), 20, 2, 4), 6)
+    out = A.reindex_classes(v_gt(spark, d), prompts).join(prompts.selectExpr("image_id", "size(prompts) as n_prompts"), "image_id")
+    return out.select("image_id", "gt_id", "new_cls", "n_prompts")
+
+
 @query("aug_04_mix_up", "SELECT image_id, gt_id, cls, 0 AS part FROM v_gt UNION ALL SELECT i.image_id, gt_id, cls, 1 FROM v_gt g JOIN v_image i ON g.image_id = (i.image_id * 7 + 3) % 150")
 def mix_up(spark: SparkSession, d: str) -> DataFrame:
     """Labels of two images together."""
@@ -238,6 +268,16 @@ def tile_function(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql("SELECT image_id, start AS tx1 FROM tile_images, LATERAL tile_starts(width, 512, 100)")
 
 
+@query("udf_05_mosaic_function", """
+WITH d AS (SELECT image_id, 320 + image_id * 37 % 640 AS xc, 320 + image_id * 91 % 640 AS yc FROM v_image)
+SELECT image_id, CAST(s AS INT) AS slot, CAST(CASE WHEN s IN (0, 2) THEN greatest(xc - 640, 0) ELSE xc END AS INT) AS x1, CAST(CASE WHEN s IN (0, 1) THEN yc ELSE least(yc + 480, 1280) END AS INT) AS y2 FROM d, (SELECT unnest(range(4)) AS s)""")
+def mosaic_function(spark: SparkSession, d: str) -> DataFrame:
+    """Paste places of a mosaic as a table function."""
+    plugins.register_table_functions(spark)
+    v_image(spark, d).selectExpr("image_id", "cast(320 + image_id * 37 % 640 as int) as xc", "cast(320 + image_id * 91 % 640 as int) as yc").createOrReplaceTempView("mosaic_images")
+    return spark.sql("SELECT image_id, slot, x1, y2 FROM mosaic_images, LATERAL mosaic_places(xc, yc, 640, 480, 640)")
+
+
 @query("aug_11_auto_annotate", "SELECT image_id, CAST((image_id * 7 + k * 3) % 10 AS INT) AS cls, CAST(4 AS INT) AS n_points FROM v_image, (SELECT unnest([0, 1, 2]) AS k)")
 def auto_annotate(spark: SparkSession, d: str) -> DataFrame:
     """Detections from one plug-in feed a second that returns outlines; empty outlines are skipped."""

@@ -179,6 +179,13 @@ def keypoint_shape(spark: SparkSession, d: str) -> DataFrame:
     return D.keypoint_shape(rows)
 
 
+@query("agg_21_pose_shape", "SELECT CAST(17 AS INT) AS points, CAST(2 AS INT) AS dims FROM v_gt LIMIT 1")
+def pose_shape(spark: SparkSession, d: str) -> DataFrame:
+    """Shape of the keypoints in whole label lines, behind class and box."""
+    line = "concat(array(double(cls), x1, y1, x2, y2), transform(sequence(0, 33), i -> x1 + i / 7D)) as values"
+    return D.keypoint_shape(v_gt(spark, d).selectExpr(line), offset=5, strict=True)
+
+
 @query("agg_22_benchmark_rollup", f"""
 WITH m AS (SELECT DISTINCT image_id, CASE WHEN image_id % 3 = 0 THEN 'aerial' WHEN image_id % 3 = 1 THEN 'street' ELSE 'indoor' END AS dataset FROM v_gt)
 SELECT coalesce(dataset, 'all') AS dataset, coalesce(CAST(cls AS VARCHAR), 'all') AS class, count(DISTINCT image_id) AS images, count(*) AS targets FROM v_gt JOIN m USING (image_id)

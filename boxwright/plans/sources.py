@@ -226,15 +226,16 @@ def corner_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("src_13_caption_spans", """
-WITH a AS (SELECT doc_id AS image_id, k AS ann_id, lower(trim(substr(text, CAST(1 + (k * 7) % 20 AS BIGINT), 4) || ' ' || substr(text, CAST(11 + k AS BIGINT), 3))) AS name FROM documents, (SELECT unnest(range(6)) AS k)),
+WITH a AS (SELECT doc_id AS image_id, k AS ann_id, lower(trim(substr(text, CAST(1 + (k * 7919 + doc_id * 31) % greatest(length(text), 1) AS BIGINT), 4) || ' ' || substr(text, CAST(1 + (k * 104729 + doc_id * 17) % greatest(length(text), 1) AS BIGINT), 3))) AS name FROM documents, (SELECT unnest(range(6)) AS k)),
 f AS (SELECT image_id, name, min(ann_id) AS f FROM a WHERE name <> '' GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY f) - 1 AS cls FROM f)
 SELECT a.image_id, a.ann_id, name, CAST(cls AS INT) AS cls FROM a JOIN r USING (image_id, name)""")
 def caption_spans(spark: SparkSession, d: str) -> DataFrame:
-    """Two spans of the caption per annotation; the number of a category is its first-appearance rank."""
+    """Two spans anywhere in the caption per annotation; the number of a category is its first-appearance rank."""
     docs = table(spark, d, "documents")
-    anns = docs.selectExpr("doc_id as image_id", "explode(sequence(0L, 5L)) as ann_id").selectExpr(
-        "image_id", "ann_id", "array(array(int((ann_id * 7) % 20), int((ann_id * 7) % 20 + 4)), array(int(10 + ann_id), int(13 + ann_id))) as spans"
+    one, two = (f"((ann_id * {a} + image_id * {b}) % greatest(size, 1))" for a, b in ((7919, 31), (104729, 17)))
+    anns = docs.selectExpr("doc_id as image_id", "length(text) as size", "explode(sequence(0L, 5L)) as ann_id").selectExpr(
+        "image_id", "ann_id", f"array(array(int({one}), int({one} + 4)), array(int({two}), int({two} + 3))) as spans"
     )
     out = formats.caption_spans(docs.selectExpr("doc_id as image_id", "text as caption"), anns)
     return out.select("image_id", "ann_id", "name", "cls")

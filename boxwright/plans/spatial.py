@@ -104,6 +104,21 @@ def tile_plan(spark: SparkSession, d: str) -> DataFrame:
     return T.tile_plan(dims(spark, d), [512], [100]).selectExpr("image_id", "tx1", "ty1", "round(rate, 6) as rate")
 
 
+@query("top_06_tile_plan_scales", """
+WITH dims AS (SELECT image_id, 600 + image_id * 37 % 900 AS width, 500 + image_id * 91 % 800 AS height FROM v_image),
+p(size, gap) AS (VALUES (512, 100), (256, 50), (1024, 200), (512, 100)),
+xs AS (SELECT image_id, n, size, CASE WHEN i > 0 AND i * (size - gap) + size > width THEN width - size ELSE i * (size - gap) END AS tx1 FROM dims, (SELECT *, row_number() OVER () AS n FROM p), (SELECT unnest(range(10)) AS i)
+  WHERE i < CASE WHEN width <= size THEN 1 ELSE ceil((width - size) / (size - gap) + 1) END),
+ys AS (SELECT image_id, n, CASE WHEN i > 0 AND i * (size - gap) + size > height THEN height - size ELSE i * (size - gap) END AS ty1 FROM dims, (SELECT *, row_number() OVER () AS n FROM p), (SELECT unnest(range(10)) AS i)
+  WHERE i < CASE WHEN height <= size THEN 1 ELSE ceil((height - size) / (size - gap) + 1) END),
+t AS (SELECT image_id, tx1, ty1, tx1 + size AS tx2, (least(tx1 + size, width) - tx1) * (least(ty1 + size, height) - ty1) / (size * size * 1.0E0) AS rate FROM dims JOIN xs USING (image_id) JOIN ys USING (image_id, n)),
+m AS (SELECT *, max(rate) OVER (PARTITION BY image_id) AS m FROM t)
+SELECT image_id, CAST(tx1 AS BIGINT) AS tx1, CAST(ty1 AS BIGINT) AS ty1, CAST(tx2 AS BIGINT) AS tx2, round(rate, 6) AS rate FROM m WHERE rate > 0.6E0 OR (m <= 0.6E0 AND abs(rate - m) < 0.01E0)""")
+def tile_plan_scales(spark: SparkSession, d: str) -> DataFrame:
+    """Tiles of two crop sizes at two rates."""
+    return T.tile_plan(dims(spark, d), [512, 256], [100, 50], [1.0, 0.5]).selectExpr("image_id", "tx1", "ty1", "tx2", "round(rate, 6) as rate")
+
+
 @query("jon_11_tile_objects", f"""WITH {_TILES}
 SELECT g.image_id, gt_id, CAST(tx1 AS BIGINT) AS tx1, CAST(ty1 AS BIGINT) AS ty1, round({S.inter("g.", "t.t")} / {S.box_area("g.")}, 6) AS share
 FROM v_gt g JOIN plan t ON g.image_id = t.image_id WHERE {S.inter("g.", "t.t")} / {S.box_area("g.")} >= 0.7E0""")
@@ -245,6 +260,19 @@ def prompt_selection(spark: SparkSession, d: str) -> DataFrame:
     return both.groupBy("image_id", "det_id").agg(F.expr("bool_or(by_box) as by_box"), F.expr("bool_or(by_point) as by_point"))
 
 
+@query("jon_13_ordered_points", """
+WITH p AS (SELECT image_id, 100.0 + image_id % 300 AS ax, 80.0 + image_id % 200 AS ay, 160.0 + image_id % 300 AS qx, 120.0 + image_id % 200 AS qy, CASE WHEN image_id % 3 = 0 THEN 0 ELSE 1 END AS la FROM v_image),
+h AS (SELECT d.image_id, d.det_id, la, ax >= x1 AND ax < x2 AND ay >= y1 AND ay < y2 AS ha, qx >= x1 AND qx < x2 AND qy >= y1 AND qy < y2 AS hb FROM v_det d JOIN p USING (image_id))
+SELECT image_id, det_id FROM h WHERE CASE WHEN hb THEN false WHEN ha THEN la = 1 ELSE la = 0 END""")
+def ordered_points(spark: SparkSession, d: str) -> DataFrame:
+    """A point and a negative point behind it; where both are negative, all objects start selected."""
+    from boxwright.operators.prompts import point_prompts
+
+    first = "struct(100D + image_id % 300 as x, 80D + image_id % 200 as y, if(image_id % 3 = 0, 0, 1) as label)"
+    second = "struct(160D + image_id % 300 as x, 120D + image_id % 200 as y, 0 as label)"
+    return point_prompts(v_det(spark, d), v_image(spark, d).selectExpr("image_id", f"array({first}, {second}) as points"))
+
+
 # Search
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxwright.operators import tracks as T
-from boxwright.plans.bridge import v_track
+from boxwright.plans.bridge import table, v_track
 from boxwright.plans.registry import query
 
 # Regions used by the queries: a polygon, a horizontal and a vertical line.
@@ -44,6 +44,19 @@ def region_join(spark: SparkSession, d: str) -> DataFrame:
     return T.in_regions(framed(spark, d), SQUARES).select("frame_no", "region")
 
 
+@query("jon_09_region_table", """
+WITH r AS (SELECT n_nationkey AS k, n_nationkey % 4 AS stream_id, n_name AS region, 20 * n_nationkey AS x0, 10 * n_nationkey AS y0, n_nationkey % 2 = 0 AS edge FROM nation)
+SELECT frame_no, region FROM v_track v JOIN r ON r.stream_id = v.stream_id
+WHERE CASE WHEN edge THEN cx BETWEEN x0 AND x0 + 150 AND cy BETWEEN y0 AND y0 + 200 ELSE cx > x0 AND cx < x0 + 150 AND cy > y0 AND cy < y0 + 200 END""")
+def region_table(spark: SparkSession, d: str) -> DataFrame:
+    """Regions as rows of a table, some with their border, some without it."""
+    corner = "struct({} as x, {} as y)"
+    x, y = "20D * n_nationkey", "10D * n_nationkey"
+    points = ", ".join(corner.format(f"{x} + {a}", f"{y} + {b}") for a, b in ((0, 0), (150, 0), (150, 200), (0, 200)))
+    regions = table(spark, d, "nation").selectExpr("n_nationkey % 4 as stream_id", "n_name as region", f"array({points}) as points", "n_nationkey % 2 = 0 as edge")
+    return T.in_region_table(v_track(spark, d), regions).select("frame_no", "region")
+
+
 @query("jon_17_previous_position", f"WITH {_P} SELECT track_id, frame_no, px, py, obs_no FROM p")
 def previous_position(spark: SparkSession, d: str) -> DataFrame:
     return T.with_previous(v_track(spark, d)).select("track_id", "frame_no", "px", "py", "obs_no")

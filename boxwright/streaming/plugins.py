@@ -8,7 +8,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 
 DETECTIONS = "image_id bigint, slot int, cls int, conf double, x1 double, y1 double, x2 double, y2 double, ms double"
 Batch = Callable[[pd.DataFrame], pd.DataFrame]
@@ -73,21 +72,14 @@ def with_hooks(write: Callable[[DataFrame, int], None], hooks: dict[str, list[Ca
 
 
 def register_table_functions(spark: SparkSession) -> None:
-    """Table functions for SQL users."""
-
-    class TileStarts:
-        def eval(self, length: int, size: int, gap: int):
-            at, step = 0, size - gap
-            while True:
-                if at and at + size > length:
-                    yield (length - size,)
-                    return
-                yield (at,)
-                if at + size >= length:
-                    return
-                at += step
-
-    spark.udtf.register("tile_starts", udtf(TileStarts, returnType="start bigint"))
+    """Table functions for SQL users, as SQL over their arguments: tile starts along a side, places of a mosaic's four patches."""
+    last = "if(length <= size, 1, cast(ceil((length - size) / (size - gap) + 1) as int)) - 1"
+    start = "if(i > 0 and i * (size - gap) + size > length, length - size, i * (size - gap))"
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION tile_starts(length INT, size INT, gap INT) RETURNS TABLE (start BIGINT)
+        RETURN SELECT cast({start} as bigint) FROM (SELECT explode(sequence(0, {last})) AS i, length, size, gap)""")
+    spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION mosaic_places(xc INT, yc INT, w INT, h INT, size INT) RETURNS TABLE (slot INT, x1 INT, y1 INT, x2 INT, y2 INT)
+        RETURN SELECT slot, if(slot in (0, 2), greatest(xc - w, 0), xc), if(slot in (0, 1), greatest(yc - h, 0), yc),
+          if(slot in (0, 2), xc, least(xc + w, 2 * size)), if(slot in (0, 1), yc, least(yc + h, 2 * size)) FROM (SELECT explode(sequence(0, 3)) AS slot)""")
 
 
 def stub_scorer(batch: pd.DataFrame) -> pd.DataFrame:

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from boxwright.functions import geometry as G
 from boxwright.functions.text import fixed_round, general
-from boxwright.operators import boxes, datasets, evaluation, masks, matching, nms, overlap, scans, search, tiles, tracks
+from boxwright.operators import augment, boxes, datasets, evaluation, masks, matching, nms, overlap, scans, search, tiles, tracks
 from boxwright.operators.assignment import best_pairs, solve, solve_pairs
 from boxwright.operators.augment import stitch
+from boxwright.sinks import exports
 from boxwright.sources import formats, labels_text, media
 
 DET = "image_id bigint, det_id bigint, cls int, conf double, x1 double, y1 double, x2 double, y2 double"
@@ -331,6 +332,85 @@ def test_stitch_keeps_every_vertex():
     assert {tuple(p) for r in rings for p in r} == {tuple(p) for p in outline}
 
 
+def test_stitch_walks_out_and_back():
+    """A middle ring is walked from its lower to its higher link and finished on the way back; one linked backwards is turned first."""
+    a, b, c = (np.array([[0, 0], [1, 0], [1, 1], [0, 1.0]]) + [x, 0] for x in (0, 3, 6))
+    out = stitch([a, b, c]).tolist()
+    assert out == [[1, 0], [1, 1], [0, 1], [0, 0], [1, 0], [3, 0], [4, 0], [6, 0], [7, 0], [7, 1], [6, 1], [6, 0], [4, 0], [4, 1], [3, 1], [3, 0]]
+    back = stitch([c, b, a]).tolist()
+    assert back[:5] == [[6, 0], [7, 0], [7, 1], [6, 1], [6, 0]] and back[5:7] == [[3, 1], [4, 1]] and back[-4:] == [[4, 1], [4, 0], [3, 0], [3, 1]]
+    assert stitch([a]).tolist() == a.tolist()
+
+
+def test_ks_statistic(spark):
+    rng = np.random.default_rng(1)
+    a, b = rng.normal(size=300).round(1), rng.normal(0.3, 1.2, 200).round(1)
+    one, two = (spark.createDataFrame([(float(x),) for x in v] + [(None,), (float("nan"),)], "value double") for v in (a, b))
+    grid = np.unique(np.concatenate([a, b]))
+    want = max(abs((a <= x).mean() - (b <= x).mean()) for x in grid)
+    for blocks in (1, 7, 4096):
+        row = datasets.ks_statistic(one, two, "value", blocks).first()
+        assert row.ks == pytest.approx(want) and (row.n_train, row.n_live) == (300, 200)
+    same = spark.createDataFrame([(1.0,)] * 3, "value double")
+    assert datasets.ks_statistic(same, same, "value").first().ks == 0
+
+
+def test_running_changes_over_blocks(spark):
+    rng = random.Random(3)
+    rows = [(k, i, rng.choice([None, "up", "down", "down"])) for k in range(3) for i in range(60)]
+    df = spark.createDataFrame(rows, "key int, at int, item string")
+    want = {}
+    for k in range(3):
+        last, n = None, 0
+        for _, i, v in sorted(r for r in rows if r[0] == k):
+            if v is not None:
+                n += last == "up" and v == "down"
+                last = v
+            want[k, i] = (last, n)
+    for size in (1, 4, 1000):
+        out = scans.running_changes(df, ["key"], ["at"], f"at div {size}", "item", "_p = 'up' and _v = 'down'", "n", "last")
+        assert {(r.key, r["at"]): (r["last"], r.n) for r in out.collect()} == want
+    visits = scans.running_changes(df, ["key"], ["at"], "at div 7", "at", "_p is null or _v - _p > 1", "n", "last")
+    assert {r.n for r in visits.collect()} == {1}
+
+
+def test_keypoint_shape_rules(spark):
+    def shape(rows, **options):
+        return tuple(datasets.keypoint_shape(spark.createDataFrame([([float(x) for x in r],) for r in rows], "values array<double>"), **options).first())
+
+    assert shape([[1.0, 2, 1] * 4]) == (4, 3) and shape([[1.5] * 8]) == (4, 2) and shape([[1.5] * 9]) == (None, None)
+    assert shape([[9.0] * 5 + [1.5, 2.5, 2.0] * 2], offset=5) == (2, 3)
+    assert shape([[1.0, 2, 1], [1.0, 2]]) == (None, None)
+    with pytest.raises(Exception, match="one shape"):
+        shape([[1.5] * 9], strict=True)
+
+
+def test_only_changed_files_are_parsed(spark, tmp_path):
+    seen = []
+
+    def parse(files):
+        seen.append(sorted(r.path for r in files.collect()))
+        return files.selectExpr("path", "length(key) as n")
+
+    def scan(rows, cache, out):
+        files = spark.createDataFrame(rows, "path string, key string")
+        return sorted(tuple(r) for r in exports.incremental_counts(files, cache and str(tmp_path / cache), parse, str(tmp_path / out)).select("path", "n", "parsed").collect())
+
+    assert scan([("a", "1"), ("b", "22"), ("c", "333")], None, "one") == [("a", 1, True), ("b", 2, True), ("c", 3, True)]
+    assert scan([("a", "1"), ("b", "22222"), ("d", "4")], "one", "two") == [("a", 1, False), ("b", 5, True), ("d", 1, True)]
+    assert seen == [["a", "b", "c"], ["b", "d"]]
+
+
+def test_outline_that_leaves_on_three_sides(spark):
+    """A polygon far over the image is clipped to it; points outside do not widen a box."""
+    rows = [(0, [(-50.0, -50.0), (700.0, -50.0), (700.0, 300.0), (-50.0, 300.0)]), (1, [(600.0, 100.0), (630.0, 100.0), (700.0, 140.0), (600.0, 140.0)])]
+    df = spark.createDataFrame([(i, [{"x": x, "y": y} for x, y in p]) for i, p in rows], "id long, polygon array<struct<x double, y double>>")
+    df = df.selectExpr("*", "array(1D, 0D, 0D, 0D, 1D, 0D, 0D, 0D, 1D) as m", "0D as x1", "0D as y1", "100D as x2", "100D as y2")
+    got = {r.id: (r.x1, r.y1, r.x2, r.y2, [(p.x, p.y) for p in r.polygon]) for r in augment.perspective_outlines(df, "640D", "480D").collect()}
+    assert 0 not in got  # all four points lie on the border once clipped, so no box is left
+    assert got[1][:4] == (600.0, 100.0, 630.0, 140.0) and got[1][4] == [(600.0, 100.0), (630.0, 100.0), (630.0, 140.0), (600.0, 140.0)]
+
+
 def test_jpeg_header():
     sof = b"\xff\xc0\x00\x0b\x08" + (30).to_bytes(2, "big") + (40).to_bytes(2, "big") + b"\x01\x00\x00"
     good = b"\xff\xd8" + sof + b"\x00" * 12 + b"\xff\xd9"

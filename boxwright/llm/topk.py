@@ -13,6 +13,7 @@ their own except that a query never meets rows of its own id; an empty table giv
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -109,9 +110,9 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     heads = blocks.groupBy("_part").agg(F.max("_nth").alias("n")).withColumn("_base", F.sum("n").over(Window.partitionBy().orderBy("_part")) - F.col("n"))
     blocks = materialize(blocks.join(heads, "_part").select((F.col("_base") + F.col("_nth") - 1).alias("block"), "dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")))
     n_blocks, n_tiles = blocks.count(), tiles.count()
-    path = f"{shared_folder(session)}/topk-{session.sparkContext.applicationId}-{id(tiles)}-{n_tiles}-{n_blocks}"
+    path = f"{shared_folder(session)}/topk-{uuid.uuid4().hex}"
     schema = "query_id long, vec_id long, score long, tile long"
-    session.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+    session.createDataFrame([], schema).write.parquet(path)
     for first in range(0, n_blocks, BLOCKS_AT_ONCE):
         some = blocks.where(F.col("block").between(first, first + BLOCKS_AT_ONCE - 1))
         meet = tiles.repartition("tile").withColumn("block", F.explode(F.sequence(F.lit(first), F.lit(min(n_blocks, first + BLOCKS_AT_ONCE) - 1))))

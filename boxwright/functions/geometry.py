@@ -120,6 +120,20 @@ def in_polygon(x: str, y: str, points: Sequence[tuple[float, float]], edge: bool
     return f"({inside} or {on_edge})" if edge else f"({inside} and not {on_edge})"
 
 
+def convex_hull(points: Sequence[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Corners of the convex hull of a region's points, in order; points on its sides are left out."""
+    def half(ordered: list[tuple[float, float]]) -> list[tuple[float, float]]:
+        chain: list[tuple[float, float]] = []
+        for x, y in ordered:
+            while len(chain) > 1 and (chain[-1][0] - chain[-2][0]) * (y - chain[-2][1]) <= (chain[-1][1] - chain[-2][1]) * (x - chain[-2][0]):
+                chain.pop()
+            chain.append((x, y))
+        return chain[:-1]
+
+    ordered = sorted(set(points))
+    return ordered if len(ordered) < 3 else half(ordered) + half(ordered[::-1])
+
+
 def in_polygon_column(x: str, y: str, points: str, edge: str) -> str:
     """As in_polygon for a column of array<struct<x,y>>; ``edge`` is a boolean SQL fragment."""
     last = f"{points}[size({points}) - 1]"

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+STRETCH = 64
+
+
 def box_runs(boxes: DataFrame, id_col: str, width: int, height: int, stride: int) -> DataFrame:
     """Filled boxes on a coarse mask grid, one run per grid column."""
     rest = [c for c in boxes.columns if c not in ("x1", "y1", "x2", "y2")]
@@ -23,11 +26,14 @@ def mask_areas(runs: DataFrame, *keys: str) -> DataFrame:
 
 
 def mask_iou(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str, height: int, eps: float = 1e-7) -> DataFrame:
-    """Overlap of masks that share keys: runs meet per column, then lengths add up."""
-    col = f"start div {height} as _col"
-    l = left.selectExpr(*keys, left_id, "start as ls", "start + len as le", col)
-    r = right.selectExpr(*keys, right_id, "start as rs", "start + len as re", col)
-    met = l.join(r, [*keys, "_col"]).where("least(le, re) > greatest(ls, rs)")
+    """Overlap of masks that share keys: runs meet where they share a stretch of a column, then lengths add up.
+
+    A run stands in every stretch of ``STRETCH`` pixels it reaches; a pair counts in the stretch where its common part begins.
+    """
+    cells = f"explode(sequence(start div {STRETCH}, (start + len - 1) div {STRETCH})) as _cell"
+    l = left.where("len > 0").selectExpr(*keys, left_id, "start as ls", "start + len as le", f"start div {height} as _col", cells)
+    r = right.where("len > 0").selectExpr(*keys, right_id, "start as rs", "start + len as re", f"start div {height} as _col", cells)
+    met = l.join(r, [*keys, "_col", "_cell"]).where(f"least(le, re) > greatest(ls, rs) and _cell = greatest(ls, rs) div {STRETCH}")
     inter = met.groupBy(*keys, left_id, right_id).agg(F.expr("sum(least(le, re) - greatest(ls, rs)) as inter"))
     la = mask_areas(left, *keys, left_id).withColumnRenamed("area", "la")
     ra = mask_areas(right, *keys, right_id).withColumnRenamed("area", "ra")

@@ -102,7 +102,7 @@ def size_slices(spark: SparkSession, d: str) -> DataFrame:
 
     Class and slice become one composite class, so all slices share one pass.
     """
-    size = lambda a: f"case when {a} < 5000 then 0 when {a} < 9216 then 1 else 2 end"
+    size = lambda a: D.size_slice(a, small=5000)  # boxes of these tables are larger than the published 1,024
     area = "((x2 - x1) * (y2 - y1))"
     gt = v_gt(spark, d)
     best = M.best_truth(v_det(spark, d), gt, ["image_id", "cls"], 0.5)
@@ -312,7 +312,7 @@ def crop_manifest(spark: SparkSession, d: str) -> DataFrame:
     from boxwright.operators.scans import blocked_scan
 
     crops = B.crop_rectangle(v_det(spark, d), "640", "480")
-    numbered = blocked_scan(crops, ["image_id", "cls"], ["det_id"], "floor((1 - conf) * 16)", sums={"crop_no": "1L"})
+    numbered = blocked_scan(crops, ["image_id", "cls"], ["det_id"], "floor((1 - conf) * 4096)", sums={"crop_no": "1L"})
     return numbered.select("image_id", "det_id", "crop_no", "crop_x1", "crop_y1", "crop_x2", "crop_y2")
 
 

@@ -200,6 +200,15 @@ def zone_tracking(spark: SparkSession, d: str) -> DataFrame:
     return T.in_regions(v_track(spark, d), {"zone": POLYGON}, edge=True).select("stream_id", "frame_no", "track_id")
 
 
+@query("str_09_zone_hull", f"SELECT stream_id, frame_no, track_id FROM v_track WHERE {in_polygon_sql(POLYGON, True)}")
+def zone_hull(spark: SparkSession, d: str) -> DataFrame:
+    """A zone drawn with a dent is its convex hull."""
+    from boxwright.functions.geometry import convex_hull
+
+    dented = [POLYGON[0], (200, 200), *POLYGON[1:]]
+    return T.in_regions(v_track(spark, d), {"zone": convex_hull(dented)}, edge=True).select("stream_id", "frame_no", "track_id")
+
+
 @query("str_10_pair_distance", f"""WITH {_F},
 a AS (SELECT stream_id, frame, max({{'x': floor(cx), 'y': floor(cy)}}) AS p FROM f WHERE cls = 0 GROUP BY ALL), b AS (SELECT stream_id, frame, max({{'x': floor(cx), 'y': floor(cy)}}) AS p FROM f WHERE cls = 1 GROUP BY ALL)
 SELECT stream_id, frame, round(sqrt((a.p.x - b.p.x) ** 2 + (a.p.y - b.p.y) ** 2), 6) AS distance FROM a JOIN b USING (stream_id, frame)""")
@@ -224,6 +233,18 @@ def redaction_manifest(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query("str_12_redaction_masks", """
+WITH b AS (SELECT track_id, frame_no, least(greatest(floor((cx - w / 2) / 8), 0), 80) AS a, least(greatest(floor((cx + w / 2) / 8), 0), 80) AS b, least(greatest(floor((cy - h / 2) / 8), 0), 60) AS c, least(greatest(floor((cy + h / 2) / 8), 0), 60) AS d FROM v_track WHERE cls IN (0, 2))
+SELECT track_id, frame_no, CAST(b - a AS BIGINT) AS runs, CAST((b - a) * (d - c) AS BIGINT) AS pixels, CAST(a * 60 + c AS BIGINT) AS first FROM b WHERE a < b AND c < d""")
+def redaction_masks(spark: SparkSession, d: str) -> DataFrame:
+    """The same as mask runs on a coarse grid."""
+    from boxwright.operators.masks import box_runs
+
+    boxes = v_track(spark, d).where("cls in (0, 2)").selectExpr("track_id", "frame_no", "cx - w / 2 as x1", "cy - h / 2 as y1", "cx + w / 2 as x2", "cy + h / 2 as y2")
+    runs = box_runs(boxes, "frame_no", 80, 60, 8)
+    return runs.groupBy("track_id", "frame_no").agg(F.expr("count(*) as runs"), F.expr("sum(len) as pixels"), F.expr("min(start) as first"))
+
+
 @query("str_14_track_sessions", """
 WITH m AS (SELECT *, CASE WHEN frame_no - lag(frame_no) OVER w <= 100 THEN 0 ELSE 1 END AS s FROM v_track WINDOW w AS (PARTITION BY stream_id, track_id ORDER BY frame_no)),
 v AS (SELECT *, sum(s) OVER (PARTITION BY stream_id, track_id ORDER BY frame_no) AS visit FROM m)

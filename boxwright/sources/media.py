@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +37,15 @@ def every_kth(frames: DataFrame, k: int, column: str = "frame_no") -> DataFrame:
     return frames.where(f"pmod({column}, {k}) = 0")
 
 
+def find_media(spark: SparkSession, sources: Sequence[str]) -> DataFrame:
+    """Media files (path, media_type) of a list of files, folders (their own files) and glob patterns. A source that does not exist is an error.
+
+    Only names are listed, no contents are read.
+    """
+    files = spark.read.format("binaryFile").load(list(sources)).select("path")
+    return media_list(files)
+
+
 def newest_only(frames: DataFrame) -> DataFrame:
     """Unbuffered mode: one row per stream, its newest frame (map-side combined)."""
     from pyspark.sql import functions as F

@@ -585,3 +585,29 @@ def test_similarity_tree_prunes_clusters(spark):
     assert left.count() == 805 and work < 805**2 / 8
     left, right = search.pivot_tree(unique, 100.0, 20)
     assert left.count() == right.count() == 805
+
+
+def test_media_of_files_folders_and_patterns(spark, tmp_path):
+    for name in ("a.jpg", "b.txt", "sub/c.MP4", "sub/d.png", "more/e.png"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    found = media.find_media(spark, [str(tmp_path / "a.jpg"), str(tmp_path / "sub"), str(tmp_path / "mo*" / "*.png")])
+    assert sorted((r.path.split("/")[-1], r.media_type) for r in found.collect()) == [("a.jpg", "image"), ("c.MP4", "video"), ("d.png", "image"), ("e.png", "image")]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        media.find_media(spark, [str(tmp_path / "none.jpg")]).count()
+
+
+def test_hull_and_region_rows(spark):
+    assert set(G.convex_hull([(0, 0), (4, 0), (2, 1), (4, 4), (0, 4), (0, 2)])) == {(0, 0), (4, 0), (4, 4), (0, 4)}
+    obs = spark.createDataFrame([(0, 1, 0.0, 2.0), (0, 2, 1.0, 1.0), (1, 3, 1.0, 1.0), (0, 4, 9.0, 1.0)], "stream_id long, frame_no long, cx double, cy double")
+    square = [{"x": float(x), "y": float(y)} for x, y in ((0, 0), (4, 0), (4, 4), (0, 4))]
+    regions = spark.createDataFrame([(0, "open", square, False), (0, "closed", square, True)], "stream_id long, region string, points array<struct<x double, y double>>, edge boolean")
+    assert sorted((r.frame_no, r.region) for r in tracks.in_region_table(obs, regions).collect()) == [(1, "closed"), (2, "closed"), (2, "open")]
+
+
+def test_masks_meet_over_stretches(spark):
+    """Long runs share many stretches and count once."""
+    one = spark.createDataFrame([(0, 1, 100, 500), (0, 2, 700, 10)], "image_id int, a int, start long, len long")
+    two = spark.createDataFrame([(0, 8, 0, 300), (0, 9, 590, 115)], "image_id int, b int, start long, len long")
+    got = {(r.a, r.b): r.inter for r in masks.mask_iou(one, two, ["image_id"], "a", "b", 1000).collect()}
+    assert got == {(1, 8): 200, (1, 9): 10, (2, 9): 5}

@@ -164,6 +164,20 @@ def ks_statistic(train: DataFrame, live: DataFrame, value: str, blocks: int = 40
     return run.agg(F.expr("max(abs(up_a / n_a - up_b / n_b)) as ks"), F.expr("max(n_a) as n_train"), F.expr("max(n_b) as n_live"))
 
 
+def best_epochs(logs: DataFrame, patience: int, block: str) -> DataFrame:
+    """Per run (run, step, fitness): the best value, the last epoch that set it, and the first epoch ``patience`` epochs past the best so far.
+
+    One scan numbers the epochs and finds the best before each; only the epochs that set a new best go on from there.
+    """
+    numbered = blocked_scan(logs, ["run"], ["step"], block, sums={"epoch": "1L"}, tops={"prev": "fitness"})
+    marked = numbered.where("prev is null or fitness > prev or prev = 0").select("run", "epoch")
+    gaps = blocked_scan(marked, ["run"], ["epoch"], "epoch div 100000", lags={"before": "epoch"})
+    found = gaps.groupBy("run").agg(F.expr("max(epoch) as best_epoch"), F.expr(f"min(case when epoch - before > {patience} then before + {patience} end) as gap"))
+    whole = logs.groupBy("run").agg(F.expr("count(*) as n"), F.expr("max(fitness) as best"))
+    end = f"case when n - best_epoch >= {patience} then best_epoch + {patience} end"
+    return whole.join(found, "run").selectExpr("run", f"least(gap, {end}) as stop_epoch", "best_epoch", "best")
+
+
 def size_slice(area: str, small: float = 1024, medium: float = 9216) -> str:
     """0 small, 1 medium, 2 large by the area of an object in pixels."""
     return f"case when {area} < {small}D then 0 when {area} < {medium}D then 1 else 2 end"

@@ -21,12 +21,13 @@ def blocked_scan(
     lags: Mapping[str, str] | None = None,
     sums: Mapping[str, str] | None = None,
     maxs: Mapping[str, str] | None = None,
+    tops: Mapping[str, str] | None = None,
     lasts: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Add scan columns to ``df``; every expression is SQL text.
 
     lags: value of the previous row; sums and maxs: running value including the row; lasts: latest non-null
-    value including the row. ``block`` must not decrease along ``order`` within ``part``; ``order`` must be a
+    value including the row; tops: running value without the row, null for the first. ``block`` must not decrease along ``order`` within ``part``; ``order`` must be a
     total order inside ``part``.
     """
     keys, key = ", ".join(part), f"struct({', '.join(order)})"
@@ -50,6 +51,11 @@ def blocked_scan(
         totals.append(f"max({e}) as _t_{name}")
         carry.append(f"max(_t_{name}) over ({earlier}) as _c_{name}")
         final.append(f"greatest(_c_{name}, _i_{name}) as {name}")
+    for name, e in (tops or {}).items():
+        rows.append(f"max({e}) over ({inside} rows between unbounded preceding and 1 preceding) as _i_{name}")
+        totals.append(f"max({e}) as _t_{name}")
+        carry.append(f"max(_t_{name}) over ({earlier}) as _c_{name}")
+        final.append(f"greatest(_c_{name}, _i_{name}) as {name}")
     for name, e in (lasts or {}).items():
         rows.append(f"last({e}) ignore nulls over ({upto}) as _i_{name}")
         totals.append(f"max_by({e}, case when ({e}) is not null then {key} end) as _t_{name}")

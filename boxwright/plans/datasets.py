@@ -391,15 +391,5 @@ e AS (SELECT *, max(CASE WHEN prev IS NULL OR fitness > prev OR prev = 0 THEN ep
 SELECT run, min(epoch) FILTER (epoch - best_epoch >= 20) AS stop_epoch, CAST(max(best_epoch) AS BIGINT) AS best_epoch, max(best) AS best FROM e GROUP BY run""")
 def best_epoch(spark: SparkSession, d: str) -> DataFrame:
     """Best value so far, its epoch, and the first epoch that is ``patience`` epochs past it."""
-    from boxwright.operators.scans import blocked_scan
-
-    logs = table(spark, d, "events").selectExpr("user_id as run", "event_id", "value as fitness")
-    block = "event_id div 1000000"
-    numbered = blocked_scan(logs, ["run"], ["event_id"], block, sums={"epoch": "1L"}, maxs={"best": "fitness"})
-    before = blocked_scan(numbered, ["run"], ["event_id"], block, lags={"prev": "best"})
-    marked = blocked_scan(before, ["run"], ["event_id"], block, lasts={"best_epoch": "case when prev is null or fitness > prev or prev = 0 then epoch end"})
-    return marked.groupBy("run").agg(
-        F.expr("min(case when epoch - best_epoch >= 20 then epoch end) as stop_epoch"), F.expr("max(best_epoch) as best_epoch"), F.expr("max(best) as best")
-    )
-
-
+    logs = table(spark, d, "events").selectExpr("user_id as run", "event_id as step", "value as fitness")
+    return D.best_epochs(logs, 20, "step div 1000000")

@@ -13,6 +13,8 @@ SAMPLE = (
     "jon_02_overlap_join", "jon_06_greedy_match", "agg_05_average_precision", "agg_09_confusion_matrix", "win_01_greedy_nms", "win_02_fast_nms",
     "win_03_rotated_nms", "prj_02_letterbox", "src_02_label_text", "src_06_voc_xml", "snk_01_label_export", "agg_01_dataset_statistics", "top_03_stratified_split",
     "jon_04_mask_overlap", "jon_16_similarity_index", "win_09_line_counter", "agg_13_region_counts", "aug_04_cut_mix", "str_05_live_counter",
+    "jon_08_assignment_total", "str_07_live_speed_reps", "str_08_live_alarm", "str_13_late_frames", "src_16_newest_per_trigger", "snk_01_written_labels", "snk_07_incremental_scan",
+    "aug_01_perspective_outlines", "aug_08_polygon_stitching", "agg_23_drift_test", "win_12_chart_grid", "udf_03_lifecycle",
 )
 NAMES = sorted(entry.queries()) if os.environ.get("BOXWRIGHT_FULL") else SAMPLE
 

@@ -567,24 +567,24 @@ def test_assignment_of_one_image_of_thousands():
 def test_similarity_tree_prunes_clusters(spark):
     """Clustered vectors: exact counts and lists by far fewer comparisons than all pairs; a wide radius makes no copies of rows."""
     rng = np.random.default_rng(6)
-    centres = rng.normal(size=(40, 8)) * 5
-    v = np.concatenate([centres[np.arange(800) % 40] + rng.normal(size=(800, 8)) * 0.1, centres[:5], centres[:5]])
+    centres = rng.normal(size=(20, 8)) * 5
+    v = np.concatenate([centres[np.arange(400) % 20] + rng.normal(size=(400, 8)) * 0.1, centres[:5], centres[:5]])
     df = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
     gap = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2))
     np.fill_diagonal(gap, np.inf)
-    for r in search.similarity_counts(df, 0.4, 50, leaf=20).collect():
+    for r in search.similarity_counts(df, 0.4, 50, leaf=40).collect():
         near = gap[r.vec_id][gap[r.vec_id] < 0.4]
         assert r.n_similar == min(len(near), 50)
         assert r.nearest_dist == (pytest.approx(near.min()) if len(near) else None)
-    for r in search.similarity_lists(df, 0.4, 6, leaf=20).collect():
+    for r in search.similarity_lists(df, 0.4, 6, leaf=40).collect():
         near = [j for j in np.lexsort([np.arange(len(v)), gap[r.vec_id].round(9)]) if gap[r.vec_id][j] < 0.4]
         assert list(r.similar) == near[:6]
     unique = df.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).withColumnRenamed("embedding", "v")
-    left, right = search.pivot_tree(unique, 0.4, 20)
+    left, right = search.pivot_tree(unique, 0.4, 40)
     work = search._sizes(left, right, "cell").agg(F.sum(F.col("l") * F.col("r"))).first()[0]
-    assert left.count() == 805 and work < 805**2 / 8
-    left, right = search.pivot_tree(unique, 100.0, 20)
-    assert left.count() == right.count() == 805
+    assert left.count() == 405 and work < 405**2 / 8
+    left, right = search.pivot_tree(unique, 100.0, 40)
+    assert left.count() == right.count() == 405
 
 
 def test_media_of_files_folders_and_patterns(spark, tmp_path):

@@ -611,3 +611,12 @@ def test_masks_meet_over_stretches(spark):
     two = spark.createDataFrame([(0, 8, 0, 300), (0, 9, 590, 115)], "image_id int, b int, start long, len long")
     got = {(r.a, r.b): r.inter for r in masks.mask_iou(one, two, ["image_id"], "a", "b", 1000).collect()}
     assert got == {(1, 8): 200, (1, 9): 10, (2, 9): 5}
+
+
+def test_manifest_key_of_large_lengths(spark):
+    """Lengths whose sum passes 64 bits make a key, the same in any order, and another one when a length changes."""
+    rows = [(f"p{i}", 2**62 + i) for i in range(6)] * 3
+    key = lambda some: exports.manifest_key(spark.createDataFrame(some, "path string, length long")).first().key
+    assert key(rows) == key(rows[::-1]) != key([*rows[:-1], ("p5", 7)])
+    small = spark.createDataFrame([("a", 1), ("a", 2), ("b", None)], "path string, length long")
+    assert exports.manifest_key(small).first().key == "88c328073611d1c21b449320b23cff9d2034f594b39b3d1f5d75ded5ce4fd870"

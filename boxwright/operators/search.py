@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,6 +77,10 @@ def mean_query(queries: DataFrame) -> DataFrame:
 FAN = 16  # children of a cell
 LEAF = 1500  # a cell of so many vectors a side is compared as it is
 LEVELS = 12
+BLOCK = 4096  # rows a side of a tile that one task compares
+STRIP = 512  # right rows of a matrix product
+PAIRS = 8192  # pairs whose differences are summed at once
+HELD = 500_000  # pairs a task keeps before it drops all but the nearest
 
 
 def _sizes(left: DataFrame, right: DataFrame, by: str) -> DataFrame:
@@ -117,28 +125,143 @@ def pivot_tree(unique: DataFrame, radius: float, leaf: int = LEAF) -> tuple[Data
     return tuple(reduce(DataFrame.unionByName, side) for side in zip(*done, strict=True))
 
 
-def similar_pairs(vectors: DataFrame, max_dist: float, leaf: int = LEAF) -> tuple[DataFrame, DataFrame]:
-    """(rows, pairs): vec_id with its representative, and (rep, r_rep, r_n, dist) of distinct vectors closer than ``max_dist``.
-
-    Copies collapse to one vector with a weight. Norms that differ by more than the distance end a comparison early. A cell that could not be
-    split is dealt to parts of ``leaf`` left rows, so it is many tasks.
+def _by_size(lists: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, matrix) of the vectors of every length; those that hold null or non-finite components are near to nothing."""
+    flat, sizes = lists.flatten().to_numpy(zero_copy_only=False).astype(float), lists.value_lengths().fill_null(0).to_numpy()
+    starts = np.cumsum(sizes) - sizes
+    for size in np.unique(sizes[sizes > 0]):
+        at = np.flatnonzero(sizes == size)
+        matrix = flat[starts[at][:, None] + np.arange(size)]
+        whole = np.isfinite(matrix).all(axis=1)
+        yield at[whole], matrix[whole]
+
+
+def _closer(one: np.ndarray, two: np.ndarray, max_dist: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, distance) of rows closer than ``max_dist``: a matrix product leaves out the far ones, the others' differences are summed."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        squares = [(m * m).sum(axis=1) for m in (one, two)]
+        for first in range(0, len(two), STRIP):
+            strip, norms = two[first : first + STRIP], squares[1][first : first + STRIP]
+            apart = squares[0][:, None] + norms[None] - 2 * (one @ strip.T)
+            slack = max_dist**2 + 1e-9 * (max_dist**2 + squares[0][:, None] + norms[None])
+            found = np.flatnonzero(~(apart > slack).ravel())
+            for some in np.split(found, range(PAIRS, len(found), PAIRS)):
+                i, j = np.divmod(some, len(strip))
+                terms = (one[i] - strip[j]) ** 2
+                total = np.zeros(len(some))
+                for d in range(one.shape[1]):
+                    total += terms[:, d]
+                dist = np.sqrt(total)
+                near = dist < max_dist
+                yield i[near], j[near] + first, dist[near]
+
+
+def _nearest_of(rep: np.ndarray, found: list[np.ndarray], k: int) -> list[np.ndarray]:
+    """Of found (rep, r_rep, r_n, dist) the k nearest of every rep, with all that tie at nine places."""
+    order = np.lexsort([found[3], found[0]])
+    found = [c[order] for c in found]
+    start = np.searchsorted(found[0], found[0])
+    last = np.minimum(start + k, np.searchsorted(found[0], found[0], "right")) - 1
+    stay = found[3] <= found[3][last] + 2e-9
+    return [c[stay] for c in found]
+
+
+def met_in_tiles(left: DataFrame, right: DataFrame, max_dist: float, k: int | None = None, totals: bool = False, block: int = BLOCK) -> DataFrame:
+    """(rep, r_rep, r_n, dist) of the left and right rows of a cell that are closer than ``max_dist``.
+
+    A cell is a grid of tiles of about ``block`` rows a side. A task holds a tile's left rows and streams its right ones. With ``k`` a tile
+    gives only the nearest of each left row; with ``totals`` one row (rep, near, best): the weights of all and the least distance.
     """
+    shape = materialize(_sizes(left, right, "cell").selectExpr("cell", f"cast(ceil(l / {block}) as int) as ls", f"cast(ceil(r / {block}) as int) as rs", "l", "r"))
+    # a share of the comparisons or of the rows for each task, so small cells are met together
+    tasks = shape.agg(F.expr(f"coalesce(cast(ceil(greatest(sum(l * 1D * r) / {block * block}, sum(l + r) / {16 * block})) as bigint), 1)")).first()[0]
+    shape = shape.drop("l", "r")
+    one = left.where("rep is not null").join(shape, "cell").selectExpr("cell", "cast(pmod(xxhash64(rep), ls) as int) as a", "explode(sequence(0, rs - 1)) as b", "0 as side", "rep", "n", "v")
+    two = right.where("rep is not null").join(shape, "cell").selectExpr("cell", "explode(sequence(0, ls - 1)) as a", "cast(pmod(xxhash64(rep), rs) as int) as b", "1 as side", "rep", "n", "v")
+    keys = ["cell", "a", "b"]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["rep", "near", "best"] if totals else ["rep", "r_rep", "r_n", "dist"]
+        tile, held, ready, found, size = None, [], {}, [], 0
+
+        def give() -> Iterator[pa.RecordBatch]:
+            if totals:
+                for reps, _, near, best in ready.values():
+                    some = np.flatnonzero(near)
+                    yield pa.RecordBatch.from_arrays([pa.array(c[some]) for c in (reps, near, best)], names=names)
+            elif found:
+                columns = [np.concatenate(c) for c in zip(*found, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (columns if k is None else _nearest_of(columns[0], columns, k))], names=names)
+
+        for batch in batches:
+            marks = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in (*keys, "side")], axis=1)
+            edges = np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1 if len(marks) else []
+            for lo, hi in itertools.pairwise([0, *edges, len(marks)]):
+                if lo == hi:
+                    continue
+                if tile != tuple(marks[lo, :3]):
+                    yield from give()
+                    tile, held, ready, found, size = tuple(marks[lo, :3]), [], {}, [], 0
+                part = batch.slice(lo, hi - lo)
+                reps, ns = part.column("rep").to_numpy(), part.column("n").to_numpy()
+                groups = [(reps[at], ns[at], m) for at, m in _by_size(part.column("v"))]
+                if marks[lo, 3] == 0:
+                    held += groups
+                    continue
+                for r_reps, r_ns, two_m in groups:
+                    width = two_m.shape[1]
+                    if width not in ready:
+                        same = [(r, m) for r, _, m in held if m.shape[1] == width]
+                        if not same:
+                            continue
+                        reps_l = np.concatenate([r for r, _ in same])
+                        ready[width] = (reps_l, np.concatenate([m for _, m in same]), np.zeros(len(reps_l), np.int64), np.full(len(reps_l), np.inf))
+                    reps_l, one_m, near, best = ready[width]
+                    for i, j, dist in _closer(one_m, two_m, max_dist):
+                        other = reps_l[i] != r_reps[j]
+                        i, j, dist = i[other], j[other], dist[other]
+                        if totals:
+                            np.add.at(near, i, r_ns[j])
+                            np.minimum.at(best, i, dist)
+                        elif len(i):
+                            found.append([reps_l[i], r_reps[j], r_ns[j], dist])
+                            size += len(i)
+                            if size > 4 * HELD:
+                                if k is None:
+                                    yield from give()
+                                    found, size = [], 0
+                                else:
+                                    columns = [np.concatenate(c) for c in zip(*found, strict=True)]
+                                    found = [_nearest_of(columns[0], columns, k)]
+                                    size = len(found[0][0]) // 2
+        yield from give()
+
+    schema = "rep long, near long, best double" if totals else "rep long, r_rep long, r_n long, dist double"
+    dealt = one.unionByName(two).repartition(min(4 * tasks, 4000), *keys).sortWithinPartitions(*keys, "side")
+    return dealt.mapInArrow(compare, schema)
+
+
+def _members(vectors: DataFrame, max_dist: float, leaf: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, left, right): vec_id with its representative, and the tree over distinct vectors."""
     rows = vectors.selectExpr("vec_id", "cast(embedding as array<double>) as v")
     unique = materialize(rows.groupBy("v").agg(F.expr("min(vec_id) as rep"), F.expr("count(*) as n")))
     left, right = pivot_tree(unique, max_dist, leaf)
-    left, right = materialize(left), materialize(right)
-    parts = left.groupBy("cell").agg(F.expr(f"cast(ceil(count(*) / {leaf}) as int) as parts"))
-    dealt = left.join(parts, "cell").selectExpr("rep", "v", "norm", "cell", "pmod(xxhash64(rep), parts) as part")
-    met = right.join(parts, "cell").selectExpr("rep as r_rep", "n as r_n", "v as r_v", "norm as r_norm", "cell", "explode(sequence(0L, parts - 1L)) as part")
-    near = f"rep <> r_rep and abs(norm - r_norm) < {max_dist * (1 + 1e-9) + 1e-9}D and {distance('v', 'r_v')} < {max_dist}D"
-    pairs = dealt.join(met, ["cell", "part"]).where(near).selectExpr("rep", "r_rep", "r_n", f"{distance('v', 'r_v')} as dist")
-    return rows.join(unique, "v").select("vec_id", "rep", "n"), pairs
+    return rows.join(unique, "v").select("vec_id", "rep", "n"), materialize(left), materialize(right)
+
+
+def similar_pairs(vectors: DataFrame, max_dist: float, leaf: int = LEAF, k: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, pairs): vec_id with its representative, and (rep, r_rep, r_n, dist) of distinct vectors closer than ``max_dist``.
+
+    Copies collapse to one vector with a weight. ``k`` asks for the k nearest of every vector only (a few more come along).
+    """
+    members, left, right = _members(vectors, max_dist, leaf)
+    return members, met_in_tiles(left, right, max_dist, k)
 
 
 def similarity_counts(vectors: DataFrame, max_dist: float, top_k: int, leaf: int = LEAF) -> DataFrame:
     """For each vector, how many others lie closer than ``max_dist`` (at most top_k), and the nearest one's distance."""
-    members, pairs = similar_pairs(vectors, max_dist, leaf)
-    found = pairs.groupBy("rep").agg(F.expr("sum(r_n) as near"), F.expr("min(dist) as best"))
+    members, left, right = _members(vectors, max_dist, leaf)
+    found = met_in_tiles(left, right, max_dist, totals=True).groupBy("rep").agg(F.expr("sum(near) as near"), F.expr("min(best) as best"))
     return members.join(found, "rep", "left").selectExpr(
         "vec_id", f"least(coalesce(near, 0) + n - 1, {top_k}) as n_similar", "if(n > 1, 0D, best) as nearest_dist"
     )
@@ -149,7 +272,7 @@ def similarity_lists(vectors: DataFrame, max_dist: float, top_k: int, leaf: int
 
     Distances are compared at nine places. A copy stands in the list for itself; of a vector with many copies the first ids do.
     """
-    members, pairs = similar_pairs(vectors, max_dist, leaf)
+    members, pairs = similar_pairs(vectors, max_dist, leaf, top_k)
     members = materialize(members)
     ids = salted_top_k(members.select("rep", "vec_id"), ["rep"], "vec_id", top_k + 1, "pmod(xxhash64(vec_id), 64)").groupBy("rep").agg(F.expr("collect_list(vec_id) as ids"))
     first = salted_top_k(pairs.selectExpr("rep", "r_rep", "round(dist, 9) as dist"), ["rep"], "dist, r_rep", top_k, "pmod(xxhash64(r_rep), 64)").drop("rank")

@@ -620,3 +620,32 @@ def test_manifest_key_of_large_lengths(spark):
     assert key(rows) == key(rows[::-1]) != key([*rows[:-1], ("p5", 7)])
     small = spark.createDataFrame([("a", 1), ("a", 2), ("b", None)], "path string, length long")
     assert exports.manifest_key(small).first().key == "88c328073611d1c21b449320b23cff9d2034f594b39b3d1f5d75ded5ce4fd870"
+
+
+def test_similarity_in_tiles_of_any_vectors(spark):
+    """Pairs met in tiles are those of all pairs: copies, several lengths, holes, null ids and ties; no tile gives more than it needs."""
+    rng = np.random.default_rng(3)
+    v = [list(x) for x in rng.normal(size=(60, 6))] + [list(x) for x in rng.normal(size=(30, 3))] + [[float("nan"), 1.0], [1.0, None], [float("inf"), 0.0], [], None, [0.0, 0.0], [3e200, 0.0]]
+    v += [v[0], v[0], v[70], *[[x, 0.0, 0.0, 0.0, 0.0, 9.0] for x in (0.0, 1.0, -1.0, 2.0)]]
+    rows = [(i, [None if y is None else float(y) for y in x] if x is not None else None) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+
+    def gap(i, j):
+        a, b = v[i], v[j]
+        if a is None or b is None or len(a) != len(b) or None in (*a, *b):
+            return np.inf
+        d = np.sqrt(sum((p - q) * (p - q) for p, q in zip(a, b, strict=True)))
+        return d if d < 1.9 else np.inf
+
+    firsts = df.where("embedding is not null").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).withColumnRenamed("embedding", "v")
+    side = firsts.selectExpr("0L as cell", "rep", "n", "v")
+    reps = [r.rep for r in firsts.collect()]
+    want = {(i, j): gap(i, j) for i in reps for j in reps if i != j and gap(i, j) < 1.9}
+    for block in (7, 4096):
+        got = {(r.rep, r.r_rep): r.dist for r in search.met_in_tiles(side, side, 1.9, block=block).collect()}
+        assert got.keys() == want.keys() and len(want) > 50 and all(got[p] == pytest.approx(want[p]) for p in got)
+    assert search.met_in_tiles(side, side, 1.9, totals=True).count() == len({i for i, _ in want})
+    for r in search.similarity_lists(df, 1.9, 3).collect():
+        near = sorted((round(gap(r.vec_id, j), 9), j) for j in range(len(v)) if j != r.vec_id and gap(r.vec_id, j) < 1.9)
+        assert list(r.similar) == [j for _, j in near[:3]], r.vec_id
+    assert search.met_in_tiles(side.limit(0), side.limit(0), 1.0).count() == 0

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 
 STRETCH = 64
+COLUMNS = 8  # of a grid that a packed mask's row covers
 
 
 def box_runs(boxes: DataFrame, id_col: str, width: int, height: int, stride: int) -> DataFrame:
@@ -21,6 +22,16 @@ def box_runs(boxes: DataFrame, id_col: str, width: int, height: int, stride: int
     )
 
 
+def box_masks(boxes: DataFrame, id_col: str, width: int, height: int, stride: int) -> DataFrame:
+    """The masks of ``box_runs`` packed: one row each, its runs (start, len) in the list ``runs``, so that they move together."""
+    rest = [c for c in boxes.columns if c not in ("x1", "y1", "x2", "y2")]
+    cells = boxes.selectExpr(
+        *rest, f"least(greatest(cast(floor(x1 / {stride}) as int), 0), {width}) as a", f"least(greatest(cast(floor(x2 / {stride}) as int), 0), {width}) as b",
+        f"least(greatest(cast(floor(y1 / {stride}) as int), 0), {height}) as c", f"least(greatest(cast(floor(y2 / {stride}) as int), 0), {height}) as d",
+    ).where("a < b and c < d")
+    return cells.selectExpr(*rest, f"transform(sequence(a, b - 1), x -> struct(cast(x as bigint) * {height} + c as start, cast(d - c as bigint) as len)) as runs")
+
+
 def mask_areas(runs: DataFrame, *keys: str) -> DataFrame:
     return runs.groupBy(*keys).agg(F.expr("sum(len) as area"))
 
@@ -42,6 +53,34 @@ def mask_iou(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, r
     )
 
 
+def packed_iou(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str, height: int, eps: float = 1e-7) -> DataFrame:
+    """``mask_iou`` of packed masks: they meet where they share ``COLUMNS`` columns, and there run by run.
+
+    A row holds the parts of its runs inside those columns, places counted from the first, begin and end in one number each.
+    """
+    area = height * COLUMNS
+
+    def tiled(masks: DataFrame, id_col: str, side: str) -> DataFrame:
+        tiles = f"array_distinct(flatten(transform(filter(runs, r -> r.len > 0), r -> sequence(r.start div {area}, (r.start + r.len - 1) div {area}))))"
+        inside = f"filter(runs, r -> r.len > 0 and r.start < (_tile + 1) * {area} and r.start + r.len > _tile * {area})"
+        part = f"shiftleft(greatest(r.start - _tile * {area}, 0L), 32) | least(r.start + r.len - _tile * {area}, {area}L)"
+        rows = masks.selectExpr(*keys, id_col, "runs", f"explode({tiles}) as _tile")
+        return rows.selectExpr(*keys, id_col, "_tile", f"transform({inside}, r -> {part}) as {side}")
+
+    first, last = "shiftright(array_min({0}), 32)", "array_max(transform({0}, p -> p & 4294967295L))"
+    hulls = f"{first.format('_l')} < {last.format('_r')} and {first.format('_r')} < {last.format('_l')}"
+    met = tiled(left, left_id, "_l").join(tiled(right, right_id, "_r"), [*keys, "_tile"]).where(hulls)
+    begin, end = "greatest(shiftright(p, 32), shiftright(q, 32))", "least(p & 4294967295L, q & 4294967295L)"
+    runs = met.selectExpr(*keys, left_id, right_id, "_r", "explode(_l) as p").selectExpr(*keys, left_id, right_id, "p", "explode(_r) as q").where(f"{end} > {begin}")
+    inter = runs.groupBy(*keys, left_id, right_id).agg(F.expr(f"sum({end} - {begin}) as inter"))
+    areas = "sum(aggregate(runs, 0L, (s, r) -> s + r.len)) as {0}"
+    la = left.groupBy(*keys, left_id).agg(F.expr(areas.format("la")))
+    ra = right.groupBy(*keys, right_id).agg(F.expr(areas.format("ra")))
+    return inter.join(la, [*keys, left_id]).join(ra, [*keys, right_id]).selectExpr(
+        *keys, left_id, right_id, "inter", f"inter / (la + ra - inter + {eps}D) as iou"
+    )
+
+
 def mask_boxes(runs: DataFrame, keys: list[str], height: int) -> DataFrame:
     """Tight box (inclusive edges) of each mask from its runs."""
     return runs.groupBy(*keys).agg(

@@ -179,9 +179,9 @@ SELECT d.image_id, d.det_id, g.gt_id, CAST({S.inter("d.", "g.")} AS BIGINT) AS i
 FROM {_mask_sql("v_det", "det_id")} d JOIN {_mask_sql("v_gt", "gt_id")} g ON d.image_id = g.image_id AND d.cls = g.cls WHERE {S.inter("d.", "g.")} > 0""")
 def mask_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Filled boxes on an 80x60 mask grid, compared run by run."""
-    left = K.box_runs(v_det(spark, d).drop("conf"), "det_id", 80, 60, 8)
-    right = K.box_runs(v_gt(spark, d), "gt_id", 80, 60, 8)
-    out = K.mask_iou(left, right, ["image_id", "cls"], "det_id", "gt_id", 60)
+    left = K.box_masks(v_det(spark, d).drop("conf"), "det_id", 80, 60, 8)
+    right = K.box_masks(v_gt(spark, d), "gt_id", 80, 60, 8)
+    out = K.packed_iou(left, right, ["image_id", "cls"], "det_id", "gt_id", 60)
     return out.selectExpr("image_id", "det_id", "gt_id", "inter", "round(iou, 6) as iou")
 
 

@@ -649,3 +649,19 @@ def test_similarity_in_tiles_of_any_vectors(spark):
         near = sorted((round(gap(r.vec_id, j), 9), j) for j in range(len(v)) if j != r.vec_id and gap(r.vec_id, j) < 1.9)
         assert list(r.similar) == [j for _, j in near[:3]], r.vec_id
     assert search.met_in_tiles(side.limit(0), side.limit(0), 1.0).count() == 0
+
+
+def test_packed_masks_meet_as_their_runs_do(spark):
+    """Packed masks overlap as single runs do: across tiles of columns, with repeated ids and empty boxes, in fewer rows."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(150):
+        x, y = rng.randrange(600), rng.randrange(400)
+        rows.append((i % 3, rng.randrange(40), float(x), float(y), float(x + rng.randrange(300)), float(y + rng.randrange(200))))
+    boxes_ = spark.createDataFrame(rows, "image_id int, m int, x1 double, y1 double, x2 double, y2 double")
+    others = boxes_.selectExpr("image_id", "m + 100 as n", "y1 as x1", "x1 * 0.5D as y1", "y1 + 200 as x2", "x1 * 0.5D + 90 as y2")
+    runs = masks.mask_iou(masks.box_runs(boxes_, "m", 80, 60, 8), masks.box_runs(others, "n", 80, 60, 8), ["image_id"], "m", "n", 60)
+    one, two = masks.box_masks(boxes_, "m", 80, 60, 8), masks.box_masks(others, "n", 80, 60, 8)
+    got = {tuple(r) for r in masks.packed_iou(one, two, ["image_id"], "m", "n", 60).collect()}
+    assert got == {tuple(r) for r in runs.collect()} and len(got) > 300
+    assert one.count() <= 150 < masks.box_runs(boxes_, "m", 80, 60, 8).count() / 5

@@ -89,19 +89,27 @@ def mask_boxes(runs: DataFrame, keys: list[str], height: int) -> DataFrame:
     )
 
 
-def pixel_runs(pixels: DataFrame, keys: list[str]) -> DataFrame:
-    """Consecutive positions become runs: a run starts where the previous position is absent.
-
-    Positions are blocked, so a large mask is several windows; a run across a block edge is joined afterwards.
-    """
+def _touching(pieces: DataFrame, keys: list[str]) -> DataFrame:
+    """Pieces (start, len) of each key, those that touch as one."""
     k = ", ".join(keys)
-    grouped = pixels.selectExpr(*keys, "pos", f"pos - row_number() over (partition by {k}, pos div 65536 order by pos) as _g", "pos div 65536 as _b")
-    pieces = grouped.groupBy(*keys, "_b", "_g").agg(F.expr("min(pos) as start"), F.expr("count(*) as len"))
     marked = pieces.selectExpr(*keys, "start", "len", f"lag(start + len) over (partition by {k} order by start) as _end")
     heads = marked.selectExpr(*keys, "start", "len", f"sum(if(_end = start, 0, 1)) over (partition by {k} order by start) as _h")
     return heads.groupBy(*keys, "_h").agg(F.expr("min(start) as start"), F.expr("sum(len) as len")).drop("_h")
 
 
+def pixel_runs(pixels: DataFrame, keys: list[str]) -> DataFrame:
+    """Consecutive positions become runs; a position may come several times.
+
+    Positions set bits of 64-bit words, so single ones are neither sorted nor moved. Words are blocked, so a large mask is several windows;
+    a run across a block edge is joined afterwards.
+    """
+    words = pixels.groupBy(*keys, F.expr("shiftright(cast(pos as bigint), 6) as _w")).agg(F.expr("bit_or(shiftleft(1L, cast(pos & 63 as int))) as bits"))
+    bits = "filter(sequence(0, 63), i -> shiftrightunsigned({0}, i) & 1L = 1L)"
+    ends = words.selectExpr(*keys, "_w", f"{bits.format('(bits & ~shiftleft(bits, 1))')} as s", f"{bits.format('(bits & ~shiftrightunsigned(bits, 1))')} as e")
+    pieces = ends.selectExpr(*keys, "shiftright(_w, 10) as _b", "inline(transform(s, (i, n) -> struct(_w * 64 + i as start, cast(e[n] - i + 1 as bigint) as len)))")
+    return _touching(_touching(pieces, [*keys, "_b"]).drop("_b"), keys)
+
+
 def counts_text(counts: str = "counts") -> str:
     """SQL text of compressed counts. From the fourth on a count is written as its difference to the second before it.
 

@@ -665,3 +665,12 @@ def test_packed_masks_meet_as_their_runs_do(spark):
     got = {tuple(r) for r in masks.packed_iou(one, two, ["image_id"], "m", "n", 60).collect()}
     assert got == {tuple(r) for r in runs.collect()} and len(got) > 300
     assert one.count() <= 150 < masks.box_runs(boxes_, "m", 80, 60, 8).count() / 5
+
+
+def test_pixel_runs_over_words_and_blocks(spark):
+    """Runs cross words and blocks whole; a position may come twice; keys may be null."""
+    spans = {("a", 0): [(0, 1), (62, 130), (65530, 70), (131072, 64)], ("a", 1): [(5, 59), (128, 1)], (None, 1): [(63, 2), (66, 62)]}
+    rows = [(*k, p) for k, runs in spans.items() for s, n in runs for p in range(s, s + n)]
+    df = spark.createDataFrame(rows + rows[::3], "image_id string, cls int, pos long").repartition(5)
+    got = {(r.image_id, r.cls, r.start, r.len) for r in masks.pixel_runs(df, ["image_id", "cls"]).collect()}
+    assert got == {(*k, s, n) for k, runs in spans.items() for s, n in runs}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxwright.functions import geometry as G
-from boxwright.operators.boxes import candidates, clip, replace_columns
+from boxwright.operators.boxes import bound, candidates, clip, replace_columns
 from boxwright.operators.datasets import ranked_quota
 from boxwright.operators.overlap import touch_join
 
@@ -189,16 +189,14 @@ def perspective_outlines(df: DataFrame, width: str, height: str, min_share: floa
     area, or too narrow go.
     """
     scaled = df.selectExpr("*", *[f"{v} as o_{v}" for v in BOX])
-    moved = replace_columns(scaled, polygon=projected("polygon"))
-    ends = "array_min(polygon.x) < 0, array_min(polygon.y) < 0, array_max(polygon.x) > {w}, array_max(polygon.y) > {h}".format(w=width, h=height)
+    moved = bound(bound(scaled, polygon="polygon", m="m"), polygon=projected("polygon"))
+    ends = ("array_min(polygon.x) < 0", "array_min(polygon.y) < 0", f"array_max(polygon.x) > {width}", f"array_max(polygon.y) > {height}")
     held = f"transform(polygon, p -> struct({G.clamp('p.x', '0D', width)} as x, {G.clamp('p.y', '0D', height)} as y))"
-    sides = f"size(filter(array({ends}), v -> v)) >= 3"
+    sides = f"{' + '.join(f'int(coalesce({e}, false))' for e in ends)} >= 3"
     inside = f"filter(if({sides}, {held}, polygon), p -> p.x > 0 and p.y > 0 and p.x < {width} and p.y < {height})"
-    boxed = moved.selectExpr("*", f"{inside} as _in")
-    boxed = replace_columns(boxed, **{f"{a}{i}": f"coalesce(array_{f}(_in.{a}), 0D)" for a in "xy" for i, f in ((1, "min"), (2, "max"))})
+    boxed = bound(bound(moved, _in=inside), **{f"{a}{i}": f"coalesce(array_{f}(_in.{a}), 0D)" for a in "xy" for i, f in ((1, "min"), (2, "max"))})
     cut = f"transform(polygon, p -> struct({G.clamp('p.x', 'x1', 'x2')} as x, {G.clamp('p.y', 'y1', 'y2')} as y))"
-    out = replace_columns(boxed.drop("_in"), polygon=cut)
-    return candidates(out, min_area=min_share).drop(*[f"o_{v}" for v in BOX])
+    return bound(candidates(boxed.drop("_in"), min_area=min_share), polygon=cut).drop(*[f"o_{v}" for v in BOX])
 
 
 def perspective_keypoints(df: DataFrame, width: str, height: str) -> DataFrame:

@@ -15,6 +15,13 @@ def replace_columns(df: DataFrame, **exprs: str) -> DataFrame:
     return df.selectExpr(*[f"{exprs[c]} as {c}" if c in exprs else c for c in df.columns], *new)
 
 
+def bound(df: DataFrame, **exprs: str) -> DataFrame:
+    """``replace_columns``, but each expression is worked out once a row: later steps and filters cannot copy it into every place that uses it."""
+    rest = [c for c in df.columns if c not in exprs]
+    made = df.selectExpr(*rest, f"inline(array(struct({', '.join(f'{e} as {n}' for n, e in exprs.items())})))")
+    return made.select(*df.columns, *[n for n in exprs if n not in df.columns])
+
+
 def all_formats(df: DataFrame, width: str, height: str) -> DataFrame:
     """Centre, top-left and normalised centre forms, derived from corners."""
     return df.selectExpr(

@@ -674,3 +674,17 @@ def test_pixel_runs_over_words_and_blocks(spark):
     df = spark.createDataFrame(rows + rows[::3], "image_id string, cls int, pos long").repartition(5)
     got = {(r.image_id, r.cls, r.start, r.len) for r in masks.pixel_runs(df, ["image_id", "cls"]).collect()}
     assert got == {(*k, s, n) for k, runs in spans.items() for s, n in runs}
+
+
+def plan_text(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_outlines_are_moved_once(spark):
+    square = "array(struct(10D as x, 10D as y), struct(50D as x, 10D as y), struct(50D as x, 40D as y), struct(10D as x, 40D as y)) as polygon"
+    df = spark.sql(f"select id, 10D as x1, 10D as y1, 50D as x2, 40D as y2, {square}, array(1D, 0D, 5D, 0D, 1D, 0D, 0D, 0D, 1D) as m from range(1)")
+    out = augment.perspective_outlines(df, "640D", "480D")
+    r = out.first()
+    assert (r.x1, r.y1, r.x2, r.y2, [(p.x, p.y) for p in r.polygon]) == (15, 10, 55, 40, [(15, 10), (55, 10), (55, 40), (15, 40)])
+    # the projection, the clamp to the image and the cut stand in the plan once each
+    assert plan_text(out).count("transform(") <= 3

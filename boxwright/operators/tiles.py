@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from boxwright.functions import geometry as G
+from boxwright.operators.boxes import bound
 from boxwright.operators.nms import rotated_nms
 from boxwright.operators.overlap import touch_join
 
@@ -53,12 +55,12 @@ def polygon_area(points: str) -> str:
     return f"abs(aggregate(zip_with({points}, {following}, (a, b) -> a.x * b.y - b.x * a.y), 0D, (s, v) -> s + v)) / 2"
 
 
-def clip_to_tile(points: str = "polygon", tile: str = "r_t") -> str:
-    """Polygon cut to the columns {tile}x1.. of its row: one fold over the four half-planes n.p >= c."""
-    planes = (
-        f"array(struct(1D as nx, 0D as ny, cast({tile}x1 as double) as c), struct(-1D as nx, 0D as ny, cast(-{tile}x2 as double) as c),"
-        f" struct(0D as nx, 1D as ny, cast({tile}y1 as double) as c), struct(0D as nx, -1D as ny, cast(-{tile}y2 as double) as c))"
-    )
+def clip_to_tile(points: str = "polygon", tile: str = "r_t", hull: str | None = None) -> str:
+    """Polygon cut to the columns {tile}x1.. of its row: one fold over the four half-planes n.p >= c, with the prefix of its hull's columns only over those that cut it."""
+    sides = [("x1", "1D", "0D", ""), ("x2", "-1D", "0D", "-"), ("y1", "0D", "1D", ""), ("y2", "0D", "-1D", "-")]
+    cuts = {c: "true" if hull is None else f"{hull}{c} {'<' if sign == '' else '>'} {tile}{c}" for c, _, _, sign in sides}
+    planes = ", ".join(f"struct({nx} as nx, {ny} as ny, cast({sign}{tile}{c} as double) as c, {cuts[c]} as cuts)" for c, nx, ny, sign in sides)
+    planes = f"array({planes})" if hull is None else f"filter(array({planes}), h -> h.cuts)"
     measured = "transform(pts, p -> struct(p.x as x, p.y as y, h.nx * p.x + h.ny * p.y - h.c as d))"
     meet = "struct(a.x + (b.x - a.x) * (a.d / (a.d - b.d)) as x, a.y + (b.y - a.y) * (a.d / (a.d - b.d)) as y)"
     edges = f"transform({measured}, (p, i) -> struct(p as a, struct(pts[(i + 1) % size(pts)].x as x, pts[(i + 1) % size(pts)].y as y, h.nx * pts[(i + 1) % size(pts)].x + h.ny * pts[(i + 1) % size(pts)].y - h.c as d) as b))"
@@ -70,16 +72,21 @@ def clip_to_tile(points: str = "polygon", tile: str = "r_t") -> str:
 
 
 def tiles_with_objects(tiles: DataFrame, objects: DataFrame, min_share: float = 0.7) -> DataFrame:
-    """Objects of each tile: at least ``min_share`` of the polygon lies in it. Hulls meet tiles on a grid, the exact clip decides."""
-    hull = objects.selectExpr("*", *[f"array_{f}(polygon.{a}) as {a}{i}" for i, f in ((1, "min"), (2, "max")) for a in ("x", "y")])
+    """Objects of each tile: at least ``min_share`` of the polygon lies in it. Hulls meet tiles on a grid, the exact clip decides.
+
+    A polygon of n corners winds at most (n - 1) / 2 times round a point, so what a tile holds of it has at most that many times the common area of tile and hull.
+    """
+    ends = {f"{a}{i}": f"array_{f}(polygon.{a})" for i, f in ((1, "min"), (2, "max")) for a in ("x", "y")}
+    hull = bound(bound(objects, polygon="polygon"), **ends, _area=f"greatest({polygon_area('polygon')}, 1e-6D)", _turns="greatest((size(polygon) - 1) div 2, 1)")
     boxes = tiles.selectExpr("*", *[f"cast(t{c} as double) as {c}" for c in ("x1", "y1", "x2", "y2")])
-    met = touch_join(hull, boxes, ["image_id"], cell=512.0)
-    # A hull inside the tile needs no clip; the clip result is bound once, so it is folded once per row.
+    # A hull inside the tile needs no clip; the others need one only where the hull leaves enough room.
     whole = "x1 >= r_tx1 and y1 >= r_ty1 and x2 <= r_tx2 and y2 <= r_ty2"
-    part = f"transform(array({clip_to_tile()}), c -> {polygon_area('c')})[0] / greatest({polygon_area('polygon')}, 1e-6D)"
+    roomy = f"_turns * {G.intersection()} >= {min_share * (1 - 1e-6)!r}D * _area"
+    met = touch_join(hull, boxes, ["image_id"], f"({whole} or {roomy})", cell=512.0)
+    part = f"transform(array({clip_to_tile(hull='')}), c -> {polygon_area('c')})[0] / _area"
     rest = [c for c in objects.columns if c != "image_id"]
     names = [f"r_{c} as {c}" for c in tiles.columns if c != "image_id"]
-    return met.selectExpr("image_id", *rest, *names, f"if({whole}, 1D, {part}) as share").where(f"share >= {min_share}D")
+    return bound(met, share=f"if({whole}, 1D, {part})").selectExpr("image_id", *rest, *names, "share").where(f"share >= {min_share}D")
 
 
 def merge_tiles(det: DataFrame, iou: float = 0.3) -> DataFrame:

@@ -688,3 +688,14 @@ def test_outlines_are_moved_once(spark):
     assert (r.x1, r.y1, r.x2, r.y2, [(p.x, p.y) for p in r.polygon]) == (15, 10, 55, 40, [(15, 10), (55, 10), (55, 40), (15, 40)])
     # the projection, the clamp to the image and the cut stand in the plan once each
     assert plan_text(out).count("transform(") <= 3
+
+
+def test_tiles_with_outlines_that_wind_twice(spark):
+    star = [(0, 0), (4, 0), (4, 4), (0, 4)] * 2
+    rows = [(1, 1, [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)]), (1, 2, [(float(x) + 8, float(y)) for x, y in star]), (1, 3, [(9.0, 0.0), (13.0, 0.0), (13.0, 4.0)])]
+    objects = spark.createDataFrame(rows, "image_id bigint, gt_id bigint, polygon array<struct<x: double, y: double>>")
+    plan = spark.sql("select 1L as image_id, 0L as tx1, 0L as ty1, 11L as tx2, 9L as ty2")
+    out = tiles.tiles_with_objects(plan, objects)
+    assert sorted((r.gt_id, round(r.share, 6)) for r in out.collect()) == [(1, 0.9), (2, 0.75)]
+    # a pair is tested on its hull before the outline is clipped
+    assert "_turns" in plan_text(out)

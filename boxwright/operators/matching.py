@@ -51,7 +51,9 @@ def match_levels(best: DataFrame, levels: Sequence[int] = LEVELS) -> DataFrame:
     # Detections without a truth get a private negative key instead of null, so they spread over tasks.
     keyed = best.selectExpr("*", "coalesce(gt_id, -1 - det_id) as _g")
     flags = [f"cast(coalesce(iou >= {p / 100}D and _f{p} = det_id, false) as int) as tp{p}" for p in levels]
-    return keyed.join(firsts, ["image_id", "_g"], "left").selectExpr(*best.columns, *flags)
+    # A null-safe join infers no filter on one side, so both sides keep one plan and the match is worked out once.
+    other = firsts.withColumnsRenamed({"image_id": "_image", "_g": "_truth"})
+    return keyed.join(other, F.expr("image_id <=> _image and _g <=> _truth"), "left").selectExpr(*best.columns, *flags)
 
 
 def match_predictions(det: DataFrame, gt: DataFrame, levels: Sequence[int] = LEVELS) -> DataFrame:

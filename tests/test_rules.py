@@ -699,3 +699,11 @@ def test_tiles_with_outlines_that_wind_twice(spark):
     assert sorted((r.gt_id, round(r.share, 6)) for r in out.collect()) == [(1, 0.9), (2, 0.75)]
     # a pair is tested on its hull before the outline is clipped
     assert "_turns" in plan_text(out)
+
+
+def test_match_reads_its_pairs_once(spark):
+    d = det(spark, (0.9, (0, 0, 10, 10)), (0.8, (0, 0, 10, 9)))
+    spread = d.union(d.selectExpr("cast(null as bigint) as image_id", "det_id", "cls", "conf", "x1", "y1", "x2", "y2"))
+    out = matching.match_predictions(spread, gt(spark, (0, 0, 10, 10)))
+    assert sorted((r.image_id or 0, r.det_id, r.tp50) for r in out.collect()) == [(0, 0, 0), (0, 1, 0), (1, 0, 1), (1, 1, 0)]
+    assert "isnotnull(image_id" not in plan_text(matching.match_levels(spread.selectExpr("*", "0L as gt_id", "0.5D as iou")))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +13,7 @@ from boxwright.operators.datasets import ranked_quota
 from boxwright.operators.overlap import touch_join
 
 BOX = G.CORNERS
+STITCH_CELLS = 4_000_000  # distances between corners that are held at once
 
 
 def affine_boxes(df: DataFrame, width: str, height: str) -> DataFrame:
@@ -140,17 +141,36 @@ def stitch_parts(parts: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            outlines = [
-                stitch([np.stack([np.asarray(x, float), np.asarray(y, float)], axis=1) for x, y in zip(xs, ys)])
-                for xs, ys in zip(batch["xs"], batch["ys"])
-            ]
-            yield pd.DataFrame({"object_id": batch["object_id"], "xs": [o[:, 0] for o in outlines], "ys": [o[:, 1] for o in outlines]})
-
-    return grouped.mapInPandas(run, "object_id bigint, xs array<double>, ys array<double>")
+            objects, xs, ys = (batch.column(i) for i in range(3))
+            parts = np.diff(np.asarray(xs.offsets))
+            corners = np.diff(np.asarray(xs.flatten().offsets))
+            points = np.stack([np.asarray(c.flatten().flatten().to_numpy(zero_copy_only=False), float) for c in (xs, ys)], axis=1)
+            first_part, first_point = np.cumsum(parts) - parts, np.concatenate([[0], np.cumsum(corners)])
+            # objects whose parts have the same numbers of corners are stitched together
+            alike: dict[tuple[int, ...], list[int]] = {}
+            sizes = corners.tolist()
+            for k, (at, n) in enumerate(zip(first_part.tolist(), parts.tolist())):
+                alike.setdefault(tuple(sizes[at : at + n]), []).append(k)
+            for shape, members in alike.items():
+                step = max(1, STITCH_CELLS // max([a * b for a, b in zip(shape, shape[1:])] + [sum(shape), 1]))
+                for members_now in (members[i : i + step] for i in range(0, len(members), step)):
+                    at = first_point[first_part[members_now]]
+                    outlines = stitch_all([points[(at + shift)[:, None] + np.arange(n)] for n, shift in zip(shape, np.cumsum(shape) - shape)])
+                    count, length = outlines.shape[:2]
+                    offsets = pa.array(np.arange(count + 1, dtype=np.int32) * length, pa.int32())
+                    lists = [pa.ListArray.from_arrays(offsets, pa.array(outlines[:, :, a].ravel(), pa.float64(), from_pandas=True)) for a in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([objects.take(pa.array(members_now)), *lists], ["object_id", "xs", "ys"])
+
+    return grouped.mapInArrow(run, "object_id bigint, xs array<double>, ys array<double>")
 
 
 def stitch(rings: list[np.ndarray]) -> np.ndarray:
-    """One outline through all rings, linked where consecutive rings are nearest.
+    """One outline through all rings of an object."""
+    return stitch_all([ring[None] for ring in rings])[0]
+
+
+def stitch_all(rings: list[np.ndarray]) -> np.ndarray:
+    """For each object one outline through all its rings, linked where consecutive rings are nearest. A ring is an array (object, corner, 2).
 
     The walk goes out through all rings and comes back through those between the first and the last. On the way out it takes such a ring
     from its lower to its higher link, on the way back the rest of it, so the seams are drawn twice and enclose nothing. A ring whose link
@@ -160,20 +180,28 @@ def stitch(rings: list[np.ndarray]) -> np.ndarray:
         return rings[0]
     links = []
     for a, b in zip(rings, rings[1:]):
-        gap = ((a[:, None] - b[None]) ** 2).sum(-1)
-        links.append(np.unravel_index(int(gap.argmin()), gap.shape))
+        gap = ((a[:, :, None] - b[:, None]) ** 2).sum(-1)
+        links.append(np.divmod(gap.reshape(len(gap), -1).argmin(axis=1), b.shape[1]))
+
+    def walked(ring: np.ndarray, first: np.ndarray, turned: np.ndarray | bool = False) -> np.ndarray:
+        """The closed ring from a corner on, the other way round where it is turned."""
+        size = ring.shape[1]
+        corner = (first[:, None] + np.arange(size + 1)) % size
+        corner = np.where(np.asarray(turned).reshape(-1, 1), size - 1 - corner, corner)
+        return np.take_along_axis(ring, corner[:, :, None], axis=1)
 
-    def closed(ring: np.ndarray, first: int) -> np.ndarray:
-        turned = np.roll(ring, -first, axis=0)
-        return np.concatenate([turned, turned[:1]])
+    def whole(ring: np.ndarray) -> np.ndarray:
+        return np.ones((len(ring), ring.shape[1] + 1), bool)
 
-    out, back = [closed(rings[0], links[0][0])], []
+    out, back = [(walked(rings[0], links[0][0]), whole(rings[0]))], []
     for ring, before, after in zip(rings[1:], links, links[1:]):
-        low, high = sorted((before[1], after[0]))
-        walk = closed(ring[::-1] if before[1] > after[0] else ring, low)
-        out.append(walk[: high - low + 1])
-        back.append(walk[high - low :])
-    return np.concatenate([*out, closed(rings[-1], links[-1][1]), *back[::-1]])
+        low, span = np.minimum(before[1], after[0]), np.abs(before[1] - after[0])[:, None]
+        walk, step = walked(ring, low, before[1] > after[0]), np.arange(ring.shape[1] + 1)
+        out.append((walk, step <= span))
+        back.append((walk, step >= span))
+    pieces = [*out, (walked(rings[-1], links[-1][1]), whole(rings[-1])), *back[::-1]]
+    walk, used = (np.concatenate(part, axis=1) for part in zip(*pieces))
+    return walk[used].reshape(len(walk), -1, 2)
 
 
 def projected(points: str, matrix: str = "m", more: str = "") -> str:

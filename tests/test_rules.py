@@ -707,3 +707,16 @@ def test_match_reads_its_pairs_once(spark):
     out = matching.match_predictions(spread, gt(spark, (0, 0, 10, 10)))
     assert sorted((r.image_id or 0, r.det_id, r.tp50) for r in out.collect()) == [(0, 0, 0), (0, 1, 0), (1, 0, 1), (1, 1, 0)]
     assert "isnotnull(image_id" not in plan_text(matching.match_levels(spread.selectExpr("*", "0L as gt_id", "0.5D as iou")))
+
+
+def test_outlines_of_many_objects_are_stitched_together(spark):
+    rng = np.random.default_rng(5)
+    shapes = [(4, 4, 4)] * 6 + [(3,), (3, 5), (4, 3, 6), (5, 3, 4, 3)] * 2
+    objects = [[rng.integers(0, 30, (n, 2)).astype(float) for n in shape] for shape in shapes]
+    rows = [(k, i, ring[:, 0].tolist(), ring[:, 1].tolist()) for k, rings in enumerate(objects) for i, ring in enumerate(rings)]
+    out = augment.stitch_parts(spark.createDataFrame(rows, "object_id bigint, part_no int, xs array<double>, ys array<double>")).collect()
+    assert len(out) == len(objects)
+    for r in out:
+        assert np.array_equal(np.array([r.xs, r.ys]).T, stitch(objects[r.object_id]))
+    together = augment.stitch_all([np.stack([o[i] for o in objects[:6]]) for i in range(3)])
+    assert all(np.array_equal(together[k], stitch(objects[k])) for k in range(6))

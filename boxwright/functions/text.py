@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 _SPLIT = "134217729D"
 
 
@@ -37,6 +41,24 @@ def general_list(values: str) -> str:
     )
 
 
+def general_texts(df: DataFrame, values: str, name: str) -> DataFrame:
+    """Adds the numbers of an array as text: ``general_list`` joined by spaces.
+
+    Lists of plain numbers are written in batches by C's own rule; one with a null, a NaN or a number that asks for an exponent goes the other way.
+    """
+
+    @F.pandas_udf("string")
+    def written(rows: pd.Series) -> pd.Series:
+        return pd.Series([None if r is None else " ".join(["%g"] * len(r)) % tuple((r + 0.0).tolist()) for r in rows], dtype=object)
+
+    from boxwright.operators.boxes import bound
+
+    listed = bound(df, _values=values)
+    odd = "exists(_values, v -> v is null or isnan(v) or abs(v) >= 999999D or (v <> 0 and abs(v) < 0.0002D))"
+    plain = written(F.expr(f"if({odd}, null, _values)")).alias("_plain")
+    return listed.select("*", plain).selectExpr(*df.columns, f"coalesce(_plain, array_join({general_list('_values')}, ' ')) as {name}")
+
+
 def general(v: str) -> str:
     return f"{general_list(f'array({v})')}[0]"
 

@@ -720,3 +720,14 @@ def test_outlines_of_many_objects_are_stitched_together(spark):
         assert np.array_equal(np.array([r.xs, r.ys]).T, stitch(objects[r.object_id]))
     together = augment.stitch_all([np.stack([o[i] for o in objects[:6]]) for i in range(3)])
     assert all(np.array_equal(together[k], stitch(objects[k])) for k in range(6))
+
+
+def test_oriented_lines_equal_the_row_by_row_text(spark):
+    from boxwright.functions.text import general_list, general_texts
+
+    values = [[0.5, -0.0, 123456.5, 0.1234565, 999998.7], [1e-5, 2.0], [float("nan"), 1.0], [None, 3.25], [-0.000199, 7.5], [1e7], []]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, v array<double>")
+    both = general_texts(df.selectExpr("*", f"array_join({general_list('v')}, ' ') as old"), "v", "new").collect()
+    assert all(r.old == r.new for r in both)
+    line = exports.oriented_lines(spark.sql("select 3 as cls, 0.25D as conf, 320D as cx, 240D as cy, 64D as w, 48D as h, 0D as r"), "640", "480", conf=True)
+    assert line.first().line == line.selectExpr(f"{exports.oriented_line('640', '480', conf=True)} as l").first().l

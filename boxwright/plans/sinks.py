@@ -38,7 +38,7 @@ _CORNERS = [f"(c{a} {s} w / 2 * {u} {t} h / 2 * {v}) / {n}" for s, t in (("+", "
 @query("snk_01_oriented_export", f"WITH rot AS ({V_ROT}) SELECT image_id, det_id, cls || ' ' || {g(*_CORNERS, 'conf')} AS line FROM rot")
 def oriented_export(spark: SparkSession, d: str) -> DataFrame:
     """Corners of rotated boxes with confidence."""
-    return v_rot(spark, d).selectExpr("image_id", "det_id", f"{exports.oriented_line('640', '480', conf=True)} as line")
+    return exports.oriented_lines(v_rot(spark, d), "640", "480", conf=True).select("image_id", "det_id", "line")
 
 
 @query("snk_01_pose_export", f"""

@@ -119,7 +119,10 @@ def counts_text(counts: str = "counts") -> str:
     steps = f"transform({counts}, (c, i) -> if(i > 2, c - {counts}[i - 2], c))"
     groups = "ceil((1 + if(d in (0, -1), 0, length(bin(if(d < 0, -d - 1, d))))) / 5D)"
     digits = "transform(sequence(1, cast(n as int)), g -> chr(48 + (shiftright(d, 5 * (g - 1)) & 31) + if(g < n, 32, 0)))"
-    return f"array_join(flatten(transform({steps}, d -> transform(array({groups}), n -> array_join({digits}, '')))), '')"
+    # most differences take one or two groups, which need no list of digits
+    one, two = "chr(48 + (d & 31))", "concat(chr(80 + (d & 31)), chr(48 + (shiftright(d, 5) & 31)))"
+    many = f"array_join(transform(array({groups}), n -> array_join({digits}, '')), '')"
+    return f"array_join(transform({steps}, d -> case when d between -16 and 15 then {one} when d between -512 and 511 then {two} else {many} end), '')"
 
 
 def run_length_text(runs: DataFrame, keys: list[str], total: int) -> DataFrame:
@@ -127,7 +130,9 @@ def run_length_text(runs: DataFrame, keys: list[str], total: int) -> DataFrame:
 
     A mask has at most ``total`` positions, which bounds the collected runs.
     """
-    lists = runs.groupBy(*keys).agg(F.expr("array_sort(collect_list(struct(start, len))) as r"))
+    # packed masks have their runs in a list, so one row of a mask moves
+    held = "flatten(collect_list(runs))" if "runs" in runs.columns else "collect_list(struct(start, len))"
+    lists = runs.groupBy(*keys).agg(F.expr(f"array_sort({held}) as r"))
     gaps = "transform(r, (x, i) -> array(if(i = 0, x.start, x.start - r[i - 1].start - r[i - 1].len), x.len))"
     counted = lists.selectExpr(*keys, f"concat(flatten({gaps}), filter(array({total} - element_at(r, -1).start - element_at(r, -1).len), v -> v > 0)) as counts")
 
@@ -141,8 +146,10 @@ def overlap_index(runs: DataFrame, areas: DataFrame, height: int) -> DataFrame:
     """
     spans = runs.join(areas, ["image_id", "mask_id"]).selectExpr("image_id", f"start div {height} as col", "start as s", "start + len as e", "area", "mask_id")
     distinct = spans.groupBy("image_id", "col", "s", "e").agg(F.expr("max(struct(-area as k, mask_id)) as top"))
-    cuts = distinct.selectExpr("image_id", "col", "explode(array(s, e)) as p").distinct().selectExpr(
-        "image_id", "col", "p as s0", "lead(p) over (partition by image_id, col order by p) as e0"
-    ).where("e0 is not null")
-    pieces = cuts.join(distinct, ["image_id", "col"]).where("s <= s0 and e >= e0")
-    return pieces.groupBy("image_id", "col", "s0", "e0").agg(F.expr("max(top) as t")).selectExpr("image_id", "col", "s0", "e0", "t.mask_id as mask_id")
+    # a column holds no more than height * (height + 1) / 2 different runs, so its list is bounded
+    listed = distinct.groupBy("image_id", "col").agg(F.expr("collect_list(struct(s, e, top)) as runs")).selectExpr(
+        "image_id", "col", "inline(array(struct(runs, array_sort(array_distinct(concat(runs.s, runs.e))) as cuts)))"
+    )
+    over = "filter(runs, r -> r.s <= c and r.e >= cuts[i + 1])"
+    pieces = f"transform(slice(cuts, 1, size(cuts) - 1), (c, i) -> struct(c as s0, cuts[i + 1] as e0, array_max({over}.top).mask_id as mask_id))"
+    return listed.selectExpr("image_id", "col", f"inline(filter({pieces}, p -> p.mask_id is not null))")

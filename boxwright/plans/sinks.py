@@ -93,7 +93,7 @@ def pose_predictions(spark: SparkSession, d: str) -> DataFrame:
 def mask_predictions(spark: SparkSession, d: str) -> DataFrame:
     """Prediction rows with run-length masks on an 80 x 60 grid."""
     det = v_det(spark, d)
-    runs = K.box_runs(det.drop("conf", "cls"), "det_id", 80, 60, 8)
+    runs = K.box_masks(det.drop("conf", "cls"), "det_id", 80, 60, 8)
     coded = K.run_length_text(runs, ["image_id", "det_id"], 80 * 60).selectExpr("image_id", "det_id", "struct(array(60, 80) as size, rle as counts) as segmentation")
     made = exports.prediction_rows(det.join(coded, ["image_id", "det_id"]), "cast(image_id as string)", "cls + 1")
     return made.selectExpr("det_id", "image_id", "category_id", "score", "segmentation.size as size", "segmentation.counts as counts")

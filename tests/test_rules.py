@@ -709,6 +709,38 @@ def test_match_reads_its_pairs_once(spark):
     assert "isnotnull(image_id" not in plan_text(matching.match_levels(spread.selectExpr("*", "0L as gt_id", "0.5D as iou")))
 
 
+def test_overlap_index_of_nested_masks(spark):
+    runs = spark.createDataFrame([(1, 1, 0, 8), (1, 2, 2, 3), (1, 3, 2, 3), (1, 4, 7, 0), (1, 1, 10, 5)], "image_id bigint, mask_id bigint, start bigint, len bigint")
+    shown = masks.overlap_index(runs, masks.mask_areas(runs, "image_id", "mask_id"), 10)
+    got = sorted((r.col, r.s0, r.e0, r.mask_id) for r in shown.collect())
+    assert [g for g in got if g[1] < g[2]] == [(0, 0, 2, 1), (0, 2, 5, 3), (0, 5, 7, 1), (0, 7, 8, 1), (1, 10, 15, 1)]
+    assert plan_text(shown).count("Join") == 1
+
+
+def test_packed_masks_have_the_text_of_their_runs(spark):
+    boxes_ = spark.createDataFrame([(1, 1, 0.0, 0.0, 40.0, 30.0), (1, 2, 8.0, 100.0, 639.0, 479.0)], "image_id bigint, det_id bigint, x1 double, y1 double, x2 double, y2 double")
+    one = masks.run_length_text(masks.box_runs(boxes_, "det_id", 80, 60, 8), ["image_id", "det_id"], 4800)
+    two = masks.run_length_text(masks.box_masks(boxes_, "det_id", 80, 60, 8), ["image_id", "det_id"], 4800)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+
+
+def test_short_counts_text(spark):
+    counts = [0, 15, 16, 31, 526, 543, 1055, 0, 5000, 70000, 3]
+    steps = [c - counts[i - 2] if i > 2 else c for i, c in enumerate(counts)]
+
+    def text(d):
+        out = ""
+        while True:
+            low, d = d & 31, d >> 5
+            more = not (d == 0 and not low & 16 or d == -1 and low & 16)
+            out += chr(48 + low + 32 * more)
+            if not more:
+                return out
+
+    got = spark.createDataFrame([(counts,)], "counts array<bigint>").selectExpr(f"{masks.counts_text()} as t").first().t
+    assert got == "".join(map(text, steps))
+
+
 def test_outlines_of_many_objects_are_stitched_together(spark):
     rng = np.random.default_rng(5)
     shapes = [(4, 4, 4)] * 6 + [(3,), (3, 5), (4, 3, 6), (5, 3, 4, 3)] * 2

@@ -9,6 +9,7 @@ from boxwright.plans.bridge import table, v_det, v_gt, v_image, v_track
 from boxwright.plans.projections import rounded
 from boxwright.plans.registry import query
 from boxwright.sinks.exports import box_line
+from boxwright.session import materialize
 from boxwright.sources import formats, labels_text, media
 
 XYWH = ("x", "y", "w", "h")
@@ -83,12 +84,14 @@ def coco_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     ann = f"""struct(det_id as id, image_id, cls * 3 + 1 as category_id, {box} as bbox, if(det_id % 13 = 0, 1, 0) as iscrowd,
         if(det_id % 6 = 0, null, array(x1, y1, 2D)) as keypoints, array(array(x1, y1, x2, y1, x2, y2)) as segmentation)"""
     copies = f"if(det_id % 9 = 0, array({ann}, {ann}), array({ann}))"
-    chunks = chunked(v_det(spark, d), "image_id", "det_id").join(v_image(spark, d), "image_id")
+    chunks = chunked(v_det(spark, d).join(v_image(spark, d), "image_id"), "image_id", "det_id")
     documents = chunks.groupBy("image_id", "width", "height", "chunk").agg(F.expr(f"flatten(collect_list({copies})) as annotations")).selectExpr(
         "concat(image_id, '-', chunk.salt, '-', chunk.n, '.json') as doc",
         "to_json(struct(array(struct(image_id as id, width, height, concat(image_id, '.jpg') as file_name)) as images, annotations)) as line",
     )
-    return formats.coco_rows(documents.selectExpr("doc", f"from_json(line, '{formats.COCO_SCHEMA}') as r").selectExpr("doc", "r.*"))
+    parsed = documents.selectExpr("doc", f"from_json(line, '{formats.COCO_SCHEMA}') as r").selectExpr("doc", "r.*")
+    # Images, annotations and classes are read from the same documents, so those are made and parsed once.
+    return formats.coco_rows(materialize(parsed))
 
 
 _COCO = f"""

@@ -763,3 +763,13 @@ def test_oriented_lines_equal_the_row_by_row_text(spark):
     assert all(r.old == r.new for r in both)
     line = exports.oriented_lines(spark.sql("select 3 as cls, 0.25D as conf, 320D as cx, 240D as cy, 64D as w, 48D as h, 0D as r"), "640", "480", conf=True)
     assert line.first().line == line.selectExpr(f"{exports.oriented_line('640', '480', conf=True)} as l").first().l
+
+
+def test_documents_are_parsed_once(spark, tmp_path):
+    from boxwright.plans import sources
+
+    spark.sql("select 10L * id as l_orderkey, id as l_partkey, id as l_suppkey, cast(id % 7 as int) as l_linenumber, 5D as l_quantity, 10D as l_extendedprice from range(1, 60)").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.sql("select 10L * id as o_orderkey, 'x' as o_orderpriority from range(1, 60)").write.parquet(str(tmp_path / "orders.parquet"))
+    images, anns = sources.coco_tables(spark, str(tmp_path))
+    assert images.select("id").distinct().count() == 59 and anns.select("id").distinct().count() == 59
+    assert "from_json" not in plan_text(anns) and "from_json" not in plan_text(images)

@@ -85,13 +85,16 @@ def _solved(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     def places(u: pd.Series, v: pd.Series, score: pd.Series) -> pd.Series:
         out = []
         for a, b, s in zip(u, v, score, strict=True):
-            alone = len(a) == 1 or len(set(a)) == len(set(b)) == len(a)
-            out.append(np.flatnonzero(s > SCORE).tolist() if alone else solve_pairs(a, b, s))
+            out.append(None if a is None else solve_pairs(a, b, s))
         return pd.Series(out)
 
     packed = pairs.groupBy(*keys).agg(F.collect_list(F.struct(*pairs.columns)).alias("_rows"))
-    at = places(*[F.col(f"_rows.{c}") for c in ("u", "v", "score")])
-    return packed.select("_rows", at.alias("_at")).selectExpr("inline(transform(_at, i -> _rows[i]))")
+    # Where no two pairs share an end there is nothing to choose; such a group is not sent to Python.
+    ends = [f"size(array_distinct(_rows.{c})) = size(_rows)" for c in ("u", "v")]
+    marked = packed.selectExpr("_rows", f"size(_rows) = 1 or {' and '.join(ends)} as _free")
+    at = places(*[F.expr(f"if(_free, null, _rows.{c})") for c in ("u", "v", "score")])
+    chosen = f"if(_free, filter(_rows, r -> r.score > {SCORE}D and not isnan(r.score)), transform(_at, i -> _rows[i]))"
+    return marked.select("_rows", "_free", at.alias("_at")).selectExpr(f"inline({chosen})")
 
 
 def bid(pairs: DataFrame, keys: Sequence[str], least: float) -> DataFrame:
@@ -137,7 +140,8 @@ def best_pairs(pairs: DataFrame, keys: Sequence[str], small: int = SMALL, least:
 
     Exact up to components of ``small`` pairs; larger components come within ``least`` for each of their ends.
     """
-    keys, rows = list(keys), pairs.select(*keys, "u", "v", "score")
+    # Pairs often come out of a join, which is not to run once more for the sizes of the groups.
+    keys, rows = list(keys), materialize(pairs.select(*keys, "u", "v", "score"))
     large = large_groups(rows, keys, small)
     if large is None:
         return _solved(rows, keys)

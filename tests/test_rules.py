@@ -754,6 +754,21 @@ def test_outlines_of_many_objects_are_stitched_together(spark):
     assert all(np.array_equal(together[k], stitch(objects[k])) for k in range(6))
 
 
+def test_pairs_are_solved_from_one_reading(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    rows = [(1, 1, 1, 0.9), (1, 2, 2, 0.8), (2, 1, 1, 0.9), (2, 1, 2, 0.8), (2, 2, 1, 0.85), (3, 1, 1, 0.0)]
+    schema = "image_id bigint, u bigint, v bigint, score double"
+    pairs = spark.createDataFrame(rows, schema).mapInPandas(counted, schema)
+    assert sorted(map(tuple, best_pairs(pairs, ["image_id"]).collect())) == [(1, 1, 1, 0.9), (1, 2, 2, 0.8), (2, 1, 2, 0.8), (2, 2, 1, 0.85)]
+    assert seen.value == len(rows)
+
+
 def test_oriented_lines_equal_the_row_by_row_text(spark):
     from boxwright.functions.text import general_list, general_texts
 

@@ -44,28 +44,43 @@ def _kept_places(limit: float):
 
     @F.pandas_udf("array<int>")
     def places(conf: pd.Series, det_id: pd.Series, x1: pd.Series, y1: pd.Series, x2: pd.Series, y2: pd.Series) -> pd.Series:
-        out = []
-        for c, d, *corners in zip(conf, det_id, x1, y1, x2, y2, strict=True):
-            if len(c) == 1:
-                out.append([0])
-                continue
-            left = np.lexsort([d, -c])
-            a, b, e, f = corners
-            area, stay = (e - a) * (f - b), []
-            while len(left):
-                i, left = left[0], left[1:]
-                stay.append(i)
-                if len(left):
-                    wide = np.minimum(e[i], e[left]) - np.maximum(a[i], a[left])
-                    high = np.minimum(f[i], f[left]) - np.maximum(b[i], b[left])
-                    shared = np.where((wide > 0) & (high > 0), wide * high, 0.0)
-                    left = left[~(shared / (area[i] + area[left] - shared) > limit)]
-            out.append(stay)
+        out: list = [None] * len(conf)
+        # lists with a null id come as floats; they stay apart, so that the other ids keep all their digits
+        for whole in (True, False):
+            picked = [k for k, d in enumerate(det_id) if (d.dtype.kind in "iu") == whole]
+            if picked:
+                stay = kept_places(*[[column.iat[k] for k in picked] for column in (conf, det_id, x1, y1, x2, y2)], limit)
+                for k, found in zip(picked, stay, strict=True):
+                    out[k] = found
         return pd.Series(out)
 
     return places
 
 
+def kept_places(conf: list, det_id: list, x1: list, y1: list, x2: list, y2: list, limit: float) -> list[np.ndarray]:
+    """Places of the boxes that greedy suppression keeps in each group (a list of arrays a column, an array a group).
+
+    All groups go together: in a round the first box left of every group stays, and what it overlaps goes.
+    """
+    sizes = np.array([len(c) for c in conf])
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort([np.concatenate(det_id), -np.concatenate(conf), group])
+    a, b, e, f = (np.concatenate(c)[order] for c in (x1, y1, x2, y2))
+    area, left, stay = (e - a) * (f - b), np.arange(len(order)), []
+    while len(left):
+        new = np.append(True, group[left[1:]] != group[left[:-1]])
+        heads = left[new]
+        stay.append(heads)
+        i, left = heads[np.cumsum(new) - 1][~new], left[~new]
+        wide = np.minimum(e[i], e[left]) - np.maximum(a[i], a[left])
+        high = np.minimum(f[i], f[left]) - np.maximum(b[i], b[left])
+        shared = np.where((wide > 0) & (high > 0), wide * high, 0.0)
+        left = left[~(shared / (area[i] + area[left] - shared) > limit)]
+    kept = np.sort(np.concatenate(stay))
+    first = np.cumsum(sizes) - sizes
+    return np.split((order[kept] - first[group[kept]]).astype(np.int32), np.cumsum(np.bincount(group[kept], minlength=len(sizes)))[:-1])
+
+
 def folded(boxes: DataFrame, iou: float, keys: Sequence[str]) -> DataFrame:
     """Greedy suppression of groups that are small enough for one row each."""
     packed = boxes.groupBy(*keys).agg(F.collect_list(F.struct(*boxes.columns)).alias("_rows"))

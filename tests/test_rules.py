@@ -754,6 +754,26 @@ def test_outlines_of_many_objects_are_stitched_together(spark):
     assert all(np.array_equal(together[k], stitch(objects[k])) for k in range(6))
 
 
+def test_greedy_of_many_groups_at_once():
+    rng = np.random.default_rng(3)
+    groups = []
+    for n in (1, 2, 7, 40, 3):
+        low = rng.integers(0, 20, (n, 2)).astype(float)
+        high = low + rng.integers(1, 12, (n, 2))
+        groups.append((rng.integers(0, 4, n) / 4, rng.permutation(n).astype(np.int64), low[:, 0], low[:, 1], high[:, 0], high[:, 1]))
+    got = nms.kept_places(*map(list, zip(*groups)), 0.3)
+    for (c, d, *corners), places in zip(groups, got):
+        a, b, e, f = corners
+        stay = []
+        for i in sorted(range(len(c)), key=lambda i: (-c[i], d[i])):
+            def iou(j):
+                shared = max(min(e[i], e[j]) - max(a[i], a[j]), 0) * max(min(f[i], f[j]) - max(b[i], b[j]), 0)
+                return shared / ((e[i] - a[i]) * (f[i] - b[i]) + (e[j] - a[j]) * (f[j] - b[j]) - shared)
+            if all(iou(j) <= 0.3 for j in stay):
+                stay.append(i)
+        assert places.tolist() == stay
+
+
 def test_pairs_are_solved_from_one_reading(spark):
     seen = spark.sparkContext.accumulator(0)
 

@@ -6,6 +6,8 @@ its key leaves as a row of kind LATE, and what comes behind the horizon of its s
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,8 @@ EVENTS = "stream_id bigint, track_id bigint, frame_no bigint, kind string, value
 ALARMS = "stream_id bigint, frame bigint, total bigint"
 TTL_MS = 7 * 24 * 3600 * 1000
 IDLE_MS = 3600 * 1000
+FRAMES = 256  # frames that share a state row
+NULL_KEY = "(-9223372036854775807L)"
 
 
 def _keyed(obs: DataFrame, keys, processor, schema: str) -> DataFrame:
@@ -117,25 +121,38 @@ def live_speed_reps(
 def full_frames(obs: DataFrame, records: int, ttl_ms: int = TTL_MS) -> DataFrame:
     """(stream_id, frame, total) the first time a frame holds ``records`` objects; the once-only flag is in the frame's state.
 
-    The key is the frame, not the stream, so a busy stream is spread over tasks.
+    The key is a block of frames, not the stream, so a busy stream is spread over tasks, and a block's state is read and written once a batch.
+    A frame is forgotten ``ttl_ms`` after its last row.
     """
     from pyspark.sql.streaming import StatefulProcessor
 
     class Frame(StatefulProcessor):
         def init(self, handle) -> None:
-            self.seen = handle.getValueState("seen", "n bigint, sent boolean", ttl_ms)
+            self.seen = handle.getValueState("seen", "frames array<bigint>, n array<bigint>, sent array<boolean>, at array<bigint>", ttl_ms)
 
         def handleInputRows(self, key, rows, timers):
-            n, sent = self.seen.get() if self.seen.exists() else (0, False)
-            n += sum(len(batch) for batch in rows)
-            fire = n >= records and not sent
-            self.seen.update((n, sent or fire))
-            yield pd.DataFrame([(int(key[0]), int(key[1]), n)] if fire else [], columns=["stream_id", "frame", "total"])
+            now, fired = timers.getCurrentProcessingTimeInMs(), []
+            held = zip(*self.seen.get()) if self.seen.exists() else ()
+            seen = {frame: (n, sent, at) for frame, n, sent, at in held if now - at < ttl_ms}
+            counts: Counter = Counter()
+            for batch in rows:
+                counts.update(batch["frame"].tolist())
+            for frame, more in counts.items():
+                n, sent, _ = seen.get(frame, (0, False, now))
+                if n + more >= records and not sent:
+                    fired.append((int(key[0]), frame, n + more))
+                    sent = True
+                seen[frame] = (n + more, sent, now)
+            self.seen.update((list(seen), *(list(column) for column in zip(*seen.values()))))
+            yield pd.DataFrame(fired, columns=["stream_id", "frame", "total"])
 
         def close(self) -> None:
             pass
 
-    return _keyed(obs.select("stream_id", "frame"), ["stream_id", "frame"], Frame(), ALARMS)
+    # The keys of a batch are told apart as numbers, which null is not: it travels as a number of its own.
+    rows = obs.selectExpr(*[f"coalesce({c}, {NULL_KEY}) as {c}" for c in ("stream_id", "frame")]).selectExpr("*", f"frame div {FRAMES} as block")
+    fired = _keyed(rows, ["stream_id", "block"], Frame(), ALARMS)
+    return fired.selectExpr(*[f"nullif({c}, {NULL_KEY}) as {c}" for c in ("stream_id", "frame")], "total")
 
 
 def alarm_once(obs: DataFrame, records: int, base: str) -> None:

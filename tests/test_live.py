@@ -120,3 +120,16 @@ def test_listener_rows_and_hooks(spark, feed, tmp_path):
     spark.streams.removeListener(listener)
     by_event = {r.event: r for r in listener.table(spark).collect()}
     assert set(by_event) == {"started", "progress", "ended"} and by_event["progress"].rows == 2 and 2 in seen
+
+
+def test_alarm_counts_frames_of_no_stream_apart(spark, feed, tmp_path):
+    """Rows without a stream or a frame stand between those of others; frames of two blocks and two batches keep their own counts."""
+
+    def run(stream, out):
+        live.alarm_once(stream, 3, out)
+
+    none = [(None, 1, 1, None, 0.0, 50.0, 120.0)] * 2
+    feed([*[obs(10)] * 2, *none, *[obs(10, stream=1)] * 2, *[obs(9000, stream=2)] * 2], run)
+    feed([obs(10), *[obs(9000, stream=2)] * 2, obs(20, stream=1)], run)
+    sent = spark.read.schema(live.ALARMS).option("recursiveFileLookup", True).parquet(str(tmp_path / "out" / "alarms"))
+    assert sorted(map(tuple, sent.collect())) == [(0, 1, 3), (2, 900, 4)]

@@ -55,7 +55,7 @@ def op3(spark: SparkSession, d: str) -> DataFrame:
 @query("op4_suffix_tree")
 def op4(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text", (crc_of_id(F.col("doc_id")) % 7 == 2).alias("held_out"))
-    return suffix_tree.score(docs, docs.where("not held_out")).select(
+    return suffix_tree.score(docs, ~F.col("held_out"), keep=("doc_id", "held_out")).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
 

@@ -49,3 +49,20 @@ def test_rare_contexts_are_kept_and_scores_are_exact(spark):
     for sent in (0, 1 << 20):
         got = {r.doc_id: r.score for r in suffix_tree.score(both, learnt, sent=sent).select("doc_id", F.col("score")).collect()}
         assert [got[i] for i in range(len(texts))] == pytest.approx(want, rel=1e-9)
+
+
+def test_texts_are_read_once_and_windows_of_one_state_are_one_entry(spark):
+    """A test on the documents in place of training texts, the named columns alone, and fewer rows to send than windows."""
+    rows = [(i, f"{'the cat sat ' * 30}abc{i} x{i * 7919}\x00", i % 3 > 0) for i in range(60)] + [(60, None, True), (61, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, learn boolean")
+    want = plain_scores([t or "" for _, t, learn in rows if learn], [t or "" for _, t, _ in rows])
+    for sent in (0, 100, 1 << 20):
+        out = suffix_tree.score(docs, F.col("learn"), sent=sent, keep=("doc_id",))
+        assert out.columns == ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+        got = {r.doc_id: r.score for r in out.collect()}
+        assert [got[i] for i in range(len(rows))] == pytest.approx(want, rel=1e-9)
+    counts = suffix_tree.count_windows(docs.select("text", F.coalesce(F.col("learn").cast("int"), F.lit(0)).alias("n"), F.lit(1).alias("m")).na.fill(""))
+    found = suffix_tree.states(counts)
+    keys, _, least = suffix_tree.frequent_entries(found, 1 << 20)
+    assert least == 0 and len(set(keys)) == len(keys) == found.where("first").count() < found.count()
+    assert found.where("first").agg(F.sum("met")).first()[0] == counts.agg(F.sum("m")).first()[0] == sum(len(t or "") + 1 for _, t, _ in rows)

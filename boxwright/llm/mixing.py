@@ -55,9 +55,9 @@ def invert_demand(share: F.Column, start: F.Column, end: F.Column) -> F.Column:
 
 def mix(
     docs: DataFrame, weights: Sequence[float] = (5, 2, 1), ramps: Sequence[tuple[float, float]] = RAMPS, multiple: float = 3.0,
-    share: float = 1.0, size: F.Column | None = None, order: F.Column | None = None,
+    share: float = 1.0, size: F.Column | None = None, order: F.Column | None = None, ordered: bool = True,
 ) -> DataFrame:
-    """Documents with size, source_size, target, copies, taken and positions, range-sorted by first position.
+    """Documents with size, source_size, target, copies, taken and positions, range-sorted by first position if ``ordered``.
 
     ``positions`` holds one training position per copy; documents not taken have none and come last. A copy is taken when
     the middle of its interval lies below the demand, so a source misses its target by half a document at most.
@@ -93,9 +93,10 @@ def mix(
         "positions": F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1), when)).otherwise(none),
     })
     first = F.when(F.col("copies") > 0, F.col("positions")[0]).otherwise(1 + F.col("_start") / whole)
-    return out.withColumn("_first", first).orderBy("_first", "_hash").drop("_key", "_part", "_hash", "_before", "_start", "_first", "ramp_start", "ramp_end")
+    out = out.withColumn("_first", first)
+    return (out.orderBy("_first", "_hash") if ordered else out).drop("_key", "_part", "_hash", "_before", "_start", "_first", "ramp_start", "ramp_end")
 
 
 def copies(mixed: DataFrame) -> DataFrame:
-    """One row per copy in training order, with its position."""
+    """One row per copy in training order, with its position; the mix need not be ordered."""
     return mixed.withColumn("position", F.explode("positions")).orderBy("position")

@@ -91,7 +91,8 @@ def links(prints: DataFrame, radius: int = 3) -> DataFrame:
         # after the rotation the chain's first n segments are the lowest bits; widths differ by one at most, so take the exact width per start
         widths = " ".join(f"when {i} then {sum(ring[(i + j) % m][1] for j in range(n))}" for i in range(m))
         tests.append(f"bit_count({chain} & (shiftleft(1L, case l.at {widths} end) - 1)) <= {n * radius // m}")
-    pairs = left.alias("l").join(right.alias("r"), F.expr(" and ".join(tests)))
+    # by a shuffle always: a print makes up to m + 64 rows on the right, which no plan knows, so its few bytes would be broadcast as many
+    pairs = left.alias("l").join(right.alias("r").hint("merge"), F.expr(" and ".join(tests)))
     return pairs.selectExpr("least(u, v) as u", "greatest(u, v) as v").distinct()
 
 

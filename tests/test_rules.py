@@ -651,6 +651,34 @@ def test_similarity_in_tiles_of_any_vectors(spark):
     assert search.met_in_tiles(side.limit(0), side.limit(0), 1.0).count() == 0
 
 
+def test_wide_similarity_moves_few_copies(spark, monkeypatch):
+    """A cell that pivots cannot split: its vectors are not written again, left rows move once and right rows to few tiles; results are whole."""
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(300, 5))
+    df = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    v = v.astype("f4").astype(float)
+    written, moved = [], []
+    write, arrow = search.materialize, type(df).mapInArrow
+    monkeypatch.setattr(search, "materialize", lambda x: written.append(x.count() if "v" in x.columns else 0) or write(x))
+    monkeypatch.setattr(type(df), "mapInArrow", lambda x, *a: moved.append(x.count()) or arrow(x, *a))
+    monkeypatch.setattr(search, "HELD", 2000)
+    met = search.met_in_tiles
+    monkeypatch.setattr(search, "met_in_tiles", lambda *a, **b: met(*a, **b, block=10))
+    gap = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2))
+    np.fill_diagonal(gap, np.inf)
+    lists = search.similarity_lists(df, 2.5, 4, leaf=30).collect()
+    assert len(lists) == 300
+    for r in lists:
+        near = [j for j in np.lexsort([np.arange(300), gap[r.vec_id].round(9)]) if gap[r.vec_id][j] < 2.5]
+        assert list(r.similar) == near[:4]
+    counts = search.similarity_counts(df, 2.5, 4, leaf=30).collect()
+    assert len(counts) == 300
+    for r in counts:
+        near = gap[r.vec_id][gap[r.vec_id] < 2.5]
+        assert r.n_similar == min(len(near), 4) and r.nearest_dist == (pytest.approx(near.min()) if len(near) else None)
+    assert sum(written) == 2 * 300 and len(moved) == 2 and max(moved) <= 300 * (1 + search.TILES)
+
+
 def test_packed_masks_meet_as_their_runs_do(spark):
     """Packed masks overlap as single runs do: across tiles of columns, with repeated ids and empty boxes, in fewer rows."""
     rng = random.Random(4)

@@ -679,6 +679,15 @@ def test_wide_similarity_moves_few_copies(spark, monkeypatch):
     assert sum(written) == 2 * 300 and len(moved) == 2 and max(moved) <= 300 * (1 + search.TILES)
 
 
+def test_totals_stop_at_enough(spark):
+    """With ``enough`` a row's weights are counted to that number at least, its least distance stays exact."""
+    v = np.random.default_rng(2).normal(size=(200, 4))
+    side = spark.createDataFrame([(0, i, 1, [float(y) for y in x]) for i, x in enumerate(v)], "cell long, rep long, n long, v array<double>")
+    whole = {r.rep: r for r in search.met_in_tiles(side, side, 3.0, totals=True).collect()}
+    few = {r.rep: r for r in search.met_in_tiles(side, side, 3.0, totals=True, enough=3, block=20).collect()}
+    assert whole.keys() == few.keys() and all(min(few[i].near, 3) == min(r.near, 3) and few[i].best == r.best for i, r in whole.items())
+
+
 def test_packed_masks_meet_as_their_runs_do(spark):
     """Packed masks overlap as single runs do: across tiles of columns, with repeated ids and empty boxes, in fewer rows."""
     rng = random.Random(4)
@@ -708,6 +717,10 @@ def plan_text(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_outlines_are_moved_once(spark):
     square = "array(struct(10D as x, 10D as y), struct(50D as x, 10D as y), struct(50D as x, 40D as y), struct(10D as x, 40D as y)) as polygon"
     df = spark.sql(f"select id, 10D as x1, 10D as y1, 50D as x2, 40D as y2, {square}, array(1D, 0D, 5D, 0D, 1D, 0D, 0D, 0D, 1D) as m from range(1)")

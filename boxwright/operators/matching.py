@@ -7,7 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxwright.operators.overlap import distinct_boxes, iou_join
+from boxwright.functions import geometry as G
+from boxwright.operators.groups import of_groups
+from boxwright.operators.overlap import DENSE, distinct_boxes, iou_join, prefixed
+from boxwright.session import materialize
 
 # The ten overlap levels, in percent.
 LEVELS = (50, 55, 60, 65, 70, 75, 80, 85, 90, 95)
@@ -56,9 +59,29 @@ def match_levels(best: DataFrame, levels: Sequence[int] = LEVELS) -> DataFrame:
     return keyed.join(other, F.expr("image_id <=> _image and _g <=> _truth"), "left").selectExpr(*best.columns, *flags)
 
 
+IMAGE = 4096  # detections of an image that meet its truths in one task
+
+
+def match_images(det: DataFrame, gt: DataFrame, levels: Sequence[int] = LEVELS) -> DataFrame:
+    """``match_levels`` of ``best_truth`` inside (image_id, cls), image by image: each box moves once and all steps share that exchange."""
+    truth = prefixed(distinct_boxes(gt.repartition("image_id"), ["image_id", "cls"], "gt_id"), [])
+    # the classes' test is no join key, so that both sides are dealt by their image alone
+    test = f"image_id = r_image_id and cls >= r_cls and cls <= r_cls and {G.iou()} >= {min(levels) / 100}D"
+    best = pick_best_truth(det.join(truth, F.expr(test), "left").selectExpr(*det.columns, "r_gt_id", f"{G.iou()} as iou"), det.columns)
+    same = "partition by image_id, coalesce(gt_id, -1 - det_id)"
+    firsts = [f"min(case when gt_id is not null and iou >= {p / 100}D then det_id end) over ({same}) as _f{p}" for p in levels]
+    flags = [f"cast(coalesce(iou >= {p / 100}D and _f{p} = det_id, false) as int) as tp{p}" for p in levels]
+    return best.selectExpr("*", *firsts).selectExpr(*best.columns, *flags)
+
+
 def match_predictions(det: DataFrame, gt: DataFrame, levels: Sequence[int] = LEVELS) -> DataFrame:
-    """Match table: one row per detection with a flag per overlap level."""
-    return match_levels(best_truth(det, gt, ["image_id", "cls"], min(levels) / 100), levels)
+    """Match table: one row per detection with a flag per overlap level. Images of many boxes are spread over tasks."""
+    seen = det.selectExpr("image_id", "1 as d", "0 as g").unionByName(gt.selectExpr("image_id", "0 as d", "1 as g"))
+    dense = materialize(seen.groupBy("image_id").agg(F.sum("d").alias("d"), F.sum("g").alias("g")).where(f"d > {IMAGE} or g > {DENSE}").select("image_id"))
+    if dense.isEmpty():
+        return match_images(det, gt, levels)
+    small, large = ((of_groups(det, dense, ["image_id"], inside), of_groups(gt, dense, ["image_id"], inside)) for inside in (False, True))
+    return match_images(*small, levels).unionByName(match_levels(best_truth(*large, ["image_id", "cls"], min(levels) / 100), levels))
 
 
 def _conf_floor(conf: float | None, oriented: bool) -> float:

@@ -750,6 +750,30 @@ def test_match_reads_its_pairs_once(spark):
     assert "isnotnull(image_id" not in plan_text(matching.match_levels(spread.selectExpr("*", "0L as gt_id", "0.5D as iou")))
 
 
+def test_match_moves_each_box_once(spark, monkeypatch):
+    """Images are matched behind one exchange a side; an image of many boxes, copies, null images, classes and ids give the rows of the spread match."""
+    rng = random.Random(5)
+    dets, truths = [], []
+    for i in range(300):
+        x, y = rng.randrange(60), rng.randrange(60)
+        image, cls = rng.choice([0, 0, 1, 2, 3, None]), rng.choice([0, 1, None])
+        dets.append((image, i, cls, 0.5, float(x), float(y), x + 40.0, y + 40.0))
+        truths.append((image, rng.choice([i, i, None]), rng.choice([cls, 0]), x + 3.0, y + 1.0, x + 41.0 + rng.randrange(9), y + 42.0))
+    d, g = spark.createDataFrame(dets + dets[:20], DET), spark.createDataFrame(truths + truths[:30], GT)
+    want = sorted(map(str, matching.match_levels(matching.best_truth(d, g, ["image_id", "cls"], 0.5)).collect()))
+    for limit in (4096, 60):
+        monkeypatch.setattr(matching, "IMAGE", limit)
+        out = matching.match_predictions(d, g)
+        assert sorted(map(str, out.collect())) == want and len(want) == 300
+    monkeypatch.setattr(matching, "IMAGE", 4096)
+    assert sum(r.tp50 for r in out.collect()) > 50
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert physical(matching.match_predictions(d, g)).count("Exchange hashpartitioning") == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_overlap_index_of_nested_masks(spark):
     runs = spark.createDataFrame([(1, 1, 0, 8), (1, 2, 2, 3), (1, 3, 2, 3), (1, 4, 7, 0), (1, 1, 10, 5)], "image_id bigint, mask_id bigint, start bigint, len bigint")
     shown = masks.overlap_index(runs, masks.mask_areas(runs, "image_id", "mask_id"), 10)

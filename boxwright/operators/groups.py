@@ -20,6 +20,14 @@ def large_groups(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame |
     return None if found.isEmpty() else found
 
 
+def crowded_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], most_left: int, most_right: int) -> DataFrame | None:
+    """Keys that hold more than ``most_left`` left rows or ``most_right`` right ones; None where there is none."""
+    sides = [side.select(*keys, F.lit(1 - k).alias("_l"), F.lit(k).alias("_r")) for k, side in enumerate((left, right))]
+    counts = sides[0].unionByName(sides[1]).groupBy(*keys).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
+    found = materialize(counts.where(f"_l > {most_left} or _r > {most_right}").select(*keys))
+    return None if found.isEmpty() else found
+
+
 def of_groups(df: DataFrame, groups: DataFrame, keys: Sequence[str], inside: bool) -> DataFrame:
     """Rows of the listed groups, or all others; null keys are groups as well."""
     named = groups.select(*[F.col(k).alias(f"_g_{k}") for k in keys])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boxwright.operators.overlap import by_crowd
 
 STRETCH = 64
 COLUMNS = 8  # of a grid that a packed mask's row covers
@@ -54,7 +55,54 @@ def mask_iou(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, r
 
 
 def packed_iou(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str, height: int, eps: float = 1e-7) -> DataFrame:
-    """``mask_iou`` of packed masks: they meet where they share ``COLUMNS`` columns, and there run by run.
+    """``mask_iou`` of packed masks: those of a key meet behind one exchange a side as blocks of equal runs; crowded keys are spread over tiles."""
+
+    def together(one: DataFrame, two: DataFrame) -> DataFrame:
+        return _met_by_key(one, two, keys, left_id, right_id, height, eps)
+
+    def spread(one: DataFrame, two: DataFrame) -> DataFrame:
+        return _met_in_tiles(one, two, keys, left_id, right_id, height, eps)
+
+    return by_crowd(left, right, keys, together, spread)
+
+
+def _blocks(height: int) -> str:
+    """The list ``runs`` without loss as blocks of equal runs in neighbouring columns, two numbers each: where it starts, and columns and rows."""
+    columns = f"sequence(r.start div {height}, (r.start + r.len - 1) div {height})"
+    cut = f"struct(greatest(r.start - x * {height}, 0L) as a, least(r.start + r.len - x * {height}, {height}L) as b, x)"
+    pieces = f"array_sort(flatten(transform(filter(runs, r -> r.len > 0), r -> transform({columns}, x -> {cut}))))"
+    heads = "filter(sequence(0, size(s) - 1), i -> i = 0 or s[i].a <> s[i - 1].a or s[i].b <> s[i - 1].b or s[i].x <> s[i - 1].x + 1)"
+    block = f"array(s[i].x * {height} + s[i].a, shiftleft(cast(if(n + 1 < size(h), h[n + 1], size(s)) - i as bigint), 32) | (s[i].b - s[i].a))"
+    made = f"flatten(transform(array({heads}), h -> flatten(transform(h, (i, n) -> {block}))))"
+    return f"flatten(transform(array({pieces}), s -> if(size(s) = 0, cast(array() as array<bigint>), {made})))"
+
+
+def _met_by_key(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str, height: int, eps: float) -> DataFrame:
+    """``packed_iou`` of masks that are dealt by their keys alone: areas, pairs and repeated ids need no other exchange."""
+
+    def packed(masks: DataFrame, id_col: str, side: str) -> DataFrame:
+        whole = " and ".join(f"{c} is not null" for c in (*keys, id_col))
+        rows = masks.where(whole).selectExpr(*keys, id_col, "aggregate(runs, 0L, (s, r) -> s + r.len) as _area", f"{_blocks(height)} as _{side}").repartition(*keys)
+        return rows.selectExpr(*keys, id_col, f"_{side}", f"sum(_area) over (partition by {', '.join((*keys, id_col))}) as {side}a")
+
+    def common(i: str, j: str) -> str:
+        x, y = (f"(_l[{i}] div {height})", f"(_r[{j}] div {height})"), (f"(_l[{i}] % {height})", f"(_r[{j}] % {height})")
+        shape = f"_l[{i} + 1]", f"_r[{j} + 1]"
+        wide = f"least({', '.join(f'{a} + shiftright({b}, 32)' for a, b in zip(x, shape, strict=True))}) - greatest({', '.join(x)})"
+        high = f"least({', '.join(f'{a} + ({b} & 4294967295L)' for a, b in zip(y, shape, strict=True))}) - greatest({', '.join(y)})"
+        return f"greatest({wide}, 0L) * greatest({high}, 0L)"
+
+    ends = {side: f"if(size(_{side}) = 0, cast(array() as array<int>), sequence(0, size(_{side}) - 1, 2))" for side in "lr"}
+    many = f"aggregate({ends['l']}, 0L, (s, i) -> s + aggregate({ends['r']}, 0L, (t, j) -> t + {common('i', 'j')}))"
+    pairs = packed(left, left_id, "l").join(packed(right, right_id, "r").hint("merge"), keys)
+    # worked out once a pair; most masks of boxes are one block
+    met = pairs.selectExpr(*keys, left_id, right_id, "la", "ra", f"inline(array(struct(if(size(_l) = 2 and size(_r) = 2, {common('0', '0')}, {many}) as inter)))").where("inter > 0")
+    inter = met.groupBy(*keys, left_id, right_id).agg(F.expr("sum(inter) as inter"), F.expr("first(la) as la"), F.expr("first(ra) as ra"))
+    return inter.selectExpr(*keys, left_id, right_id, "inter", f"inter / (la + ra - inter + {eps}D) as iou")
+
+
+def _met_in_tiles(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str, height: int, eps: float) -> DataFrame:
+    """``packed_iou`` of masks that meet where they share ``COLUMNS`` columns, and there run by run.
 
     A row holds the parts of its runs inside those columns, places counted from the first, begin and end in one number each.
     """

@@ -8,9 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxwright.functions import geometry as G
-from boxwright.operators.groups import of_groups
-from boxwright.operators.overlap import DENSE, distinct_boxes, iou_join, prefixed
-from boxwright.session import materialize
+from boxwright.operators.overlap import by_crowd, distinct_boxes, iou_join, prefixed
 
 # The ten overlap levels, in percent.
 LEVELS = (50, 55, 60, 65, 70, 75, 80, 85, 90, 95)
@@ -59,9 +57,6 @@ def match_levels(best: DataFrame, levels: Sequence[int] = LEVELS) -> DataFrame:
     return keyed.join(other, F.expr("image_id <=> _image and _g <=> _truth"), "left").selectExpr(*best.columns, *flags)
 
 
-IMAGE = 4096  # detections of an image that meet its truths in one task
-
-
 def match_images(det: DataFrame, gt: DataFrame, levels: Sequence[int] = LEVELS) -> DataFrame:
     """``match_levels`` of ``best_truth`` inside (image_id, cls), image by image: each box moves once and all steps share that exchange."""
     truth = prefixed(distinct_boxes(gt.repartition("image_id"), ["image_id", "cls"], "gt_id"), [])
@@ -76,12 +71,11 @@ def match_images(det: DataFrame, gt: DataFrame, levels: Sequence[int] = LEVELS)
 
 def match_predictions(det: DataFrame, gt: DataFrame, levels: Sequence[int] = LEVELS) -> DataFrame:
     """Match table: one row per detection with a flag per overlap level. Images of many boxes are spread over tasks."""
-    seen = det.selectExpr("image_id", "1 as d", "0 as g").unionByName(gt.selectExpr("image_id", "0 as d", "1 as g"))
-    dense = materialize(seen.groupBy("image_id").agg(F.sum("d").alias("d"), F.sum("g").alias("g")).where(f"d > {IMAGE} or g > {DENSE}").select("image_id"))
-    if dense.isEmpty():
-        return match_images(det, gt, levels)
-    small, large = ((of_groups(det, dense, ["image_id"], inside), of_groups(gt, dense, ["image_id"], inside)) for inside in (False, True))
-    return match_images(*small, levels).unionByName(match_levels(best_truth(*large, ["image_id", "cls"], min(levels) / 100), levels))
+
+    def spread(some: DataFrame, truths: DataFrame) -> DataFrame:
+        return match_levels(best_truth(some, truths, ["image_id", "cls"], min(levels) / 100), levels)
+
+    return by_crowd(det, gt, ["image_id"], lambda some, truths: match_images(some, truths, levels), spread)
 
 
 def _conf_floor(conf: float | None, oriented: bool) -> float:

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxwright.functions import geometry as G
-from boxwright.operators.groups import large_groups, of_groups
+from boxwright.operators.groups import crowded_groups, large_groups, of_groups
 
 CELL = 256.0
 DENSE = 512  # right boxes of a key that a left box may meet without a grid
+CROWD = 4096  # left boxes of a key that one task may hold
 
 
 def _cells(lo: str, hi: str, cell: float) -> str:
@@ -50,6 +51,15 @@ def by_density(left: DataFrame, right: DataFrame, keys: Sequence[str], plain, gr
     return plain(*one).unionByName(grid(*two))
 
 
+def by_crowd(left: DataFrame, right: DataFrame, keys: Sequence[str], together, spread) -> DataFrame:
+    """``together(left, right)``, which deals both sides by ``keys`` alone, on the keys of few rows, ``spread(left, right)`` on the others."""
+    crowd = crowded_groups(left, right, keys, CROWD, DENSE)
+    if crowd is None:
+        return together(left, right)
+    one, two = ((of_groups(left, crowd, keys, inside), of_groups(right, crowd, keys, inside)) for inside in (False, True))
+    return together(*one).unionByName(spread(*two))
+
+
 LEVEL = 16.0  # a level's long sides differ by this factor at most; its cells are 2 to 2 * LEVEL times as long
 
 

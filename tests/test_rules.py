@@ -704,6 +704,29 @@ def test_packed_masks_meet_as_their_runs_do(spark):
     assert one.count() <= 150 < masks.box_runs(boxes_, "m", 80, 60, 8).count() / 5
 
 
+def test_masks_of_a_key_move_once(spark, monkeypatch):
+    """Masks of a key meet behind one exchange a side: runs of any shape, that repeat, touch or span columns, repeated and null ids, crowded keys."""
+    rng = random.Random(8)
+    rows = lambda n: [(rng.choice([0, 1, 2, None]), rng.choice([*range(30), None]), [(rng.randrange(900), rng.choice([0, 3, 7, 25, 70])) for _ in range(rng.randrange(6))]) for _ in range(n)]
+    schema = "image_id int, {} int, runs array<struct<start bigint, len bigint>>"
+    a, b, common, areas = rows(120), rows(90), {}, [{}, {}]
+    for side, some in zip(areas, (a, b), strict=True):
+        for image, i, runs in some:
+            side[image, i] = side.get((image, i), 0) + sum(n for _, n in runs)
+    for image, i, left in a:
+        for other, j, right in b:
+            shared = sum(max(0, min(p + n, q + k) - max(p, q)) for p, n in left for q, k in right)
+            if image == other and None not in (image, i, j) and shared:
+                common[image, i, j] = common.get((image, i, j), 0) + shared
+    want = sorted((*k, x, x / (areas[0][k[:2]] + areas[1][k[0], k[2]] - x + 1e-7)) for k, x in common.items())
+    one, two = spark.createDataFrame(a, schema.format("m")), spark.createDataFrame(b, schema.format("n"))
+    for limit in (4096, 25):
+        monkeypatch.setattr(overlap, "CROWD", limit)
+        assert sorted(tuple(r) for r in masks.packed_iou(one, two, ["image_id"], "m", "n", 20).collect()) == want and len(want) > 200
+    monkeypatch.setattr(overlap, "CROWD", 4096)
+    assert physical(masks.packed_iou(one, two, ["image_id"], "m", "n", 20)).count("Exchange hashpartitioning") == 2
+
+
 def test_pixel_runs_over_words_and_blocks(spark):
     """Runs cross words and blocks whole; a position may come twice; keys may be null."""
     spans = {("a", 0): [(0, 1), (62, 130), (65530, 70), (131072, 64)], ("a", 1): [(5, 59), (128, 1)], (None, 1): [(63, 2), (66, 62)]}
@@ -762,10 +785,10 @@ def test_match_moves_each_box_once(spark, monkeypatch):
     d, g = spark.createDataFrame(dets + dets[:20], DET), spark.createDataFrame(truths + truths[:30], GT)
     want = sorted(map(str, matching.match_levels(matching.best_truth(d, g, ["image_id", "cls"], 0.5)).collect()))
     for limit in (4096, 60):
-        monkeypatch.setattr(matching, "IMAGE", limit)
+        monkeypatch.setattr(overlap, "CROWD", limit)
         out = matching.match_predictions(d, g)
         assert sorted(map(str, out.collect())) == want and len(want) == 300
-    monkeypatch.setattr(matching, "IMAGE", 4096)
+    monkeypatch.setattr(overlap, "CROWD", 4096)
     assert sum(r.tp50 for r in out.collect()) > 50
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from boxwright.functions import geometry as G
 from boxwright.functions.text import fixed_round, general
-from boxwright.operators import augment, boxes, datasets, evaluation, masks, matching, nms, overlap, scans, search, tiles, tracks
+from boxwright.operators import augment, boxes, datasets, evaluation, keypoints, masks, matching, nms, overlap, scans, search, tiles, tracks
 from boxwright.operators.assignment import best_pairs, solve, solve_pairs
 from boxwright.operators.augment import stitch
 from boxwright.sinks import exports
@@ -727,6 +727,23 @@ def test_masks_of_a_key_move_once(spark, monkeypatch):
     assert physical(masks.packed_iou(one, two, ["image_id"], "m", "n", 20)).count("Exchange hashpartitioning") == 2
 
 
+def test_keypoints_of_an_image_move_once(spark, monkeypatch):
+    """Objects meet behind one exchange a side: repeated and null ids, other classes, unlabelled, missing and null points, crowded images."""
+    rng = random.Random(9)
+    point = lambda: rng.choice([None, *[(float(rng.randrange(60)), float(rng.randrange(60)), rng.choice([0, 1, 2, None]))] * 12])
+    made = lambda n: [(rng.choice([0, 1, None]), rng.choice([0, 1, None]), rng.choice([*range(40), None]), [point() for _ in range(rng.choice([2, 3, 3, 3]))]) for _ in range(n)]
+    kpts = "kpts array<struct<x double, y double, v int>>"
+    d = spark.createDataFrame(made(200), f"image_id long, cls int, det_id long, {kpts}")
+    g = spark.createDataFrame([(*r, rng.choice([400.0, 9000.0, 90000.0, None])) for r in made(150)], f"image_id long, cls int, gt_id long, {kpts}, area double")
+    sigmas, got = [0.05, 0.07, 0.1], []
+    for limit in (4096, 10):
+        monkeypatch.setattr(overlap, "CROWD", limit)
+        got.append({(r.image_id, r.det_id, r.r_gt_id): round(r.oks, 9) for r in keypoints.oks_join(d, g, ["image_id", "cls"], sigmas, 0.3).collect()})
+    assert got[0] == got[1] and len(got[0]) > 100
+    monkeypatch.setattr(overlap, "CROWD", 4096)
+    assert physical(keypoints.oks_join(d, g, ["image_id", "cls"], sigmas, 0.3)).count("Exchange hashpartitioning") == 2
+
+
 def test_pixel_runs_over_words_and_blocks(spark):
     """Runs cross words and blocks whole; a position may come twice; keys may be null."""
     spans = {("a", 0): [(0, 1), (62, 130), (65530, 70), (131072, 64)], ("a", 1): [(5, 59), (128, 1)], (None, 1): [(63, 2), (66, 62)]}
